@@ -51,7 +51,7 @@ def fn_is_sequence(t):
     return t.documents.select("doc_id", C.is_sequence(F.expr("substr(text, 1, cast(1 + doc_id % 3 as int))")).alias("is_sequence"))
 
 
-@query("fn_terminus", """select c_custkey, case when lower(c_name || '') = 'x' then null when c_mktsegment[1] = 'B' then 'INTERNAL'
+@query("fn_terminus", """select c_custkey, case when c_mktsegment[1] = 'B' then 'INTERNAL'
        when c_mktsegment[1] = 'A' then 'C_TERMINUS' when c_mktsegment[1] = 'H' then 'N_TERMINUS' else lower(c_mktsegment) end as terminus from customer""")
 def fn_terminus(t):
     text = F.expr("""case substr(c_mktsegment, 1, 1) when 'B' then 'Internal' when 'A' then 'C-term'
@@ -166,8 +166,8 @@ def fn_hlog_inverse(t):
     return t.events.select("event_id", F.round(C.hlog_inverse(F.col("value") * 20 - 400), 6).alias("linear"))
 
 
-@query("fn_simplify_histogram", """select vec_id, array_to_string(list_transform(list_filter(range(1, len(embedding) + 1), i -> i % 2 = 1),
-       i -> cast(trunc(cast(embedding[i] as double) * 1000000) as bigint)), ',') as ys from embeddings""")
+@query("fn_simplify_histogram", """select vec_id, array_to_string(list_transform(list_filter(range(1, len(embedding) + 1), lambda i: i % 2 = 1),
+       lambda i: cast(trunc(cast(embedding[i] as double) * 1000000) as bigint)), ',') as ys from embeddings""")
 def fn_simplify_histogram(t):
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", F.array_join(C.simplify_histogram(doubles, C.HISTOGRAM_SCALE), ",").alias("ys"))
@@ -189,9 +189,9 @@ def fn_to_json(t):
     return t.scores.withColumn("enrichment", bad).select("row_key", C.json_row("enrichment").alias("js"))
 
 
-@query("fn_theoretical_peptides", """select doc_id, len(list_filter(string_split(upper(text), 'K'), p -> len(p) between 7 and 30)) as peptides from documents""")
+@query("fn_theoretical_peptides", """select doc_id, len(list_filter(string_split(text, 'e'), lambda p: len(p) between 7 and 30)) as peptides from documents""")
 def fn_theoretical_peptides(t):
-    return t.documents.select("doc_id", C.peptide_count(F.upper("text")).cast("bigint").alias("peptides"))
+    return t.documents.select("doc_id", C.peptide_count("text", cut="e").cast("bigint").alias("peptides"))
 
 
 @query("fn_exp2", "select event_id, round(pow(2, value / 50), 6) as v from events")

@@ -13,10 +13,10 @@ from atlas_spark.session import build_session
 def rows(pdf):
     pdf = pdf[sorted(pdf.columns)]
     def norm(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
-            return str(bool(v))
+            return repr(float(v))
         if isinstance(v, (int, float)) or hasattr(v, "dtype") and getattr(v, "ndim", 1) == 0:
             f = float(v)
             return repr(f + 0.0)
@@ -47,7 +47,7 @@ def compare(spark, con, sf_dir, fn, sql):
                                         ("double", "DOUBLE"), ("boolean", "BOOLEAN"), ("float", "FLOAT"), ("date", "DATE")}}
     if g != w:
         bad = [(a, b) for a, b in zip(g, w) if a != b][:3]
-        return f"values differ rows {len(g)} vs {len(w)} {gc} {bad}", False
+        return f"values differ rows {len(g)} vs {len(w)} {gc} {str(bad)[:600]}", False
     return f"{len(g)} rows" + (f" TYPES {odd}" if odd else "") + (" EMPTY" if not g else ""), True
 
 
