@@ -154,7 +154,7 @@ SPARK_VIEWS = {**VIEWS,
                "vectors": VECTORS_SPARK}
 DUCK_VIEWS = {**VIEWS, "pixels": PIXELS_DUCK, "vectors": VECTORS_DUCK}
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 class Tables:

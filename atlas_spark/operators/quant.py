@@ -128,7 +128,7 @@ def penalty_factor(bait_medians: DataFrame, control: DataFrame, scores: DataFram
     """Enrichment times (r / median r)^2, r the correlation of a bait with the control medians."""
     neg = grouped_quantiles(control, ["prey"], "value", {"neg": 0.5})
     r = bait_medians.join(neg, "prey").groupBy("bait").agg(F.corr("value", "neg").alias("r"))
-    mid = grouped_quantiles(r, [], "r", {"r_median": 0.5})
+    mid = r.agg(F.median("r").alias("r_median"))  # one r per bait
     f = r.join(F.broadcast(mid), F.lit(True)).select("bait", F.pow(F.try_divide("r", "r_median"), 2).alias("penalty"))
     return scores.join(f, "bait").withColumn("enrichment", F.col("enrichment") * F.col("penalty"))
 

@@ -1,9 +1,10 @@
 """Exact ranks, running sums and quantiles inside groups of any size.
 
-A window over a whole group sorts that group in one task.  Here a large group is first cut into
-value ranges at its own approximate quantiles; each range is sorted on its own and shifted by the
-size of the ranges before it.  The cut points steer only the split of the work: ranks and
-quantiles are exact whatever they are.  Groups of up to ``hot_rows`` rows stay in one piece.
+A window over a whole group sorts that group in one task.  Groups of up to ``hot_rows`` rows are
+handled that way; larger ones are first cut into value ranges at their own approximate quantiles,
+each range is sorted on its own and shifted by the size of the ranges before it.  The cut points
+steer only the split of the work: ranks and quantiles are exact whatever they are.  Which groups
+are large is found in the plan itself, and adaptive execution drops the second branch when none is.
 """
 
 from __future__ import annotations
@@ -12,24 +13,25 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_ROWS = 500_000
 PIECES = 256
+_GRID = "array(" + ", ".join(f"{i / PIECES}D" for i in range(1, PIECES)) + ")"
+_ALL = "_all"
 
 
-def _splits(value: Column, n: Column, hot_rows: int) -> Column:
-    grid = [i / PIECES for i in range(1, PIECES)]
-    cuts = F.percentile_approx(value, F.array(*[F.lit(g) for g in grid]), F.lit(2000))
-    return F.when(n > hot_rows, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>"))
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows of small groups, rows of large groups); there are at most rows / hot_rows large groups."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n_rows")).filter(F.col("_n_rows") > hot_rows).select(*keys)
+    match = [df[k].eqNullSafe(hot[k]) for k in keys]
+    cond = match[0]
+    for m in match[1:]:
+        cond = cond & m
+    return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
 
-def _pieces(df: DataFrame, keys: list[str], value: str, hot_rows: int, rows: Column) -> DataFrame:
+def _pieces(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with ``_piece``: the number of the row's value range inside its group."""
     v = F.col(value).cast("double")
-    if keys:
-        cuts = df.groupBy(*keys).agg(_splits(v, rows, hot_rows).alias("_cuts"))
-        out = df.join(cuts, keys)
-    else:
-        # one row by construction, so this is a constant added to every row, not a product of two tables
-        out = df.join(F.broadcast(df.agg(_splits(v, rows, hot_rows).alias("_cuts"))), F.lit(True))
-    return out.withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(v, F.expr(_GRID), F.lit(2000))).alias("_cuts"))
+    return (df.join(cuts, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts"))
 
 
 def _offsets(df: DataFrame, keys: list[str], amount: Column, out: str = "_before") -> DataFrame:
@@ -39,57 +41,70 @@ def _offsets(df: DataFrame, keys: list[str], amount: Column, out: str = "_before
     return per.withColumn(out, F.coalesce(F.sum("_in_piece").over(w), F.lit(0)))
 
 
+def _with_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
+
+
 def grouped_ranks(df: DataFrame, keys: list[str], value: str, ties: list[str] = (), out: str = "rank",
                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """row_number by (value, ties) inside each group, counted from 1; value must be numeric and not null."""
-    p = _pieces(df, keys, value, hot_rows, F.count("*"))
-    off = _offsets(p, keys, F.lit(1)).drop("_in_piece")
-    w = W.partitionBy(*keys, "_piece").orderBy(value, *ties)
-    ranked = p.withColumn("_rn", F.row_number().over(w)).join(off, [*keys, "_piece"])
-    return ranked.withColumn(out, F.col("_rn") + F.col("_before")).drop("_rn", "_before", "_piece")
+    d, ks = _with_keys(df, keys)
+    cold, hot = split_hot(d, ks, hot_rows)
+    small = cold.withColumn(out, F.row_number().over(W.partitionBy(*ks).orderBy(value, *ties)).cast("bigint"))
+    p = _pieces(hot, ks, value)
+    off = _offsets(p, ks, F.lit(1)).drop("_in_piece")
+    rn = F.row_number().over(W.partitionBy(*ks, "_piece").orderBy(value, *ties))
+    large = (p.withColumn("_rn", rn).join(off, [*ks, "_piece"])
+             .withColumn(out, (F.col("_rn") + F.col("_before")).cast("bigint")))
+    cols = [*df.columns, out]
+    return small.select(*cols).unionByName(large.select(*cols))
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: str = "running",
                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Sum of ``amount`` up to and including the row, by a numeric order that is unique in the group."""
-    p = _pieces(df, keys, order, hot_rows, F.count("*"))
-    off = _offsets(p, keys, F.col(amount)).drop("_in_piece")
-    w = W.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    summed = p.withColumn("_rs", F.sum(amount).over(w)).join(off, [*keys, "_piece"])
-    return summed.withColumn(out, F.col("_rs") + F.col("_before")).drop("_rs", "_before", "_piece")
+    d, ks = _with_keys(df, keys)
+    cold, hot = split_hot(d, ks, hot_rows)
+
+    def upto(*part):
+        return F.sum(amount).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    small = cold.withColumn(out, upto(*ks))
+    p = _pieces(hot, ks, order)
+    off = _offsets(p, ks, F.col(amount)).drop("_in_piece")
+    large = p.withColumn("_rs", upto(*ks, "_piece")).join(off, [*ks, "_piece"]).withColumn(out, F.col("_rs") + F.col("_before"))
+    cols = [*df.columns, out]
+    return small.select(*cols).unionByName(large.select(*cols))
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact linearly interpolated quantiles per group (NULLs skipped), one column per name in ``probs``.
 
-    Equal values are counted before any shuffle; only the value ranges that hold a wanted rank are sorted.
+    Equal values are counted before any group is formed, so a group's size here is its number of
+    distinct values.  In a large group only the value ranges that hold a wanted rank are sorted.
     """
-    v = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")) \
-          .agg(F.count("*").alias("_c"))
-    p = _pieces(v, keys, "_v", hot_rows, F.count("*"))
-    off = _offsets(p, keys, F.col("_c"))
-    total = W.partitionBy(*keys)
-    off = off.withColumn("_n", F.sum("_in_piece").over(total))
-    wanted = [F.floor(q * (F.col("_n") - 1)) for q in probs.values()] + [F.ceil(q * (F.col("_n") - 1)) for q in probs.values()]
+    d, ks = _with_keys(df, keys)
+    v = d.filter(F.col(value).isNotNull()).groupBy(*ks, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    cold, hot = split_hot(v, ks, hot_rows)
+    small = cold.groupBy(*ks).agg(*[F.percentile("_v", F.lit(q), F.col("_c")).alias(n) for n, q in probs.items()])
+
+    p = _pieces(hot, ks, "_v")
+    off = _offsets(p, ks, F.col("_c")).withColumn("_n", F.sum("_in_piece").over(W.partitionBy(*ks)))
+    pos = {n: F.lit(q) * (F.col("_n") - 1) for n, q in probs.items()}
     needed = F.lit(False)
-    for r in wanted:
-        needed = needed | ((F.col("_before") <= r) & (F.col("_before") + F.col("_in_piece") > r))
-    rows = p.join(off.filter(needed), [*keys, "_piece"])
-    cum = F.sum("_c").over(W.partitionBy(*keys, "_piece").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    for x in pos.values():
+        for r in (F.floor(x), F.ceil(x)):
+            needed = needed | ((F.col("_before") <= r) & (F.col("_before") + F.col("_in_piece") > r))
+    rows = p.join(off.filter(needed), [*ks, "_piece"])
+    cum = F.sum("_c").over(W.partitionBy(*ks, "_piece").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_cum", cum + F.col("_before"))
-    aggs = []
-    for name, q in probs.items():
-        pos = q * (F.col("_n") - 1)
-        aggs += [F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_v"))).alias(f"_lo_{name}"),
-                 F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_v"))).alias(f"_hi_{name}")]
-    got = rows.groupBy(*keys).agg(F.first("_n").alias("_n"), *aggs)
-    outs = []
-    for name, q in probs.items():
-        pos = q * (F.col("_n") - 1)
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return got.select(*keys, *outs)
+    aggs = [F.max("_n").alias("_n")]
+    for n, x in pos.items():
+        aggs += [F.min(F.when(F.col("_cum") > F.floor(x), F.col("_v"))).alias(f"_lo_{n}"),
+                 F.min(F.when(F.col("_cum") > F.ceil(x), F.col("_v"))).alias(f"_hi_{n}")]
+    outs = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (x - F.floor(x))).alias(n) for n, x in pos.items()]
+    large = rows.groupBy(*ks).agg(*aggs).select(*ks, *outs)
+    return small.unionByName(large).select(*keys, *probs)
 
 
 def global_row_number(df: DataFrame, value: str, out: str = "rank", hot_rows: int = HOT_ROWS) -> DataFrame:

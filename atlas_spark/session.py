@@ -17,7 +17,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
-        b = (b.master(master).config("spark.ui.enabled", "false")
+        b = (b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", os.environ.get("ATLAS_DRIVER_MEMORY", "6g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
