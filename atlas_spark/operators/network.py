@@ -175,7 +175,7 @@ def _columns_to_one(m: DataFrame, power: float, prune: float) -> DataFrame:
             .filter((F.col("_x") >= prune) | (F.col("v") == F.col("_m"))).select("cluster_id", "i", "j", F.col("_x").alias("v")))
 
 
-def modularity_split(membership: DataFrame, edges: DataFrame, first_thresh: int, steps: int = 24, max_levels: int = 6) -> DataFrame:
+def modularity_split(membership: DataFrame, edges: DataFrame, first_thresh: int, steps: int = 16, max_levels: int = 4) -> DataFrame:
     """(super_cluster, second_clustering, cluster, gene): leading-eigenvector splits while modularity rises.
 
     The vector of every open community is iterated in the same job: a product with the adjacency is a
@@ -207,12 +207,9 @@ def modularity_split(membership: DataFrame, edges: DataFrame, first_thresh: int,
         st = st.withColumn("d", F.col("kin") - F.col("k") * F.col("kg") / F.col("m2"))
         x = cut_lineage(st.select(*key, "gene", "k", "m2", "d", F.col("kmax").cast("double").alias("shift"),
                                   (keyed.uniform("cluster_id", "gene", F.lit(str(level))) - 0.5).alias("x")))
-        for i in range(steps):
-            x = _modularity_step(x, within, key)
-            if i % 6 == 5:
-                x = cut_lineage(x)
-        x = cut_lineage(x)
-        bx = _modularity_product(x, within, key)
+        for _ in range(steps):
+            # a step reads x three times, so its lineage is cut every time
+            x = cut_lineage(_modularity_product(x, within, key).withColumn("x", F.col("bx") / F.col("shift") + F.col("x")).drop("bx"))
         s = F.when(F.col("x") >= 0, 1.0).otherwise(-1.0)
         signed = cut_lineage(x.withColumn("x", s))
         gain = _modularity_product(signed, within, key).groupBy(*key).agg(
@@ -236,12 +233,6 @@ def _modularity_product(x: DataFrame, within: DataFrame, key: list[str]) -> Data
     return j.withColumn("bx", F.coalesce("_ax", F.lit(0.0)) - F.col("k") * F.col("_kx") / F.col("m2") - F.col("d") * F.col("x")).drop("_ax", "_kx")
 
 
-def _modularity_step(x: DataFrame, within: DataFrame, key: list[str]) -> DataFrame:
-    b = _modularity_product(x, within, key).withColumn("y", F.col("bx") + F.col("shift") * F.col("x"))
-    norm = b.groupBy(*key).agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("_l"))
-    return b.join(norm, key).withColumn("x", F.when(F.col("_l") > 0, F.col("y") / F.col("_l")).otherwise(0.0)).drop("y", "bx", "_l")
-
-
 def node_embeddings(edges: DataFrame, walks: int = 4, length: int = 8, size: int = 16, weight: str = "weight", seed: int = 1) -> DataFrame:
     """(gene, vector): weighted random walks, then skip-gram vectors.
 
