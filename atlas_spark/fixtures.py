@@ -132,14 +132,15 @@ VIEWS: dict[str, str] = {
                cast(length(text) % 5 as double) as exposure_time from {conversations}""",
 }
 
-# pixel slices are arrays, so the two dialects differ in how they build them
-PIXELS_SPARK = """
-    select vec_id as fov_id, cast(floor(p.pos / 16) as int) as z, cast(floor(p.pos / 4) as int) % 4 as row,
-           p.pos % 4 as col, cast(floor((p.v + 1) * 1000) as int) as pixel
-    from (select vec_id, posexplode(embedding) as (pos, v) from {embeddings}) p"""
+# pixel slices are arrays, so the two dialects differ in how they build them:
+# 2 channels x 4 z x 2 rows x 4 columns per field
+SLICES_SPARK = """
+    select vec_id as fov_id, k div 8 as channel, k div 2 % 4 as z, k % 2 as row,
+           transform(slice(embedding, k * 4 + 1, 4), x -> cast(floor((cast(x as double) + 1) * 1000) as int)) as pixels
+    from (select vec_id, embedding, explode(sequence(0, 15)) as k from {embeddings}) q"""
 PIXELS_DUCK = """
-    select vec_id as fov_id, cast(floor(pos / 16) as int) as z, cast(floor(pos / 4) as int) % 4 as row,
-           pos % 4 as col, cast(floor((cast(v as double) + 1) * 1000) as int) as pixel
+    select vec_id as fov_id, cast(floor(pos / 32) as bigint) as channel, cast(floor(pos / 8) as bigint) % 4 as z,
+           cast(floor(pos / 4) as bigint) % 2 as row, pos % 4 as col, cast(floor((cast(v as double) + 1) * 1000) as int) as pixel
     from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos from {embeddings}) p"""
 VECTORS_SPARK = """
     select vec_id, label, p.pos as dim, cast(p.v as double) as v
@@ -149,9 +150,7 @@ VECTORS_DUCK = """
     from (select vec_id, label, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as pos
           from {embeddings}) p"""
 
-SPARK_VIEWS = {**VIEWS,
-               "pixels": PIXELS_SPARK.replace("(p.v + 1)", "(cast(p.v as double) + 1)"),
-               "vectors": VECTORS_SPARK}
+SPARK_VIEWS = {**VIEWS, "slices": SLICES_SPARK, "vectors": VECTORS_SPARK}
 DUCK_VIEWS = {**VIEWS, "pixels": PIXELS_DUCK, "vectors": VECTORS_DUCK}
 
 _NAME = re.compile(r"\{([a-z]\w*)\}")

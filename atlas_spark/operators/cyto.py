@@ -68,7 +68,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, xrange: tuple[float, f
     b = F.least(F.floor((v - F.col("_lo")) / F.col("_w")), F.col("_bins") - 1)
     counts = df.join(spec, keys).filter(inside).groupBy(*keys, b.alias("bin"), "_lo", "_w").agg(F.count("*").alias("n"))
     total = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    return counts.join(total, keys).select(*keys, "bin", "n", (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w")).alias("center"),
+    return counts.join(total, keys).select(*keys, "bin", "n", F.col("_lo").alias("lo"), F.col("_w").alias("width"), (F.col("_lo") + (F.col("bin") + 0.5) * F.col("_w")).alias("center"),
                                            (F.col("n") / (F.col("_t") * F.col("_w"))).alias("density"))
 
 
@@ -91,3 +91,89 @@ def compare_results(a: DataFrame, b: DataFrame, floor: float = 0.01, ratio: floa
     """Wells whose area in two result sets disagrees."""
     j = a.join(b, ["plate_id", "well_id"])
     return j.filter((F.col("area") > floor) & (F.abs(F.try_divide("other_area", "area")) < ratio))
+
+
+def histogram_arrays(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key with the first centre x0, the bin width and the densities of all bins, empty ones as 0.
+
+    The number of bins follows the cube root of the cells, so the array stays short.
+    """
+    g = hist.groupBy(*keys).agg(F.max("lo").alias("_lo"), F.max("width").alias("width"), F.max("bin").alias("_last"),
+                                F.map_from_entries(F.collect_list(F.struct("bin", "density"))).alias("_m"))
+    ys = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_last")), lambda b: F.coalesce(F.element_at("_m", b), F.lit(0.0)))
+    return g.select(*keys, (F.col("_lo") + F.col("width") / 2).alias("x0"), "width", ys.alias("ys"))
+
+
+def _shifted(ref_x0: Column, ref_w: Column, ref_ys: Column, x: Column, offset: Column) -> Column:
+    """Reference density at x after moving the reference by ``offset``; linear between bins, 0 outside."""
+    pos = (x - offset - ref_x0) / ref_w
+    i = F.floor(pos)
+    frac = pos - i
+    a = F.get(ref_ys, i.cast("int"))
+    b = F.coalesce(F.get(ref_ys, (i + 1).cast("int")), a)
+    return F.when((pos >= 0) & (pos <= F.size(ref_ys) - 1), a + (b - a) * frac).otherwise(0.0)
+
+
+def _best_offset(samples: DataFrame, keys: list[str], grid: Column) -> DataFrame:
+    """Offset of the grid with the smallest squared error; for each offset the scale is a closed form in [0, 1]."""
+    rows = samples.withColumn("offset", F.explode(grid)).withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("ys") - 1)))
+    x, y = F.col("x0") + F.col("_i") * F.col("width"), F.get("ys", F.col("_i"))
+    inside = (x > 0) & (x < F.col("ref_mean") + F.col("ref_std"))
+    r = _shifted(F.col("ref_x0"), F.col("ref_width"), F.col("ref_ys"), x, F.col("offset"))
+    g = rows.select(*keys, "offset", y.alias("y"), r.alias("r"), inside.alias("_in")).filter("_in").groupBy(*keys, "offset").agg(
+        F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("r") * F.col("y")).alias("ry"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    scale = F.when(F.col("rr") > 0, F.least(F.greatest(F.col("ry") / F.when(F.col("rr") > 0, F.col("rr")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    cost = F.col("yy") - 2 * F.col("scale") * F.col("ry") + F.col("scale") * F.col("scale") * F.col("rr")
+    return g.withColumn("scale", scale).withColumn("cost", cost).groupBy(*keys).agg(
+        F.min(F.struct(F.round(F.col("cost") / F.col("yy"), 9).alias("c"), "offset", "scale")).alias("b")).select(*keys, "b.offset", "b.scale", F.col("b.c").alias("cost"))
+
+
+def unmix_fit(samples: DataFrame, reference: DataFrame, pool: DataFrame, keys: list[str], points: int = 40) -> DataFrame:
+    """Offset and scale of the control histogram that best explain the left side of each sample.
+
+    ``samples``: histogram arrays by (plate, well); ``reference``: by plate; ``pool``: (plate, ref_mean, ref_std).
+    The offset is searched on a coarse and then a fine grid between 0 and ref_mean + 2 ref_std.
+    """
+    ref = reference.select("plate", F.col("x0").alias("ref_x0"), F.col("width").alias("ref_width"), F.col("ys").alias("ref_ys"))
+    s = samples.join(ref, "plate").join(pool, "plate")
+    top = F.col("ref_mean") + 2 * F.col("ref_std")
+    steps = F.sequence(F.lit(0), F.lit(points))
+    coarse = _best_offset(s, keys, F.transform(steps, lambda i: top * i / points))
+    near = s.join(coarse.select(*keys, F.col("offset").alias("_at")), keys)
+    fine = F.transform(steps, lambda i: F.least(F.greatest(F.col("_at") + top / points * (2 * i / points - 1), F.lit(0.0)), top))
+    return _best_offset(near, keys, fine)
+
+
+def unmixed_stats(samples: DataFrame, reference: DataFrame, pool: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """Area, mean, deviation, median and 99th percentile right of the boundary after removing the fitted controls.
+
+    A negative area is reported as 0 without further numbers.
+    """
+    ref = reference.select("plate", F.col("x0").alias("ref_x0"), F.col("width").alias("ref_width"), F.col("ys").alias("ref_ys"))
+    s = samples.join(ref, "plate").join(pool, "plate").join(fit.select(*keys, "offset", "scale"), keys)
+    rows = s.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("ys") - 1)))
+    x = F.col("x0") + F.col("_i") * F.col("width")
+    y = F.get("ys", F.col("_i")) - F.col("scale") * _shifted(F.col("ref_x0"), F.col("ref_width"), F.col("ref_ys"), x, F.col("offset"))
+    rows = rows.select(*keys, "offset", "scale", "width", (F.col("offset") + F.col("ref_std")).alias("boundary"), x.alias("x"), y.alias("y")).filter("x > boundary")
+    g = rows.groupBy(*keys).agg(F.max("offset").alias("fitted_offset"), F.max("scale").alias("fitted_scale"), F.max("boundary").alias("boundary"),
+                                (F.sum("y") * F.max("width")).alias("area"), F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum("y")).alias("raw_mean"),
+                                F.try_divide(F.sum(F.col("x") * F.col("x") * F.col("y")), F.sum("y")).alias("_m2"))
+    q = cumulative_quantiles(rows, keys, "x", "y", {"raw_median": 0.5, "raw_percentile99": 0.99})
+    j = g.join(q, keys).withColumn("raw_std", F.sqrt(F.greatest(F.col("_m2") - F.pow("raw_mean", 2), F.lit(0.0))))
+    empty = F.col("area") < 0
+    j = j.withColumns({c: F.when(~empty, F.col(c)) for c in ("raw_mean", "raw_std", "raw_median", "raw_percentile99")}).withColumn("area", F.greatest("area", F.lit(0.0)))
+    base = C.hlog_inverse("fitted_offset")
+    for c in ("mean", "median", "percentile99"):
+        v = C.hlog_inverse(f"raw_{c}")
+        j = j.withColumns({f"rel_{c}_linear": v - base, f"rel_{c}_log": C.log10_or_null(F.try_divide(v, base)), f"rel_{c}_hlog": F.col(f"raw_{c}") - F.col("fitted_offset")})
+    return j.drop("_m2")
+
+
+def all_plates(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> DataFrame:
+    """Gate-free core of the per-plate analysis for every well of every plate in one job."""
+    keys = ["plate", "well"]
+    centred, pool = pool_controls(controls)
+    reference = histogram_arrays(histogram(centred, ["plate"], "fitc", percentile=0.2), ["plate"])
+    samples = histogram_arrays(histogram(cells, keys, "fitc", xrange=xrange), keys)
+    fit = unmix_fit(samples, reference, pool, keys)
+    return unmixed_stats(samples, reference, pool, fit, keys)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+
 
 def unprocessed(items: DataFrame, results: DataFrame, kind: str, key: str = "fov_id", force: bool = False) -> DataFrame:
     """Items without a result of the kind; all of them when forced."""
@@ -17,7 +19,7 @@ def unprocessed(items: DataFrame, results: DataFrame, kind: str, key: str = "fov
 def run_with_error_log(items: DataFrame, key: str, method: str, task: Callable[[dict], float]) -> tuple[DataFrame, DataFrame]:
     """Run a per-item task in Arrow batches; failures become rows (id, method, kind, message).
 
-    One pass: the task runs once per item in ``attempts`` and the two results are filters of it.
+    The attempts are written to the checkpoint folder, so the task runs once although both results are read.
     """
     kind = dict(items.dtypes)[key]
 
@@ -32,5 +34,5 @@ def run_with_error_log(items: DataFrame, key: str, method: str, task: Callable[[
             yield pd.DataFrame(out, columns=[key, "value", "error_kind", "message"])
 
     attempts = items.mapInPandas(work, f"{key} {kind}, value double, error_kind string, message string")
-    attempts = attempts.withColumn("method", F.lit(method))
+    attempts = cut_lineage(attempts.withColumn("method", F.lit(method)))
     return attempts.filter("error_kind is null").select(key, "method", "value"), attempts.filter("error_kind is not null").select(key, "method", "error_kind", "message")

@@ -55,4 +55,4 @@ def stream_window_counts(t):
 def stream_upsert(t):
     table, chk = scratch_path(t.spark), scratch_path(t.spark)
     R.upsert_batches(stream(t), table, chk, ["fov_id", "kind"])
-    return R.read_versions(t.spark, table, 1).select("fov_id", "kind", "value")
+    return R.read_table(t.spark, table, ["fov_id", "kind"]).select("fov_id", "kind", "value")

@@ -6,8 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.upserts import replace_by_key
-
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -40,24 +38,30 @@ def run_available(df: DataFrame, sink: str, checkpoint: str, mode: str = "append
 
 
 def upsert_batches(stream: DataFrame, table: str, checkpoint: str, keys: list[str]):
-    """Each micro-batch replaces the rows of its keys; a repeated batch writes the same version again.
+    """Append each micro-batch under its number; the newest batch of a key holds its value.
 
-    ``table`` is a folder of numbered versions; the newest complete one is the table.
+    A batch writes only its own rows, and a repeated batch overwrites its own folder.
     """
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = read_versions(spark, table, epoch, batch.schema)
-        one = batch.groupBy(*keys).agg(F.max(F.struct(*[c for c in batch.columns if c not in keys])).alias("r")).select(*keys, "r.*")
-        out = replace_by_key(old, one.select(*old.columns), keys) if old is not None else one
-        out.write.mode("overwrite").parquet(os.path.join(table, f"v{epoch:09d}"))
+        latest_rows(batch, keys).write.mode("overwrite").parquet(os.path.join(table, f"epoch={epoch}"))
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def read_versions(spark: SparkSession, table: str, before: int, schema=None) -> DataFrame | None:
-    """The table as it was before a version number; batches are numbered without gaps."""
-    if before == 0:
-        return None
-    return spark.read.parquet(os.path.join(table, f"v{before - 1:09d}"))
+def latest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Largest row per key; columns are compared in order, so the first one should be the time."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(*[c for c in rows.columns if c not in keys])).alias("r")).select(*keys, "r.*")
+
+
+def read_table(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """Current rows of an upserted table."""
+    rows = spark.read.parquet(table)
+    newest = latest_rows(rows.select("epoch", *[c for c in rows.columns if c != "epoch"]), keys)
+    return newest.drop("epoch")
+
+
+def compact(spark: SparkSession, table: str, target: str, keys: list[str]) -> None:
+    """Write the current rows as a new table, for when many batches have gathered."""
+    read_table(spark, table, keys).write.mode("overwrite").parquet(os.path.join(target, "epoch=-1"))
