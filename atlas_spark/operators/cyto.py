@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cols as C
+from ..session import cut_lineage
 from ..sources.readers import wells
 from .ranking import grouped_quantiles
 
@@ -169,11 +170,17 @@ def unmixed_stats(samples: DataFrame, reference: DataFrame, pool: DataFrame, fit
     return j.drop("_m2")
 
 
-def all_plates(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> DataFrame:
-    """Gate-free core of the per-plate analysis for every well of every plate in one job."""
-    keys = ["plate", "well"]
+def fit_inputs(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, reference, pool): histograms per well and per plate.  They are short next to the cells
+    and read many times, so they are written to the checkpoint folder once."""
     centred, pool = pool_controls(controls)
     reference = histogram_arrays(histogram(centred, ["plate"], "fitc", percentile=0.2), ["plate"])
-    samples = histogram_arrays(histogram(cells, keys, "fitc", xrange=xrange), keys)
-    fit = unmix_fit(samples, reference, pool, keys)
-    return unmixed_stats(samples, reference, pool, fit, keys)
+    samples = histogram_arrays(histogram(cells, ["plate", "well"], "fitc", xrange=xrange), ["plate", "well"])
+    return cut_lineage(samples), cut_lineage(reference), cut_lineage(pool)
+
+
+def all_plates(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> DataFrame:
+    """The whole analysis of gated cells for every well of every plate in one job."""
+    keys = ["plate", "well"]
+    samples, reference, pool = fit_inputs(cells, controls, xrange)
+    return unmixed_stats(samples, reference, pool, cut_lineage(unmix_fit(samples, reference, pool, keys)), keys)

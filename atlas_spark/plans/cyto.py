@@ -44,22 +44,18 @@ def control_audit(t):
 
 
 def parts(t):
-    keys = ["plate", "well"]
-    centred, pool = Y.pool_controls(t.sql(CONTROL))
-    ref = Y.histogram_arrays(Y.histogram(centred, ["plate"], "fitc", percentile=0.2), ["plate"])
-    samples = Y.histogram_arrays(Y.histogram(t.sql(WELLS), keys, "fitc", xrange=(0, 500)), keys)
-    return samples, ref, pool, Y.unmix_fit(samples, ref, pool, keys)
+    return Y.fit_inputs(t.sql(WELLS), t.sql(CONTROL), xrange=(0, 500))
 
 
 @query("unmix_fit")
 def unmix_fit(t):
-    return rounded(parts(t)[3], "offset", "scale")
+    return rounded(Y.unmix_fit(*parts(t), ["plate", "well"]), "offset", "scale")
 
 
 @query("unmixed_stats")
 def unmixed_stats(t):
-    samples, ref, pool, fit = parts(t)
-    return Y.unmixed_stats(samples, ref, pool, fit, ["plate", "well"])
+    samples, ref, pool = parts(t)
+    return Y.unmixed_stats(samples, ref, pool, Y.unmix_fit(samples, ref, pool, ["plate", "well"]), ["plate", "well"])
 
 
 @query("facs_all_plates")

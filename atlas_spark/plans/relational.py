@@ -359,7 +359,7 @@ def sequencing_fractions(t):
 def histogram(t):
     from ..operators.cyto import histogram as hist
     h = hist(t.events.select(F.col("event_type").alias("plate"), "value"), ["plate"], "value", percentile=0.2)
-    return rounded(h.withColumn("center", F.round("center", 6)), "density", digits=8)
+    return rounded(h.drop("lo", "width").withColumn("center", F.round("center", 6)), "density", digits=8)
 
 
 @query("file_size_rollup", "select n_nationkey as plate, round(sum(n_chars) / pow(1000, 3), 9) as gb, count(*) as n_files, count(distinct d.source) as n_targets from documents d join nation on n_nationkey = doc_id % 25 group by 1")

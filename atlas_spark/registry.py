@@ -12,7 +12,7 @@ from .fixtures import Tables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PLAN_MODULES = ("scalars", "sources", "quant", "relational", "scoring", "network", "stoich", "entities", "incremental", "cyto", "image",
+PLAN_MODULES = ("scalars", "sources", "quant", "relational", "scoring", "network", "stoich", "entities", "incremental", "cyto", "image", "ml",
                 )
 
 
