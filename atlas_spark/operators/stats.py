@@ -1,9 +1,9 @@
 """Scoring of bait-prey pairs against leave-out controls, hit thresholds and their validation.
 
 The control of a bait is every other sample of the prey except those of excluded baits.  Nothing is
-copied per bait: per prey the count, mean and squared deviations of all control values are formed
-once, and the few excluded baits are subtracted.  The control median, which cannot be subtracted,
-is read from the prey's ranked values by shifting the middle rank past the excluded ranks.
+copied per bait: per prey the ordered control values are gathered once, and the count, mean and
+squared deviations of the few excluded baits are subtracted.  The control median, which cannot be
+subtracted, is read from the ordered values by shifting the middle rank past the excluded ranks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions.pvalue import neglog10p
 from ..session import cut_lineage
 from .linalg import gram
 from .quant import all_valids, median_replicates
-from .ranking import grouped_quantiles, grouped_ranks
+from .ranking import grouped_quantiles
 from .relational import contains_join, top_n
 
 PAIR = ["prey", "bait"]
@@ -43,62 +43,58 @@ def sample_stats(values: DataFrame) -> DataFrame:
                                 (F.var_pop("value") * F.count("*")).alias("q1"), F.median("value").alias("med1"))
 
 
-def control_stats(samples: DataFrame, control: DataFrame, exclusion: DataFrame) -> DataFrame:
-    """(prey, bait, n2, m2, q2): control of every sampled pair, by subtraction from the prey's totals."""
-    per = control.filter("value is not null").groupBy("prey", F.col("bait").alias("other")).agg(
-        F.count("*").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("q"))
-    centre = per.groupBy("prey").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("c"))
-    # deviations from the prey's own mean: subtracting large squares would lose the digits
-    d = per.join(centre, "prey").select("prey", "other", "n", "c", (F.col("n") * (F.col("m") - F.col("c"))).alias("s"),
-                                        (F.col("q") + F.col("n") * F.pow(F.col("m") - F.col("c"), 2)).alias("ss"))
-    total = d.groupBy("prey").agg(F.max("c").alias("c"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
-    out = (samples.select(*PAIR).join(exclusion, "bait").join(d.drop("c"), ["prey", "other"])
-           .groupBy(*PAIR).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")))
-    j = samples.select(*PAIR).join(total, "prey").join(out, PAIR, "left").na.fill(0, ["n", "s", "ss"])
-    n2 = F.col("all_n") - F.col("n")
-    shift = F.when(n2 > 0, (F.col("all_s") - F.col("s")) / F.when(n2 > 0, n2))
-    q2 = F.greatest(F.col("all_ss") - F.col("ss") - n2 * shift * shift, F.lit(0.0))
-    return j.select(*PAIR, n2.alias("n2"), (F.col("c") + shift).alias("m2"), q2.alias("q2"))
-
-
-def control_median(samples: DataFrame, control: DataFrame, exclusion: DataFrame, counts: DataFrame) -> DataFrame:
-    """(prey, bait, med2): median of the prey's control values without the excluded baits.
+def control_rows(control: DataFrame) -> DataFrame:
+    """(prey, cells): the prey's control values in order, as one row of the sample matrix.
 
-    With the removed ranks in order, the k-th remaining value sits at the rank reached by stepping
-    over every removed rank that is not beyond it.
+    A prey has one value per sample (bait, replicate), so a row is as long as the list of samples.
     """
-    ranked = grouped_ranks(control.filter("value is not null").select("prey", F.col("bait").alias("other"), "replicate", "value"),
-                           ["prey"], "value", ["other", "replicate"])
-    removed = (samples.select(*PAIR).join(exclusion, "bait").join(ranked.select("prey", "other", "rank"), ["prey", "other"])
-               .groupBy(*PAIR).agg(F.array_sort(F.collect_list("rank")).alias("gone")))
-    j = counts.select(*PAIR, "n2").filter("n2 > 0").join(removed, PAIR, "left") \
-        .withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
+    cell = F.struct("value", F.col("bait").alias("other"), "replicate")
+    return control.filter("value is not null").groupBy("prey").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
 
-    def step(k):
-        return F.aggregate("gone", k.cast("bigint"), lambda r, m: F.when(m <= r, r + 1).otherwise(r))
-    both = F.array_distinct(F.array(step(F.floor((F.col("n2") + 1) / 2)), step(F.ceil((F.col("n2") + 1) / 2))))
-    want = j.select(*PAIR, F.explode(both).alias("rank"))
-    return want.join(ranked.select("prey", "rank", "value"), ["prey", "rank"]).groupBy(*PAIR).agg(F.avg("value").alias("med2"))
+
+def removed_cells(rows: DataFrame, exclusion: DataFrame) -> DataFrame:
+    """Per (prey, bait) the count, sums about the prey mean and ranks of the excluded baits' values."""
+    x = rows.select("prey", "c", F.posexplode("cells").alias("pos", "x"))
+    d = F.col("x.value") - F.col("c")
+    x = x.select("prey", F.col("x.other").alias("other"), (F.col("pos") + 1).cast("bigint").alias("rank"), d.alias("d"))
+    return x.join(exclusion, "other").groupBy(*PAIR).agg(
+        F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"), F.array_sort(F.collect_list("rank")).alias("gone"))
 
 
 def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame, ddof: int = 1,
                      mean: bool = False, scale: bool = True) -> DataFrame:
     """(prey, bait, t, df, pvals, enrichment) of every sampled pair against its control.
 
-    ``exclusion`` holds (bait, other) pairs; ``mean`` compares means instead of medians and
+    ``exclusion`` holds distinct (bait, other) pairs; ``mean`` compares means instead of medians and
     ``scale=False`` leaves the difference undivided by the control's deviation.
+
+    Every step is keyed by prey or by pair.  The shuffled volume is the two input tables plus one
+    row per pair and excluded value; it does not grow with the square of the baits.
     """
-    s = sample_stats(values)
-    c = control_stats(s, control, exclusion)
-    j = s.join(c, PAIR)
+    total = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["value"])
+    squares = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + (x["value"] - F.col("c")) * (x["value"] - F.col("c")))
+    rows = control_rows(control).withColumn("all_n", F.size("cells")).withColumn("c", total / F.col("all_n"))
+    gone = removed_cells(rows, exclusion)
+    row = rows.select("prey", "c", "all_n", squares.alias("all_ss"), *([] if mean else [F.transform("cells", lambda x: x["value"]).alias("vals")]))
+    j = sample_stats(values.repartition("prey")).join(row, "prey").join(gone, PAIR, "left").na.fill(0, ["n", "s", "ss"])
+
+    n2 = F.col("all_n") - F.col("n")
+    shift = F.when(n2 > 0, -F.col("s") / F.when(n2 > 0, n2))
+    j = j.withColumns({"n2": n2, "m2": F.col("c") + shift,
+                       "q2": F.greatest(F.col("all_ss") - F.col("ss") - n2 * shift * shift, F.lit(0.0))}).filter("n2 > 0")
     n2, q2 = F.col("n2"), F.col("q2")
-    sd = F.sqrt(q2 / F.when(n2 > ddof, n2 - ddof))
-    t, df = t_statistic(F.col("n1"), F.col("m1"), F.col("q1"), n2, F.col("m2"), q2)
     if mean:
         diff = F.col("m1") - F.col("m2")
     else:
-        j = j.join(control_median(s, control, exclusion, c), PAIR, "left")
-        diff = F.col("med1") - F.col("med2")
+        # the k-th remaining value sits at the rank reached by stepping over each removed rank not beyond it
+        removed = F.coalesce("gone", F.array().cast("array<bigint>"))
+
+        def kth(k):
+            r = F.aggregate(removed, k.cast("bigint"), lambda at, m: F.when(m <= at, at + 1).otherwise(at))
+            return F.element_at("vals", r.cast("int"))
+        diff = F.col("med1") - (kth(F.floor((n2 + 1) / 2)) + kth(F.ceil((n2 + 1) / 2))) / 2
+    sd = F.sqrt(q2 / F.when(n2 > ddof, n2 - ddof))
+    t, df = t_statistic(F.col("n1"), F.col("m1"), F.col("q1"), n2, F.col("m2"), q2)
     e = F.when(sd > 0, diff / F.when(sd > 0, sd)) if scale else diff
     return j.select(*PAIR, "n1", "n2", t.alias("t"), df.alias("df"), e.alias("enrichment")) \
             .withColumn("pvals", neglog10p(F.col("t"), F.col("df")))
