@@ -88,21 +88,21 @@ def consistent_median(df: DataFrame, parts: list[str], part: str = "compartment"
     A prey has one short vector per replicate, so its replicates are compared inside one row.
     """
     vec = df.groupBy("prey", "replicate").agg(*[F.coalesce(F.max(F.when(F.col(part) == p, F.col("value"))), F.lit(0.0)).alias(p) for p in parts])
-    one = vec.groupBy("prey").agg(F.collect_list(F.array(*parts)).alias("reps"))
+    # centred and scaled to length 1 while still flat columns: a correlation is then one short dot product
     n = float(len(parts))
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+    vec = vec.withColumn("_m", sum((F.col(p) for p in parts[1:]), F.col(parts[0])) / n)
+    length = F.sqrt(sum((F.pow(F.col(p) - F.col("_m"), 2) for p in parts), F.lit(0.0)))
+    vec = vec.withColumn("_l", F.when(length > 0, length))
+    unit = F.array(*[(F.col(p) - F.col("_m")) / F.col("_l") for p in parts])
+    one = vec.groupBy("prey").agg(F.collect_list(F.struct(F.array(*parts).alias("x"), unit.alias("z"))).alias("reps"))
 
     def corr(a, b):
-        ma, mb = add(a) / n, add(b) / n
-        sab = add(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-        saa, sbb = add(F.transform(a, lambda x: (x - ma) * (x - ma))), add(F.transform(b, lambda x: (x - mb) * (x - mb)))
-        den = F.sqrt(saa * sbb)
-        return F.when(den > 0, sab / F.when(den > 0, den))
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    agree = F.transform("reps", lambda a: F.size(F.filter("reps", lambda b: F.coalesce(F.round(corr(a, b), 12) > r_cut, F.lit(False)))) - 1)
+    agree = F.transform("reps", lambda a: F.size(F.filter("reps", lambda b: F.coalesce(F.round(corr(a["z"], b["z"]), 12) > r_cut, F.lit(False)))) - 1)
     kept = one.withColumn("_a", agree).withColumn("kept", F.filter("reps", lambda _, i: F.get("_a", i) >= others))
     def med(k):
-        s = F.array_sort(F.transform("kept", lambda v: v[k]))
+        s = F.array_sort(F.transform("kept", lambda v: v["x"][k]))
         m = F.size(s)
         mid = (F.element_at(s, F.floor((m + 1) / 2).cast("int")) + F.element_at(s, F.ceil((m + 1) / 2).cast("int"))) / 2
         return F.when(F.size("kept") > 0, mid).otherwise(0.0)
