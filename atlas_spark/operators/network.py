@@ -293,7 +293,7 @@ def cluster_heatmap_rows(edges: DataFrame, membership: DataFrame, weight: str, c
     tiles = induced_subgraph(best, membership).select("cluster_id", "target", "prey", *[F.col(f"_b.{c}").alias(c) for c in [weight, *carry]])
 
     def order(end, out):
-        d = tiles.groupBy("cluster_id", end).agg((-F.sum(weight)).alias("_w"))
+        d = tiles.groupBy("cluster_id", end).agg((-F.round(F.sum(weight), 9)).alias("_w"))  # rounded, so that equal totals tie in any order of summation
         return grouped_ranks(d, ["cluster_id"], "_w", [end], out="_i").select("cluster_id", end, (F.col("_i") - 1).alias(out))
     ids = membership.groupBy("cluster_id", "gene").agg(F.min("subcluster_id").alias("s"), F.min("core_id").alias("c"))
     t = ids.select("cluster_id", F.col("gene").alias("target"), F.col("s").alias("ts"), F.col("c").alias("tc"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E, network as N
 from ..registry import query
-from .relational import BRIDGE, SIG, rounded
+from .relational import BRIDGE, REF_UNIPROT, SIG, rounded
 
 UNI = "(select distinct least(target, prey) as a, greatest(target, prey) as b from {edges} where target <> prey)"
 
@@ -51,7 +51,13 @@ def induced_subgraph(t):
     return N.induced_subgraph(t.edges, t.clusters)
 
 
-@query("prune_single_edges")
+# more rounds than either table needs: further rounds change nothing once the fixed point is reached
+PRUNE = "with r0 as materialized (select target, prey, weight from {edges} where target <> prey)" + "".join(
+    f", r{i} as materialized (select * from r{i - 1} where target in (select target from r{i - 1} group by 1 having count(*) >= 2) and prey in (select prey from r{i - 1} group by 1 having count(*) >= 2))"
+    for i in range(1, 13)) + " select * from r12"
+
+
+@query("prune_single_edges", PRUNE)
 def prune_single_edges(t):
     return N.prune_single_edges(t.edges).select("target", "prey", "weight")
 
@@ -66,7 +72,13 @@ def haircut(t):
     return N.haircut(t.sql(BIG), t.edges)
 
 
-@query("recursive_haircut")
+HAIRCUT = f"with m0 as materialized ({BIG})" + "".join(
+    f""", i{i} as (select a.cluster_id, target, prey from {{edges}} e join m{i - 1} a on a.gene = e.target join m{i - 1} b on b.gene = e.prey and b.cluster_id = a.cluster_id where target <> prey),
+    m{i} as materialized (select * from m{i - 1} m where (cluster_id, gene) in (select (cluster_id, g) from (select cluster_id, target as g, prey as o from i{i} union select cluster_id, prey, target from i{i}) u group by cluster_id, g having count(distinct o) >= 2))"""
+    for i in range(1, 9)) + " select cluster_id, gene from m8"
+
+
+@query("recursive_haircut", HAIRCUT)
 def recursive_haircut(t):
     return N.recursive_haircut(t.sql(BIG), t.edges)
 
@@ -97,7 +109,7 @@ def find_gene_clusters(t):
 
 @query("cluster_heatmap_rows", """with b as (select target, prey, pvals, plate, row_key from (select *, row_number() over (partition by target, prey order by pvals desc, plate desc, row_key desc) as r from {scores} where target <> prey) q where r = 1),
     i as (select c.cluster_id, b.*, c.subcluster_id as ts, d.subcluster_id as ps, c.core_id as tc, d.core_id as pc from b join {clusters} c on c.gene = b.target join {clusters} d on d.gene = b.prey and d.cluster_id = c.cluster_id),
-    t as (select cluster_id, target, row_number() over (partition by cluster_id order by -sum(pvals), target) - 1 as col_index from i group by 1, 2), p as (select cluster_id, prey, row_number() over (partition by cluster_id order by -sum(pvals), prey) - 1 as row_index from i group by 1, 2)
+    t as (select cluster_id, target, row_number() over (partition by cluster_id order by -round(sum(pvals), 9), target) - 1 as col_index from i group by 1, 2), p as (select cluster_id, prey, row_number() over (partition by cluster_id order by -round(sum(pvals), 9), prey) - 1 as row_index from i group by 1, 2)
     select i.cluster_id, i.target, i.prey, col_index, row_index, case when ts = ps then ts end as subcluster_id, case when tc = pc then tc end as core_complex_id, pvals, plate, row_key from i
     join t on t.cluster_id = i.cluster_id and t.target = i.target join p on p.cluster_id = i.cluster_id and p.prey = i.prey""")
 def cluster_heatmap_rows(t):
@@ -277,7 +289,7 @@ def group_associations(t):
     return N.group_associations(t.protein_group, t.uniprot, E.reference_uniprot(t.uniprot), t.design)[1]
 
 
-@query("group_reference_uniprot")
+@query("group_reference_uniprot", f"select distinct g.group_id, r.uniprot_id from {GROUP_IDS} g join {{uniprot}} u on u.uniprot_id = g.uniprot_id join {REF_UNIPROT} r on r.ensg_id = u.ensg_id")
 def group_reference_uniprot(t):
     return N.group_associations(t.protein_group, t.uniprot, E.reference_uniprot(t.uniprot), t.design)[0]
 

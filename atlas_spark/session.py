@@ -15,6 +15,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = (b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
@@ -26,13 +27,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; choose one only where none is set (local runs)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, which every executor can reach; empty where none is set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="atlas-checkpoint-"))
+    return (spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or "")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's folder; choose a temporary one only where none is set (local runs)."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark) or tempfile.mkdtemp(prefix="atlas-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

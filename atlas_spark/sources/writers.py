@@ -9,12 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cols as C
+from ..session import shared_dir
 
 
 def scratch_path(spark: SparkSession) -> str:
     """New folder for intermediate files: in the cluster's shared folder when one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return os.path.join(shared or tempfile.mkdtemp(prefix="atlas-"), f"files-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark) or tempfile.mkdtemp(prefix="atlas-"), f"files-{uuid.uuid4().hex}")
 
 
 def edge_lines(edges: DataFrame, target: str = "target", prey: str = "prey") -> DataFrame:
