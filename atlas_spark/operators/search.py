@@ -52,11 +52,20 @@ def token_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def fulltext_search(queries: DataFrame, tokens: DataFrame, top: int = TOP) -> DataFrame:
-    """(query, id, relevance): documents with every query word, by term frequency over length."""
+    """(query, id, relevance): documents with every query word, by term frequency over length.
+
+    Candidates come from each query's rarest word; the other words are looked up by (word, document),
+    so a word that most documents contain never lists them.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: w != ""))
-    q = queries.select("query").distinct().withColumn("_w", words).withColumn("_n", F.size("_w"))
-    asked = q.select("query", "_n", F.explode("_w").alias("token"))
-    hit = asked.join(tokens, "token").groupBy("query", "_n", "id", "n_tokens").agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf"))
+    asked = queries.select("query").distinct().withColumn("_w", words).select("query", F.size("_w").alias("_n"), F.explode("_w").alias("token"))
+    freq = tokens.groupBy("token").agg(F.count("*").alias("_f"))
+    known = asked.join(freq, "token")
+    rare = known.groupBy("query").agg(F.count("*").alias("_k"), F.max("_n").alias("_n"), F.min(F.struct("_f", "token")).alias("_r")) \
+        .filter("_k = _n").select("query", F.col("_r.token").alias("token"))
+    cand = rare.join(tokens, "token").select("query", "id")
+    hit = (cand.join(asked, "query").join(tokens, ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
+           .agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf")))
     ranked = hit.filter("_m = _n").select("query", "id", (F.col("_tf") / F.col("n_tokens")).alias("relevance"))
     from .relational import top_n
     return top_n(ranked, ["query"], [F.desc("relevance"), F.asc("id")], top).drop("rank")

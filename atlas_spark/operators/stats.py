@@ -52,20 +52,22 @@ def control_rows(control: DataFrame) -> DataFrame:
     return control.filter("value is not null").groupBy("prey").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
 
 
-def removed_cells(rows: DataFrame, exclusion: DataFrame) -> DataFrame:
-    """Per (prey, bait) the count, sums about the prey mean and ranks of the excluded baits' values."""
+def removed_cells(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Per (prey, set_id) the count, sums about the prey mean and ranks of the values of the set's baits."""
     x = rows.select("prey", "c", F.posexplode("cells").alias("pos", "x"))
     d = F.col("x.value") - F.col("c")
     x = x.select("prey", F.col("x.other").alias("other"), (F.col("pos") + 1).cast("bigint").alias("rank"), d.alias("d"))
-    return x.join(exclusion, "other").groupBy(*PAIR).agg(
+    return x.join(members, "other").groupBy("prey", "set_id").agg(
         F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"), F.array_sort(F.collect_list("rank")).alias("gone"))
 
 
 def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame, ddof: int = 1,
-                     mean: bool = False, scale: bool = True) -> DataFrame:
+                     mean: bool = False, scale: bool = True, sets: DataFrame | None = None) -> DataFrame:
     """(prey, bait, t, df, pvals, enrichment) of every sampled pair against its control.
 
-    ``exclusion`` holds distinct (bait, other) pairs; ``mean`` compares means instead of medians and
+    ``exclusion`` holds distinct (bait, other) pairs.  Where baits share what they exclude, ``sets``
+    assigns each bait a set_id and ``exclusion`` lists the members (set_id, other) of each set once;
+    no pairs of baits are formed then.  ``mean`` compares means instead of medians and
     ``scale=False`` leaves the difference undivided by the control's deviation.
 
     Every step is keyed by prey or by pair.  The shuffled volume is the two input tables plus one
@@ -74,9 +76,12 @@ def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame
     total = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["value"])
     squares = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + (x["value"] - F.col("c")) * (x["value"] - F.col("c")))
     rows = control_rows(control).withColumn("all_n", F.size("cells")).withColumn("c", total / F.col("all_n"))
-    gone = removed_cells(rows, exclusion)
+    members = exclusion if sets is not None else exclusion.withColumnRenamed("bait", "set_id")
+    gone = removed_cells(rows, members)
     row = rows.select("prey", "c", "all_n", squares.alias("all_ss"), *([] if mean else [F.transform("cells", lambda x: x["value"]).alias("vals")]))
-    j = sample_stats(values.repartition("prey")).join(row, "prey").join(gone, PAIR, "left").na.fill(0, ["n", "s", "ss"])
+    samples = sample_stats(values.repartition("prey"))
+    samples = samples.join(sets, "bait", "left") if sets is not None else samples.withColumn("set_id", F.col("bait"))
+    j = samples.join(row, "prey").join(gone, ["prey", "set_id"], "left").na.fill(0, ["n", "s", "ss"])
 
     n2 = F.col("all_n") - F.col("n")
     shift = F.when(n2 > 0, -F.col("s") / F.when(n2 > 0, n2))
@@ -120,9 +125,14 @@ def control_exclusion(baits: DataFrame, complexes: DataFrame) -> DataFrame:
     return by_root.unionByName(by_complex).unionByName(itself).distinct()
 
 
-def cluster_exclusion(clusters: DataFrame) -> DataFrame:
-    """Baits of the same cluster, and each bait itself."""
-    return clusters.join(clusters.select("cluster", F.col("bait").alias("other")), "cluster").select("bait", "other").distinct()
+def cluster_sets(values: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets, members) for leave_out_scores: a bait's control has the baits of other clusters only.
+
+    A bait without a cluster is a set of its own.  ``clusters``: (bait, cluster).
+    """
+    c = values.select("bait").distinct().join(clusters.select("bait", F.col("cluster").cast("string").alias("_c")), "bait", "left")
+    sets = c.select("bait", F.coalesce(F.concat(F.lit("cluster "), "_c"), F.concat(F.lit("bait "), "bait")).alias("set_id"))
+    return sets, sets.select("set_id", F.col("bait").alias("other"))
 
 
 def bait_correlation(values: DataFrame) -> DataFrame:

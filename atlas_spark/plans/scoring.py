@@ -149,7 +149,8 @@ CLUST = "(select distinct concat('B', s_suppkey % 12) as bait, s_suppkey % 12 %
 
 @query("score_by_cluster", f"with c as {CLUST}, x as materialized (select a.bait, b.bait as other from c a join c b on a.cluster = b.cluster) select prey, bait, {NUMS} from {leave_out('{complete}', '{complete}', 'x')} q")
 def score_by_cluster(t):
-    return nums(S.leave_out_scores(t.complete, t.complete, S.cluster_exclusion(t.sql(CLUST[1:-1]))))
+    sets, members = S.cluster_sets(t.complete, t.sql(CLUST[1:-1]))
+    return nums(S.leave_out_scores(t.complete, t.complete, members, sets=sets))
 
 
 CORR = """(with k as (select prey from {complete} group by 1 having count(distinct bait) = (select count(distinct bait) from {complete})), m as (select prey, bait, median(value) as v from {complete} where prey in (select prey from k) group by 1, 2)
