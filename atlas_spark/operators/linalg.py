@@ -7,16 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BLOCKS = 8
-CHUNKS = 32
+TILE_CELLS = 100_000
 
 
-def gram(df: DataFrame, row: str, column: str, value: str, blocks: int = BLOCKS, chunks: int = CHUNKS) -> DataFrame:
+def gram(df: DataFrame, row: str, column: str, value: str, blocks: int = BLOCKS, chunks: int | None = None) -> DataFrame:
     """(a, b, dot): dot products of every two columns over shared rows.
 
     Rows are hashed into chunks and columns into blocks; a task multiplies two tiles at a time and
-    emits their sums, so neither the rows of a column nor the pairs of a row are ever listed.  A tile
-    holds about rows x columns / (chunks x blocks) values; raise both with the table.
+    emits their sums, so neither the rows of a column nor the pairs of a row are ever listed.  The
+    number of chunks follows the number of values, so a tile stays at about TILE_CELLS of them.
+    ``df`` has one value per (row, column).
     """
+    if chunks is None:
+        chunks = max(1, -(-df.count() // (blocks * TILE_CELLS)))
     n_blocks = F.lit(blocks)
     t = df.select(F.pmod(F.xxhash64(row), F.lit(chunks)).alias("chunk"), F.pmod(F.xxhash64(F.col(column), F.lit(1)), n_blocks).alias("blk"),
                   F.xxhash64(row).alias("r"), F.col(column).alias("c"), F.col(value).cast("double").alias("v")).filter("v is not null")
