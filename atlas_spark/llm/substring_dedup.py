@@ -22,7 +22,7 @@ PERCENT = 80
 RECALL = 0.99
 SHORT = 5        # sentences of fewer words belong to the one before
 PARAGRAPH = 8    # paragraphs of fewer words are never taken as repeated by themselves
-SPAN = 25        # words of a repeated passage, gaps of short paragraphs left out
+SPAN = 20        # words of a repeated passage, gaps of short paragraphs left out
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
