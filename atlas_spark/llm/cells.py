@@ -36,14 +36,22 @@ def distinct_groups(members: DataFrame) -> DataFrame:
 
 
 def into_cells(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(cell, id) rows: each member once per cell it takes part in, that is once for every block of its group."""
+    """(cell, side, id) rows of members(g, id, size): each member once per cell it takes part in, that is once for every block
+    of its group.  Side 2 marks the cell of one block; in a cell of two blocks only pairs of different sides are compared."""
     d = members.withColumn("nb", F.ceil(F.col("size") / block).cast("int"))
     d = d.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("nb").cast("bigint")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return d.select(F.xxhash64("g", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), "id")
+    side = F.when(F.col("blk") == F.col("other"), 2).when(F.col("blk") < F.col("other"), 0).otherwise(1)
+    return d.select(F.xxhash64("g", F.least("blk", "other"), F.greatest("blk", "other")).alias("cell"), side.alias("side"), "id")
 
 
-def _links(ids: list, bins: list, sizes: list, linked: Callable) -> Iterator[tuple]:
+def pair_cells(pairs: DataFrame) -> DataFrame:
+    """A cell for each pair (a, b)."""
+    both = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("id")), F.struct(F.lit(1).alias("side"), F.col("b").alias("id")))
+    return pairs.select(F.xxhash64("a", "b").alias("cell"), F.explode(both).alias("e")).select("cell", "e.side", "e.id")
+
+
+def _links(ids: list, bins: list, sizes: list, sides: list, linked: Callable) -> Iterator[tuple]:
     root = list(range(len(ids)))
 
     def find(i):
@@ -56,6 +64,8 @@ def _links(ids: list, bins: list, sizes: list, linked: Callable) -> Iterator[tup
     cache: dict = {}
     for i in range(len(ids)):
         for j in range(i):
+            if sides[i] == sides[j] != 2:
+                continue
             a, b = find(i), find(j)
             if a != b and ids[i] != ids[j] and linked(i, j, sets, full, sizes, cache):
                 root[a] = b
@@ -68,13 +78,13 @@ def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions:
     ``linked(i, j, sets, full, aux, cache)`` decides on members i and j of the cell.  A cell is read as a run of
     sorted rows, so a task holds one cell at a time.
     """
-    rows = cells.join(sets, "id").select("cell", "id", "bin", "aux")
+    rows = cells.join(sets, "id").select("cell", "id", "bin", "aux", "side")
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell")
     kind = cells.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, ([], [], [])
+        cell, held = None, ([], [], [], [])
         out: tuple[list, list] = ([], [])
 
         def close():
@@ -82,13 +92,12 @@ def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions:
                 out[0].append(a)
                 out[1].append(b)
         for batch in batches:
-            for c, i, b, x in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "bin", "aux"))):
+            for c, *row in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "bin", "aux", "side"))):
                 if c != cell:
                     close()
-                    cell, held = c, ([], [], [])
-                held[0].append(i)
-                held[1].append(b)
-                held[2].append(x)
+                    cell, held = c, ([], [], [], [])
+                for column, x in zip(held, row):
+                    column.append(x)
             if len(out[0]) > 5000:
                 yield _edges(out, kind)
                 out = ([], [])

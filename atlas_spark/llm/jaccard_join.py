@@ -5,6 +5,9 @@ Jaccard similarity reaches the threshold share at least ``l`` of the first ``n -
 shingles of both, for every l; a document chooses its own l by the estimated cost of its candidates:
 documents made of frequent shingles read a longer prefix and ask for more shared shingles, so fewer
 candidates reach the exact check.  A pair uses the smaller l of the two, which stays exact.
+
+Equal sets are one node.  Nodes that share enough with the first node of a list form families, whose members are compared in
+block cells once and not in every list; pairs across families are counted list by list.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
 from . import cells as C, text as T
@@ -21,8 +24,11 @@ from .components import components
 
 CELL_BITS = 20
 MAX_MATCH = 4
-#: cost of an exact check in units of one index row read
+#: cost of an exact check in units of one index row read, and rows expected for a shingle that no cell shows as repeated
 CHECK_COST = 8.0
+CHANCE = 0.2
+#: lists over this size are compared in block cells of their own
+LONG_LIST = 512
 
 
 def _texts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -71,7 +77,7 @@ def matches(o: np.ndarray, levels: np.ndarray, percent: int) -> int:
     for k in range(1, MAX_MATCH + 1):
         if base + k - 1 > len(o):
             break
-        read = often[:base + k - 1].sum() - (base + k - 1)
+        read = often[:base + k - 1].sum() - (1 - CHANCE) * (base + k - 1)
         cost = read + CHECK_COST * read / k
         if cost < least * 0.999:
             best, least = k, cost
@@ -84,24 +90,25 @@ def _signature(u: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix) per row; sig is NULL for texts without words."""
+    """(doc_id, n_shingles, sig, asked, prefix) per row; sig is NULL for texts without words, asked is the number of matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = levels.value
         for batch in batches:
             for part in T.pieces(batch):
-                size, sig, prefix = [], [], []
+                size, sig, asked, prefix = [], [], [], []
                 for u in T.distinct_sets(*T.shingles(T.words(part.column("text")), n)):
                     size.append(len(u))
                     sig.append(_signature(u) if len(u) else None)
                     o = ordered(u, lev)
                     k = matches(o, lev, percent) if len(u) else 0
+                    asked.append(k)
                     prefix.append(o[:len(o) - required(len(o), percent) + k].view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()),
-                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n_shingles", "sig", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(asked, pa.int32()),
+                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n_shingles", "sig", "asked", "prefix"])
     d = _texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, prefix array<bigint>")
+    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, asked int, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -142,6 +149,32 @@ def _prefix(i, k, sets, percent, cache):
     return cache[i, k]
 
 
+def families(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """members(g, id, asked) with ``fam``: ids that share enough prefix shingles with the least id of one of their lists, chained.
+
+    Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by ``across``.
+    """
+    least = members.groupBy("g").agg(F.min("id").alias("pivot"))
+    star = members.join(least, "g").filter("id <> pivot").select("id", "pivot").distinct()
+    own = reps.select("id", "asked", "prefix")
+    other = reps.select(F.col("id").alias("pivot"), F.col("asked").alias("asked2"), F.col("prefix").alias("prefix2"))
+    k = F.least("asked", "asked2")
+    part = [F.slice(p, F.lit(1), F.size(p) - F.col(a) + k) for p, a in (("prefix", "asked"), ("prefix2", "asked2"))]
+    near = star.join(own, "id").join(other, "pivot").filter(F.size(F.array_intersect(*part)) >= k)
+    fam = components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    return cut_lineage(members.join(fam.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "asked", F.coalesce("label", "id").alias("fam")))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Cells for candidates of different families: pairs that share as many prefix shingles as asked for, and long lists in blocks."""
+    w = W.partitionBy("g")
+    mixed = members.withColumn("mixed", F.min("fam").over(w) != F.max("fam").over(w)).withColumn("size", F.count("*").over(w)).filter("mixed")
+    short, long_ = mixed.filter(F.col("size") <= LONG_LIST), mixed.filter(F.col("size") > LONG_LIST)
+    a, b = (short.select("g", F.col("id").alias(n), F.col("fam").alias(f"fam_{n}"), F.col("asked").alias(f"asked_{n}")) for n in "ab")
+    pairs = a.join(b, "g").filter("a < b and fam_a <> fam_b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("asked_a", "asked_b")).alias("k"))
+    return C.pair_cells(pairs.filter("n >= k")).unionByName(C.into_cells(C.distinct_groups(long_.select("g", "id"))))
+
+
 def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs(doc_id, text, ...)``.
 
@@ -155,11 +188,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequent_cells(docs, words))
     sig = cut_lineage(signatures(docs, levels, words, percent))
-    reps = sig.filter("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("prefix").alias("prefix"))
-    members = reps.select(F.explode("prefix").alias("g"), F.col("sig").alias("id"))
-    groups = cut_lineage(C.distinct_groups(C.shared(members)))
-    wanted = groups.select("id").distinct().join(reps.select(F.col("sig").alias("id"), "doc_id"), "id")
-    edges = C.link_cells(C.into_cells(groups), _sets(docs, wanted, levels, words, percent), _linked(percent))
+    reps = sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "asked", "prefix")])
+    members = families(C.shared(reps.select(F.explode("prefix").alias("g"), "id", "asked"), "asked"), reps)
+    alike = members.select(F.col("fam").alias("g"), "id").distinct()
+    size = alike.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
+    cells = cut_lineage(C.into_cells(alike.join(size, "g")).unionByName(across(members)))
+    wanted = cells.select("id").distinct().join(reps.select("id", "doc_id"), "id")
+    edges = C.link_cells(cells, _sets(docs, wanted, levels, words, percent), _linked(percent))
     comp = components(cut_lineage(edges))
     label = sig.select("doc_id", "n_shingles", "sig").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = label.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
