@@ -90,10 +90,10 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = ROWS_P
     out = d.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns} | {"_last": F.lead(F.lit(1)).over(w).isNull()})
     # the first row of each range: its least doc_id, and among repeated ids the least text
     least = d.groupBy("_bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("m")).select("_bucket", "m.doc_id")
-    ring = W.orderBy("_bucket")  # at most MAX_BUCKETS rows
+    ring = W.orderBy("_bucket")  # at most MAX_BUCKETS rows, so the table may be broadcast as well
     least = least.withColumn("_before", F.coalesce(F.lag("_bucket").over(ring), F.max("_bucket").over(W.partitionBy())))
     least = least.withColumnRenamed("doc_id", "_id").withColumnRenamed("_bucket", "_b")
-    first = d.join(least, (d["_bucket"] == least["_b"]) & d["doc_id"].eqNullSafe(least["_id"]))
+    first = d.join(F.broadcast(least), (d["_bucket"] == least["_b"]) & d["doc_id"].eqNullSafe(least["_id"]))
     first = first.groupBy("_before").agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("f"))
     first = first.select(F.col("_before").alias("_bucket"), *[F.col(f"f.{c}").alias(f"_first_{c}") for c in columns])
     out = out.join(first, "_bucket", "left")
