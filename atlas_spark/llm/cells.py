@@ -81,7 +81,6 @@ def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions:
     rows = cells.join(sets, "id").select("cell", "id", "bin", "aux", "side")
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell")
-    kind = cells.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, ([], [], [], [])
@@ -99,13 +98,12 @@ def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions:
                 for column, x in zip(held, row):
                     column.append(x)
             if len(out[0]) > 5000:
-                yield _edges(out, kind)
+                yield _edges(out)
                 out = ([], [])
         close()
-        yield _edges(out, kind)
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+        yield _edges(out)
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _edges(out: tuple[list, list], kind: str) -> pa.RecordBatch:
-    t = pa.binary() if kind == "binary" else pa.int64()
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x in out], ["a", "b"])
+def _edges(out: tuple[list, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])

@@ -84,9 +84,11 @@ def matches(o: np.ndarray, levels: np.ndarray, percent: int) -> int:
     return best
 
 
-def _signature(u: np.ndarray) -> bytes:
-    """128 bits of a set: sums of two mixes of its hashes."""
-    return np.array([u.sum(dtype=np.uint64), T._mixed(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes()
+def _signature(u: np.ndarray) -> int:
+    """64 bits of a set, from the sums of its hashes and of a mix of them; stands for the set as its node number."""
+    second = T._mixed(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    both = np.array([u.sum(dtype=np.uint64)]) ^ T._mixed(np.array([second]))
+    return int(T._mixed(both).view(np.int64)[0])
 
 
 def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -105,10 +107,10 @@ def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
                     prefix.append(o[:len(o) - required(len(o), percent) + k].view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(asked, pa.int32()),
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(asked, pa.int32()),
                                                   pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n_shingles", "sig", "asked", "prefix"])
     d = _texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, asked int, prefix array<bigint>")
+    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, asked int, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -124,9 +126,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> D
                         ids.append(i)
                         bins.append(o.tobytes())
                         aux.append(matches(o, lev, percent))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(bins, pa.binary()), pa.array(aux, pa.int64())], ["id", "bin", "aux"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bins, pa.binary()), pa.array(aux, pa.int64())], ["id", "bin", "aux"])
     d = _texts(docs, "doc_id").join(wanted, "doc_id").select("id", "text")
-    return d.mapInArrow(run, "id binary, bin binary, aux bigint").dropDuplicates(["id"])
+    return d.mapInArrow(run, "id bigint, bin binary, aux bigint").dropDuplicates(["id"])
 
 
 def _linked(percent: int):
@@ -161,7 +163,7 @@ def families(members: DataFrame, reps: DataFrame) -> DataFrame:
     k = F.least("asked", "asked2")
     part = [F.slice(p, F.lit(1), F.size(p) - F.col(a) + k) for p, a in (("prefix", "asked"), ("prefix2", "asked2"))]
     near = star.join(own, "id").join(other, "pivot").filter(F.size(F.array_intersect(*part)) >= k)
-    fam = components(near.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    fam = components(cut_lineage(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
     return cut_lineage(members.join(fam.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "asked", F.coalesce("label", "id").alias("fam")))
 
 
@@ -183,13 +185,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     words are one shingle; NULL, empty and blank texts have no shingle and stay alone.  Rows with a NULL
     doc_id keep their shingle count and have the component of the texts that they equal or link with
     (NULL if none of those has an id); repeated rows come out once per row.  Other columns are ignored.
-    Shingles are compared by 64-bit hashes.
+    Shingles and sets are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequent_cells(docs, words))
     sig = cut_lineage(signatures(docs, levels, words, percent))
-    reps = sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "asked", "prefix")])
-    members = families(C.shared(reps.select(F.explode("prefix").alias("g"), "id", "asked"), "asked"), reps)
+    reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "asked", "prefix")]))
+    shared = C.shared(reps.select(F.explode("prefix").alias("g"), "id"))
+    members = families(shared.join(reps.select("id", "asked"), "id"), reps)
     alike = members.select(F.col("fam").alias("g"), "id").distinct()
     size = alike.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
     cells = cut_lineage(C.into_cells(alike.join(size, "g")).unionByName(across(members)))
