@@ -102,9 +102,9 @@ def prune_single_edges(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         cur = cut_lineage(cur.join(t, "target", "left_semi").join(p, "prey", "left_semi"))
         left = cur.count()
         if left == n:
-            break
+            return cur
         n = left
-    return cur
+    raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
 def haircut(membership: DataFrame, edges: DataFrame, weight: str | None = None, above: float = 0.0) -> DataFrame:
@@ -125,9 +125,9 @@ def recursive_haircut(membership: DataFrame, edges: DataFrame, weight: str | Non
         cur = cut_lineage(haircut(cur, edges, weight, above))
         left = cur.count()
         if left == n:
-            break
+            return cur
         n = left
-    return cur
+    raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
 # --- clustering ----------------------------------------------------------------------------------
@@ -158,6 +158,8 @@ def mcl_clusters(membership: DataFrame, edges: DataFrame, first_thresh: int, mcl
         m = nxt
         if not moved:
             break
+    else:
+        raise RuntimeError(f"clustering not settled after {max_rounds} rounds")
     centre = m.filter("i = j").select("cluster_id", "i")
     label = m.join(centre, ["cluster_id", "i"]).groupBy("cluster_id", F.col("j").alias("gene")).agg(F.min("i").alias("cluster"))
     enough = label.groupBy("cluster_id", "cluster").agg(F.count("*").alias("n")).filter(F.col("n") >= mcl_thresh).select("cluster_id", "cluster")

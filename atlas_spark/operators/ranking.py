@@ -27,13 +27,22 @@ def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple
     return df.join(hot, cond, "left_anti"), df.join(hot, cond, "left_semi")
 
 
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by keys of which NULLs are equal."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, cond).drop(*[f"_r_{k}" for k in keys])
+
+
 def _pieces(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """df with ``_piece``: the number of the row's value range inside its group."""
     v = F.col(value).cast("double")
     cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(v, F.expr(_GRID), F.lit(2000))).alias("_cuts"))
     # the number of cuts below a value is found in two steps of 16, not by comparing with all of them
     cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda _, i: (i + 1) % 16 == 0))
-    j = df.join(cuts, keys).withColumn("_cut_at", 16 * F.size(F.filter("_coarse", lambda c: c < v)))
+    j = _join_on(df, cuts, keys).withColumn("_cut_at", 16 * F.size(F.filter("_coarse", lambda c: c < v)))
     fine = F.size(F.filter(F.slice("_cuts", F.col("_cut_at") + 1, F.lit(15)), lambda c: c < v))
     return j.withColumn("_piece", F.col("_cut_at") + fine).drop("_cuts", "_coarse", "_cut_at")
 
@@ -58,7 +67,7 @@ def grouped_ranks(df: DataFrame, keys: list[str], value: str, ties: list[str] =
     p = _pieces(hot, ks, value)
     off = _offsets(p, ks, F.lit(1)).drop("_in_piece")
     rn = F.row_number().over(W.partitionBy(*ks, "_piece").orderBy(value, *ties))
-    large = (p.withColumn("_rn", rn).join(off, [*ks, "_piece"])
+    large = (p.withColumn("_rn", rn).transform(_join_on, off, [*ks, "_piece"])
              .withColumn(out, (F.col("_rn") + F.col("_before")).cast("bigint")))
     cols = [*df.columns, out]
     return small.select(*cols).unionByName(large.select(*cols))
@@ -75,7 +84,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, amount: str, out: st
     small = cold.withColumn(out, upto(*ks))
     p = _pieces(hot, ks, order)
     off = _offsets(p, ks, F.col(amount)).drop("_in_piece")
-    large = p.withColumn("_rs", upto(*ks, "_piece")).join(off, [*ks, "_piece"]).withColumn(out, F.col("_rs") + F.col("_before"))
+    large = p.withColumn("_rs", upto(*ks, "_piece")).transform(_join_on, off, [*ks, "_piece"]).withColumn(out, F.col("_rs") + F.col("_before"))
     cols = [*df.columns, out]
     return small.select(*cols).unionByName(large.select(*cols))
 
@@ -99,7 +108,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     for x in pos.values():
         for r in (F.floor(x), F.ceil(x)):
             needed = needed | ((F.col("_before") <= r) & (F.col("_before") + F.col("_in_piece") > r))
-    rows = p.join(off.filter(needed), [*ks, "_piece"])
+    rows = _join_on(p, off.filter(needed), [*ks, "_piece"])
     cum = F.sum("_c").over(W.partitionBy(*ks, "_piece").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_cum", cum + F.col("_before"))
     aggs = [F.max("_n").alias("_n")]

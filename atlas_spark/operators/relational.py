@@ -54,8 +54,8 @@ def lineage_root(lines: DataFrame, id_col: str = "line_id", parent: str = "paren
         moved = not nxt.filter("_n <> _r").isEmpty()
         cur = nxt.select(id_col, F.col("_n").alias("root"))
         if not moved:
-            break
-    return cur
+            return cur
+    raise RuntimeError(f"roots not settled after {max_rounds} rounds: the parents form a cycle")
 
 
 def numbered_labels(df: DataFrame, key: str, labels: str, count: int, prefix: str = "label_") -> DataFrame:

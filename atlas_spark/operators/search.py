@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 TOP = 100
+NO_WORD = r"[^\p{L}\p{N}]+"
 
 
 def gene_search(queries: DataFrame, designs: DataFrame, uniprot: DataFrame, ready_lines: DataFrame | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def prefix_search(queries: DataFrame, uniprot: DataFrame, longest: int = 20) ->
 
 def token_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Inverted table (id, token, tf, n_tokens) over whole texts."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
     t = docs.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("n_tokens", F.size("w"))
     return t.select("id", "n_tokens", F.explode("w").alias("token")).groupBy("id", "n_tokens", "token").agg(F.count("*").alias("tf"))
 
@@ -57,7 +58,7 @@ def fulltext_search(queries: DataFrame, tokens: DataFrame, top: int = TOP) -> Da
     Candidates come from each query's rarest word; the other words are looked up by (word, document),
     so a word that most documents contain never lists them.
     """
-    words = F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9]+"), lambda w: w != ""))
+    words = F.array_distinct(F.filter(F.split(F.lower("query"), NO_WORD), lambda w: w != ""))
     asked = queries.select("query").distinct().withColumn("_w", words).select("query", F.size("_w").alias("_n"), F.explode("_w").alias("token"))
     freq = tokens.groupBy("token").agg(F.count("*").alias("_f"))
     known = asked.join(freq, "token")

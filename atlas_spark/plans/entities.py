@@ -36,12 +36,12 @@ def prefix_search(t):
     return S.prefix_search(t.sql(PREFIX), t.uniprot)
 
 
-TEXTQ = "select distinct concat(split_part(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ')), ' ', 1), ' ', split_part(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ')), ' ', 3)) as query from {benchmark}"
-TEXTQ_DUCK = TEXTQ.replace("'[^A-Za-z0-9]+', ' ')", "'[^A-Za-z0-9]+', ' ', 'g')")
+TEXTQ = "select distinct concat(split_part(lower(regexp_replace(text, '[^\\\\pL\\\\pN]+', ' ')), ' ', 1), ' ', split_part(lower(regexp_replace(text, '[^\\\\pL\\\\pN]+', ' ')), ' ', 3)) as query from {benchmark}"
+TEXTQ_DUCK = TEXTQ.replace("'[^\\\\pL\\\\pN]+', ' ')", "'[^\\pL\\pN]+', ' ', 'g')")
 
 
-@query("fulltext_search", f"""with w as (select doc_id as id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as ws from documents), k as materialized (select id, len(ws) as n, unnest(ws) as token from w), f as materialized (select id, n, token, count(*) as tf from k group by all),
-    q as (select query, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z0-9]+'), lambda x: x <> '')) as ws from ({TEXTQ_DUCK}) b), a as (select query, len(ws) as n_asked, unnest(ws) as token from q),
+@query("fulltext_search", f"""with w as (select doc_id as id, list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '') as ws from documents), k as materialized (select id, len(ws) as n, unnest(ws) as token from w), f as materialized (select id, n, token, count(*) as tf from k group by all),
+    q as (select query, list_distinct(list_filter(string_split_regex(lower(query), '[^\\pL\\pN]+'), lambda x: x <> '')) as ws from ({TEXTQ_DUCK}) b), a as (select query, len(ws) as n_asked, unnest(ws) as token from q),
     h as (select query, n_asked, id, n, count(*) as m, sum(tf) as tf from a join f using (token) group by all), r as (select query, id, tf / n as relevance, row_number() over (partition by query order by tf / n desc, id) as rank from h where m = n_asked)
     select query, id, round(relevance, 8) as relevance from r where rank <= 100""")
 def fulltext_search(t):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or "")
 
 
+def own_folder(master: str, prefix: str) -> str:
+    """Temporary folder of this machine, which only a local master's tasks can all reach."""
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's folder; choose a temporary one only where none is set (local runs)."""
+    """Use the cluster's folder; choose a temporary one only where none is set and the master is local."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark) or tempfile.mkdtemp(prefix="atlas-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark) or own_folder(spark.sparkContext.master, "atlas-checkpoint-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cols as C
-from ..session import shared_dir
+from ..session import own_folder, shared_dir
 
 
 def scratch_path(spark: SparkSession) -> str:
     """New folder for intermediate files: in the cluster's shared folder when one is set."""
-    return os.path.join(shared_dir(spark) or tempfile.mkdtemp(prefix="atlas-"), f"files-{uuid.uuid4().hex}")
+    return os.path.join(shared_dir(spark) or own_folder(spark.sparkContext.master, "atlas-"), f"files-{uuid.uuid4().hex}")
 
 
 def edge_lines(edges: DataFrame, target: str = "target", prey: str = "prey") -> DataFrame:

@@ -120,3 +120,34 @@ def test_partition_count_does_not_matter(spark, tables):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_null_key_of_a_large_group(spark):
+    """A NULL group gives the same rows on both sides of the limit."""
+    from atlas_spark.operators import ranking
+    df = spark.createDataFrame([(None if i % 2 else "a", i, float(i % 7)) for i in range(43)], "k string, i bigint, v double")
+    for fn in (lambda n: ranking.grouped_ranks(df, ["k"], "i", hot_rows=n), lambda n: ranking.running_sum(df, ["k"], "i", "v", hot_rows=n),
+               lambda n: ranking.grouped_quantiles(df, ["k"], "i", {"q": 0.3}, hot_rows=n)):
+        small, large = (sorted(map(tuple, fn(n).collect()), key=str) for n in (500_000, 5))
+        assert small == large and any(r[0] is None for r in small)
+
+
+def test_unsettled_loops_raise(spark):
+    import pytest
+    from atlas_spark.operators import network, relational
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "line_id bigint, parent_id bigint")
+    assert {r.root for r in relational.lineage_root(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        relational.lineage_root(chain, max_rounds=2)
+    path = spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(12)], "target string, prey string")
+    with pytest.raises(RuntimeError):
+        network.prune_single_edges(path, max_rounds=0)
+
+
+def test_local_folder_needs_a_local_master():
+    import pytest
+    from atlas_spark.session import own_folder
+    assert own_folder("local[8]", "atlas-test-") and own_folder("local", "atlas-test-")
+    for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            own_folder(master, "atlas-test-")
