@@ -151,18 +151,15 @@ def _prefix(i, k, sets, percent, cache):
     return cache[i, k]
 
 
-def families(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """members(g, id, asked) with ``fam``: ids that share enough prefix shingles with the least id of one of their lists, chained.
+def families(members: DataFrame) -> DataFrame:
+    """members(g, id, asked) with ``fam``: ids that share lists with the same least id, two of them or as many as asked for, chained.
 
-    Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by ``across``.
+    Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by
+    ``across``, so no link depends on it.
     """
     least = members.groupBy("g").agg(F.min("id").alias("pivot"))
-    star = members.join(least, "g").filter("id <> pivot").select("id", "pivot").distinct()
-    own = reps.select("id", "asked", "prefix")
-    other = reps.select(F.col("id").alias("pivot"), F.col("asked").alias("asked2"), F.col("prefix").alias("prefix2"))
-    k = F.least("asked", "asked2")
-    part = [F.slice(p, F.lit(1), F.size(p) - F.col(a) + k) for p, a in (("prefix", "asked"), ("prefix2", "asked2"))]
-    near = star.join(own, "id").join(other, "pivot").filter(F.size(F.array_intersect(*part)) >= k)
+    star = members.join(least, "g").filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"), F.min("asked").alias("asked"))
+    near = star.filter(F.col("n") >= F.least("asked", F.lit(2)))
     fam = components(cut_lineage(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
     return cut_lineage(members.join(fam.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "asked", F.coalesce("label", "id").alias("fam")))
 
@@ -192,7 +189,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     sig = cut_lineage(signatures(docs, levels, words, percent))
     reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "asked", "prefix")]))
     shared = C.shared(reps.select(F.explode("prefix").alias("g"), "id"))
-    members = families(shared.join(reps.select("id", "asked"), "id"), reps)
+    members = families(shared.join(reps.select("id", "asked"), "id"))
     alike = members.select(F.col("fam").alias("g"), "id").distinct()
     size = alike.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
     cells = cut_lineage(C.into_cells(alike.join(size, "g")).unionByName(across(members)))
