@@ -72,38 +72,96 @@ def _links(ids: list, bins: list, sizes: list, sides: list, linked: Callable) ->
                 yield ids[i], ids[j]
 
 
-def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions: int | None = None) -> DataFrame:
-    """(a, b) links of members of a cell; ``sets(id, bin, aux)`` has the hashes of each id in an order of its own choice.
+def _per_cell(cells: DataFrame, sets: DataFrame, fields: list[str], found: Callable, partitions: int | None = None) -> DataFrame:
+    """Rows of bigint ``fields`` that ``found(cell, ids, bins, aux, sides)`` gives for the members of each cell.
 
-    ``linked(i, j, sets, full, aux, cache)`` decides on members i and j of the cell.  A cell is read as a run of
-    sorted rows, so a task holds one cell at a time.
+    A cell is read as a run of sorted rows, so a task holds one cell at a time.
     """
     rows = cells.join(sets, "id").select("cell", "id", "bin", "aux", "side")
     n = partitions or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "cell").sortWithinPartitions("cell")
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], fields)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, ([], [], [], [])
-        out: tuple[list, list] = ([], [])
-
-        def close():
-            for a, b in _links(*held, linked):
-                out[0].append(a)
-                out[1].append(b)
+        out: list[tuple] = []
         for batch in batches:
             for c, *row in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "bin", "aux", "side"))):
                 if c != cell:
-                    close()
+                    out += found(cell, *held)
                     cell, held = c, ([], [], [], [])
                 for column, x in zip(held, row):
                     column.append(x)
-            if len(out[0]) > 5000:
-                yield _edges(out)
-                out = ([], [])
-        close()
-        yield _edges(out)
-    return rows.mapInArrow(run, "a bigint, b bigint")
+            if len(out) > 5000:
+                yield batch_of(out)
+                out = []
+        out += found(cell, *held)
+        yield batch_of(out)
+    return rows.mapInArrow(run, ", ".join(f"{f} bigint" for f in fields))
+
+
+def link_cells(cells: DataFrame, sets: DataFrame, linked: Callable, partitions: int | None = None) -> DataFrame:
+    """(a, b) links of members of a cell; ``sets(id, bin, aux)`` has the hashes of each id in an order of its own choice.
+
+    ``linked(i, j, sets, full, aux, cache)`` decides on members i and j of the cell.
+    """
+    return _per_cell(cells, sets, ["a", "b"], lambda cell, *held: _links(*held, linked), partitions)
+
+
+def _parts(ids: list, bits: list, sizes: list, sides: list, percent: int) -> Iterator[tuple]:
+    """(member, root) of the members chained by pairs that their parities cannot rule out."""
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    width = [8 * len(b) for b in bits]
+    value = [int.from_bytes(b, "little") for b in bits]
+
+    def folded(i, w):
+        x, n = value[i], width[i]
+        while n > w:
+            n //= 2
+            x = (x >> n) ^ (x & ((1 << n) - 1))
+        return x
+    by_width = {w: [folded(i, w) if width[i] >= w else 0 for i in range(len(ids))] for w in set(width)}
+    for i in range(len(ids)):
+        for j in range(i):
+            a, b = sizes[i], sizes[j]
+            if sides[i] == sides[j] != 2 or 100 * min(a, b) < percent * max(a, b):
+                continue
+            x, y = find(i), find(j)
+            if x != y:
+                of = by_width[min(width[i], width[j])]
+                if (of[i] ^ of[j]).bit_count() * (100 + percent) <= (a + b) * (100 - percent):
+                    root[x] = y
+    top = [find(i) for i in range(len(ids))]
+    alone = [True] * len(ids)
+    for i, r in enumerate(top):
+        if i != r:
+            alone[i] = alone[r] = False
+    return ((i, r) for i, r in enumerate(top) if not alone[i])
+
+
+def narrow_cells(cells: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The cells cut into the parts that may hold links, so that only their members need whole sets; parts of one member go.
+
+    ``marks(id, bin, aux)`` has the parities (``parities``) and the size of each set.  A hash that only one of two sets holds
+    turns one bit, so the differing bits never outnumber the differing hashes: no pair at ``percent`` is ruled out.
+    """
+    def found(cell, ids, bits, sizes, sides):
+        return [(cell, ids[r], sides[i], ids[i]) for i, r in _parts(ids, bits, sizes, sides, percent)]
+    parts = _per_cell(cells, marks, ["cell", "root", "side", "id"], found)
+    return parts.select(F.xxhash64("cell", "root").alias("cell"), F.col("side").cast("int").alias("side"), "id")
 
 
-def _edges(out: tuple[list, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+def parities(u: np.ndarray) -> bytes:
+    """Per bucket of hashes (low bits, as many buckets as hashes or up to twice that) whether it holds an odd number of them."""
+    n = 1 << max(6, (len(u) - 1).bit_length())
+    odd = np.bincount((u & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()

@@ -7,7 +7,8 @@ documents made of frequent shingles read a longer prefix and ask for more shared
 candidates reach the exact check.  A pair uses the smaller l of the two, which stays exact.
 
 Equal sets are one node.  Nodes that share enough with the first node of a list form families, whose members are compared in
-block cells once and not in every list; pairs across families are counted list by list.
+block cells once and not in every list; pairs across families are counted list by list.  Parities of the sets (one bit
+per shingle) rule out most candidates exactly, so whole sets are shipped only for what is left.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CHECK_COST = 8.0
 CHANCE = 0.2
 #: lists over this size are compared in block cells of their own
 LONG_LIST = 512
+#: as many (doc_id, id) rows are broadcast to the scan that cuts their sets again; more of them are joined by a shuffle
+BROADCAST_ROWS = 200_000
 
 
 def _texts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -92,25 +95,27 @@ def _signature(u: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, sig, asked, prefix) per row; sig is NULL for texts without words, asked is the number of matches."""
+    """(doc_id, n_shingles, sig, asked, prefix, bits) per row; sig is NULL for texts without words, asked is the number of matches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lev = levels.value
         for batch in batches:
             for part in T.pieces(batch):
-                size, sig, asked, prefix = [], [], [], []
+                size, sig, asked, prefix, bits = [], [], [], [], []
                 for u in T.distinct_sets(*T.shingles(T.words(part.column("text")), n)):
                     size.append(len(u))
                     sig.append(_signature(u) if len(u) else None)
                     o = ordered(u, lev)
                     k = matches(o, lev, percent) if len(u) else 0
                     asked.append(k)
+                    bits.append(C.parities(u) if len(u) else None)
                     prefix.append(o[:len(o) - required(len(o), percent) + k].view(np.int64))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), pa.array(asked, pa.int32()),
-                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "n_shingles", "sig", "asked", "prefix"])
+                                                  pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(bits, pa.binary())],
+                                                 ["doc_id", "n_shingles", "sig", "asked", "prefix", "bits"])
     d = _texts(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, asked int, prefix array<bigint>")
+    return d.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig bigint, asked int, prefix array<bigint>, bits binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> DataFrame:
@@ -127,7 +132,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> D
                         bins.append(o.tobytes())
                         aux.append(matches(o, lev, percent))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bins, pa.binary()), pa.array(aux, pa.int64())], ["id", "bin", "aux"])
-    d = _texts(docs, "doc_id").join(wanted, "doc_id").select("id", "text")
+    few = wanted.count() <= BROADCAST_ROWS
+    d = _texts(docs, "doc_id").join(F.broadcast(wanted) if few else wanted, "doc_id").select("id", "text")
     return d.mapInArrow(run, "id bigint, bin binary, aux bigint").dropDuplicates(["id"])
 
 
@@ -187,13 +193,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(frequent_cells(docs, words))
     sig = cut_lineage(signatures(docs, levels, words, percent))
-    reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "asked", "prefix")]))
+    reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "n_shingles", "asked", "prefix", "bits")]))
     shared = C.shared(reps.select(F.explode("prefix").alias("g"), "id"))
     members = families(shared.join(reps.select("id", "asked"), "id"))
     alike = members.select(F.col("fam").alias("g"), "id").distinct()
     size = alike.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-    cells = cut_lineage(C.into_cells(alike.join(size, "g")).unionByName(across(members)))
-    wanted = cells.select("id").distinct().join(reps.select("id", "doc_id"), "id")
+    cells = C.into_cells(alike.join(size, "g")).unionByName(across(members))
+    cells = cut_lineage(C.narrow_cells(cells, reps.select("id", F.col("bits").alias("bin"), F.col("n_shingles").alias("aux")), percent))
+    wanted = cut_lineage(cells.select("id").distinct().join(reps.select("id", "doc_id"), "id").select("doc_id", "id"))
     edges = C.link_cells(cells, _sets(docs, wanted, levels, words, percent), _linked(percent))
     comp = components(cut_lineage(edges))
     label = sig.select("doc_id", "n_shingles", "sig").join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
