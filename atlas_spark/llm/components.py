@@ -24,6 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only and no larger ones: each component is then a star around its least node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    ends = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ends.filter("down > 1 or down = 1 and up = 1").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges(a, b)``; the label is the least node reachable.
 
@@ -33,14 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).filter("node is not null").distinct()
     now = cut_lineage(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     for _ in range(MAX_ROUNDS):
-        now = cut_lineage(_small_star(_large_star(now)))
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == state:
+        if _is_forest_of_stars(now):
             break
-        state = new
+        now = cut_lineage(_small_star(_large_star(now)))
     else:
         raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
-    label = now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+    label = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
