@@ -19,10 +19,12 @@ from ..session import cut_lineage
 BLOCK = 256
 
 
-def shared(members: DataFrame, *carry: str) -> DataFrame:
-    """Distinct (g, id) of the groups that hold two ids or more, with the least of the carried columns; one shuffle of the rows."""
+def shared(members: DataFrame, *carry: str, least: bool = False) -> DataFrame:
+    """Distinct (g, id) of the groups that hold two ids or more, with the least of the carried columns and, if asked for, the
+    ``least`` id of the group; one shuffle of the rows."""
     w = W.partitionBy("g")
-    several = members.withColumn("_several", F.min("id").over(w) != F.max("id").over(w)).filter("_several")
+    several = members.withColumn("least", F.min("id").over(w)).withColumn("_several", F.col("least") != F.max("id").over(w)).filter("_several")
+    carry = (*carry, "least") if least else carry
     return cut_lineage(several.groupBy("g", "id").agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in carry]).drop("_n"))
 
 

@@ -158,25 +158,28 @@ def _prefix(i, k, sets, percent, cache):
 
 
 def families(members: DataFrame) -> DataFrame:
-    """members(g, id, asked) with ``fam``: ids that share lists with the same least id, two of them or as many as asked for, chained.
+    """(id, fam) of the ids that share lists with the same least id, two of them or as many as asked for, chained.
 
     Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by
     ``across``, so no link depends on it.
     """
-    least = members.groupBy("g").agg(F.min("id").alias("pivot"))
-    star = members.join(least, "g").filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"), F.min("asked").alias("asked"))
+    star = members.filter("id <> least").groupBy("id", "least").agg(F.count("*").alias("n"), F.min("asked").alias("asked"))
     near = star.filter(F.col("n") >= F.least("asked", F.lit(2)))
-    fam = components(cut_lineage(near.select(F.col("id").alias("a"), F.col("pivot").alias("b"))))
-    return cut_lineage(members.join(fam.withColumnRenamed("node", "id"), "id", "left").select("g", "id", "asked", F.coalesce("label", "id").alias("fam")))
+    fam = components(cut_lineage(near.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+    return cut_lineage(fam.select(F.col("node").alias("id"), F.col("label").alias("fam")))
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Cells for candidates of different families: pairs that share as many prefix shingles as asked for, and long lists in blocks."""
+def across(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Cells for candidates of different families: pairs of sizes that can link and that share as many prefix shingles as asked
+    for, and long lists in blocks.  ``facts(id, n_shingles, fam)`` has the size and the family of each member."""
     w = W.partitionBy("g")
-    mixed = members.withColumn("mixed", F.min("fam").over(w) != F.max("fam").over(w)).withColumn("size", F.count("*").over(w)).filter("mixed")
+    mixed = members.select("g", "id", "asked").join(facts, "id").withColumn("mixed", F.min("fam").over(w) != F.max("fam").over(w))
+    mixed = cut_lineage(mixed.withColumn("size", F.count("*").over(w)).filter("mixed").drop("mixed"))
     short, long_ = mixed.filter(F.col("size") <= LONG_LIST), mixed.filter(F.col("size") > LONG_LIST)
-    a, b = (short.select("g", F.col("id").alias(n), F.col("fam").alias(f"fam_{n}"), F.col("asked").alias(f"asked_{n}")) for n in "ab")
-    pairs = a.join(b, "g").filter("a < b and fam_a <> fam_b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.least("asked_a", "asked_b")).alias("k"))
+    a, b = (short.select("g", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "fam", "asked", "n_shingles")]) for n in "ab")
+    sizes = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    pairs = a.join(b, "g").filter("id_a < id_b and fam_a <> fam_b").filter(sizes).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pairs = pairs.agg(F.count("*").alias("n"), F.min(F.least("asked_a", "asked_b")).alias("k"))
     return C.pair_cells(pairs.filter("n >= k")).unionByName(C.into_cells(C.distinct_groups(long_.select("g", "id"))))
 
 
@@ -194,11 +197,12 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     levels = spark.sparkContext.broadcast(frequent_cells(docs, words))
     sig = cut_lineage(signatures(docs, levels, words, percent))
     reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "n_shingles", "asked", "prefix", "bits")]))
-    shared = C.shared(reps.select(F.explode("prefix").alias("g"), "id"))
-    members = families(shared.join(reps.select("id", "asked"), "id"))
-    alike = members.select(F.col("fam").alias("g"), "id").distinct()
-    size = alike.groupBy("g").agg(F.count("*").alias("size")).filter("size > 1")
-    cells = C.into_cells(alike.join(size, "g")).unionByName(across(members))
+    members = C.shared(reps.select(F.explode("prefix").alias("g"), "id", "asked"), "asked", least=True)
+    fam = families(members)
+    size = fam.groupBy("fam").agg(F.count("*").alias("size")).filter("size > 1")
+    alike = fam.join(size, "fam").select(F.col("fam").alias("g"), "id", "size")
+    facts = reps.select("id", "n_shingles").join(fam, "id", "left").withColumn("fam", F.coalesce("fam", "id"))
+    cells = C.into_cells(alike).unionByName(across(members, facts, percent))
     cells = cut_lineage(C.narrow_cells(cells, reps.select("id", F.col("bits").alias("bin"), F.col("n_shingles").alias("aux")), percent))
     wanted = cut_lineage(cells.select("id").distinct().join(reps.select("id", "doc_id"), "id").select("doc_id", "id"))
     edges = C.link_cells(cells, _sets(docs, wanted, levels, words, percent), _linked(percent))
