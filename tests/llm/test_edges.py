@@ -222,3 +222,26 @@ def test_words_and_shingles():
     assert w.first.tolist() == [0, 3, 3, 3, 5, 7] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[4] and w.hash[5] != w.hash[6]
     h, off = T.shingles(w, 2)
     assert off.tolist() == [0, 2, 2, 2, 3, 4] and h[0] == h[2]
+
+
+def test_links_at_the_border_of_the_length_test(spark):
+    """Sets of 90 and 100 shingles link at 90 percent, those of 89 and 100 do not, also where they share frequent lists with others."""
+    docs = [(100 * k + n, " ".join(f"k{k}x{i}" for i in range(n + 2)), "s") for k in range(4) for n in (100, 90, 89, 40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(table(spark, docs), 3, 90).collect()}
+    for k in range(4):
+        assert [got[100 * k + n][0] for n in (100, 90, 89, 40)] == [100, 90, 89, 40]
+        # 89 links with 90, and so reaches 100
+        assert len({got[100 * k + n][1] for n in (100, 90, 89)}) == 1 and got[100 * k + 40][1] == 100 * k + 40
+    two = [(n, " ".join(f"x{i}" for i in range(n + 2)), "s") for n in (100, 89)]
+    assert {r.component_id for r in jaccard_join.jaccard_join(table(spark, two), 3, 90).collect()} == {100, 89}
+
+
+def test_components_stop_at_stars_only(spark):
+    """A star is final at once; a node with two smaller neighbours, or with smaller and larger ones, is not."""
+    for edges in ([(5, 1), (6, 1), (9, 8)], [(5, 1), (5, 2)], [(5, 1), (9, 5)], [(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)]):
+        root = {}
+        for a, b in edges:
+            ra, rb = root.get(a, a), root.get(b, b)
+            nodes = {n for n, r in root.items() if r in (ra, rb)} | {a, b}
+            root |= {n: min(ra, rb) for n in nodes}
+        assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == root
