@@ -21,8 +21,9 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 
 
 def update_from(existing: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Non-null values of ``changes`` (unique on keys) overwrite ``columns`` of matching rows."""
-    new = changes.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns])
+    """Non-null values of ``changes`` overwrite ``columns`` of matching rows; of a key that comes more than once the smallest
+    value of each column counts, so no row is multiplied."""
+    new = changes.groupBy(*keys).agg(*[F.min(c).alias(f"_new_{c}") for c in columns])
     out = existing.join(new, keys, "left")
     return out.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in existing.columns])
 

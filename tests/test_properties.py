@@ -88,3 +88,11 @@ def test_cluster_order_is_a_permutation(spark, tables):
     o = ml.cluster_order(tables.embeddings, "vec_id", "embedding", 4).toPandas()
     assert sorted(o["position"]) == list(range(1, len(o) + 1))
     assert o.sort_values("position").groupby("cluster", sort=False)["mean"].apply(lambda m: (m.diff().dropna() <= 1e-12).all()).all()
+
+
+def test_update_from_keeps_one_row_per_row(spark):
+    from atlas_spark.sources.upserts import update_from
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "c", 3)], "k int, name string, v int")
+    changes = spark.createDataFrame([(1, None, 9), (1, "x", 7), (3, "y", 1), (None, "z", 5)], "k int, name string, v int")
+    got = sorted(map(tuple, update_from(rows, changes, ["k"], ["name", "v"]).collect()), key=str)
+    assert got == [(1, "x", 7), (2, "b", 2), (None, "c", 3)]
