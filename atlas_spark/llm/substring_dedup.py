@@ -1,7 +1,10 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard of colliding paragraphs, removal by components.
+"""Repeated passages: paragraph MinHash banding, exact Jaccard of colliding paragraphs, removal by components, and winnowed word runs.
 
 A paragraph is a sentence with the short sentences after it on its line: its borders depend only on the words around them,
 so a passage that was pasted into different texts gives the same inner paragraphs in all of them.
+
+Paragraphs find edited copies but need stops.  Equal words are found without them: of every REACH neighbouring runs of SEED words
+the one with the least hash is a seed, so two texts that share SPAN words in a row share a seed, wherever their sentences end.
 """
 
 from __future__ import annotations
@@ -23,7 +26,11 @@ RECALL = 0.99
 SHORT = 5        # sentences of fewer words belong to the one before
 PARAGRAPH = 8    # paragraphs of fewer words are never taken as repeated by themselves
 SPAN = 20        # words of a repeated passage, gaps of short paragraphs left out
+SEED = PARAGRAPH
+REACH = SPAN - SEED + 1
 
+_GAP = 0xFFFF     # longer gaps between words are cut: a border may lie anywhere in one
+_LOW = 2**32 - 1
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
 
@@ -62,6 +69,32 @@ def _sets(w: T.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return h, off, T._mixed(u + np.diff(at).astype(np.uint64)) & np.uint64(2**63 - 1)
 
 
+def seeds(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, content hash below 0) of the seeds: runs of SEED words with the least hash, the last of equal ones, of some REACH neighbouring runs."""
+    count = np.maximum(np.diff(w.first) - SEED + 1, 0)
+    n = int(count.sum())
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(w.first[:-1], count) + inside
+    h = np.zeros(n, np.uint64)
+    for k, power in enumerate(T._powers(SEED, np.uint64(0xC2B2AE3D27D4EB4F))):
+        h += w.hash[at + k] * power
+    h = T._mixed(h)
+    room = np.repeat(count, count) - 1 - inside
+    before, after = np.zeros(n, np.int8), np.zeros(n, np.int8)
+    left, right = np.ones(n, bool), np.ones(n, bool)
+    for d in range(1, min(REACH, n)):
+        left[:d] = False
+        left[d:] &= (h[:-d] >= h[d:]) & (inside[d:] >= d)
+        right[-d:] = False
+        right[:-d] &= (h[d:] > h[:-d]) & (room[:-d] >= d)
+        before += left
+        after += right
+    keep = np.flatnonzero(before + after + 1 >= REACH)
+    return at[keep], -1 - (h[keep] >> np.uint64(1)).astype(np.int64)
+
+
 def _owner(w: T.Words, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(w.first, at[:-1], "right") - 1
 
@@ -92,7 +125,11 @@ def bands(docs: DataFrame, rows: int, count: int) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, first_word, last_word, start, end, id) of the paragraphs; start and end are code points, end exclusive."""
+    """(doc_id, word, point, size, id) of the paragraphs and seeds, whose ids are below 0.
+
+    The numbers of a place are packed, as most rows go by the first shuffle: ``word`` is the row's hash and the first word, ``point`` the
+    first code point and their number, ``size`` the number of words and of code points up to the words before and after.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.pieces(batch):
@@ -101,16 +138,95 @@ def located(docs: DataFrame) -> DataFrame:
                     continue
                 _, _, u = _sets(w, at)
                 keep = np.flatnonzero(np.diff(at) >= PARAGRAPH)
-                own = _owner(w, at)[keep]
+                seed, v = seeds(w)
+                a, b = np.concatenate([at[keep], seed]), np.concatenate([at[keep + 1] - 1, seed + SEED - 1])
+                own = np.searchsorted(w.first, a, "right") - 1
                 point = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)])
                 raw_off = T.offsets(part.column("text"))[1][own]
-                a, b = at[keep], at[keep + 1] - 1
+                start, end = point[w.start[a]], point[w.end[b]]
+                before = np.where(a > w.first[own], start - point[w.end[a - 1]], 0)
+                after = np.where(b + 1 < w.first[own + 1], point[w.start[np.minimum(b + 1, len(w.start) - 1)]] - end, 0)
+                word = (part.column("row").to_numpy(zero_copy_only=False)[own] << 32) + a - w.first[own]
+                size = ((b - a + 1) << 32) + (np.minimum(before, _GAP) << 16) + np.minimum(after, _GAP)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(own)), part.column("row").take(pa.array(own)), pa.array((a - w.first[own]).astype(np.int32)), pa.array((b - w.first[own]).astype(np.int32)),
-                     pa.array(point[w.start[a]] - point[raw_off]), pa.array(point[w.end[b]] - point[raw_off]), pa.array(u[keep].view(np.int64))],
-                    ["doc_id", "row", "first_word", "last_word", "start", "end", "id"])
-    d = _plain(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    return d.mapInArrow(run, "doc_id bigint, row bigint, first_word int, last_word int, start bigint, end bigint, id bigint")
+                    [part.column("doc_id").take(pa.array(own)), pa.array(word), pa.array(((start - point[raw_off]) << 32) + end - start), pa.array(size), pa.array(np.concatenate([u[keep].view(np.int64), v]))],
+                    ["doc_id", "word", "point", "size", "id"])
+    d = _plain(docs).withColumn("row", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**31 - 1)))
+    return d.mapInArrow(run, "doc_id bigint, word bigint, point bigint, size bigint, id bigint")
+
+
+def _joined(doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray, after: np.ndarray,
+            cluster: np.ndarray, removed: np.ndarray, span: int) -> list[np.ndarray]:
+    """Columns of the spans of whole texts, whose units come text by text: a word is removed if any unit over it is; seeds have clusters below 0."""
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+    text = np.cumsum(new) - 1
+    room = np.maximum.reduceat(last.astype(np.int64), np.flatnonzero(new)) + 2 + PARAGRAPH  # so that texts never touch
+    base = (np.cumsum(room) - room)[text]
+    a, b = first + base, last + base + 1
+    for kind in (False, True):  # seeds of one kind reach to the next one
+        i = np.flatnonzero((cluster < 0) & (removed == kind))
+        gap = a[i[1:]] - b[i[:-1]]
+        near = np.flatnonzero((gap > 0) & (gap < PARAGRAPH))
+        b[i[near]] = a[i[near + 1]]
+    points, where = np.unique(np.concatenate([a, b]), return_index=True)
+    begins, stops = np.concatenate([start, end + after])[where], np.concatenate([start - before, end])[where]
+    unit = np.concatenate([np.arange(len(a))] * 2)[where]
+    ia, ib = np.searchsorted(points, a), np.searchsorted(points, b)
+
+    def over(chosen):
+        return np.cumsum(np.bincount(ia[chosen], minlength=len(points)) - np.bincount(ib[chosen], minlength=len(points)))[:-1] > 0
+    state = over(np.ones(len(a), bool)).astype(np.int8) + over(removed)
+    at = np.flatnonzero(state)
+    gap = points[at[1:]] - points[at[:-1] + 1]
+    opens = np.flatnonzero(np.concatenate([[True], (gap >= PARAGRAPH) | (state[at[1:]] != state[at[:-1]])]))
+    # an end beyond the first or last whole paragraph counts from REACH words on, and where the rest would be too short
+    size, k = points[at + 1] - points[at], np.arange(len(at))
+    so_far, whole = np.concatenate([[0], np.cumsum(size)]), over(cluster >= 0)[at]
+    stop = np.append(opens[1:], len(at))
+    head, tail = np.minimum.reduceat(np.where(whole, k, len(at)), opens), np.maximum.reduceat(np.where(whole, k, -1), opens) + 1
+    head, tail = np.where(tail > 0, head, opens), np.where(tail > 0, tail, stop)
+    head, tail = np.where(so_far[head] - so_far[opens] < REACH, head, opens), np.where(so_far[stop] - so_far[tail] < REACH, tail, stop)
+    short = so_far[tail] - so_far[head] < span
+    head, tail = np.where(short, opens, head), np.where(short, stop, tail)
+    words, lo, hi = so_far[tail] - so_far[head], at[head], at[tail - 1]
+    # the least cluster, paragraphs before seeds, of the units of a span's state that begin in it or reach into it
+    least = np.full(len(lo), np.iinfo(np.uint64).max, np.uint64)
+    of = np.searchsorted(points[hi + 1], a, "right")
+    for step in range(2 + int((np.searchsorted(points[lo], b, "left") - 1 - of).max(initial=0))):
+        k = of + step
+        ok = (k < len(lo)) & (points[lo[np.minimum(k, len(lo) - 1)]] < b)
+        ok &= (state[lo[np.minimum(k, len(lo) - 1)]] == 2) == removed
+        np.minimum.at(least, k[ok], cluster[ok].view(np.uint64))
+    keep = np.flatnonzero(words >= span)
+    u = unit[lo[keep]]
+    return [doc[u], begins[lo[keep]], stops[hi[keep] + 1], words[keep], least[keep].view(np.int64), state[lo[keep]] == 2]
+
+
+def _spans(units: DataFrame, span: int) -> DataFrame:
+    """Spans of the repeated units, read text by text."""
+    names = ["doc_id", "word", "point", "size", "cluster_id", "removed"]
+    out = ["doc_id", "start", "end", "words", "cluster_id", "removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(doc, word, point, size, cluster, removed):
+            first, start = word & _LOW, point >> 32
+            held = doc, word >> 32, first, first + (size >> 32) - 1, start, start + (point & _LOW), size >> 16 & _GAP, size & _GAP, cluster, removed
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _joined(*held, span)], out)
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            more = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            held = more if held is None else [np.concatenate(x) for x in zip(held, more)]
+            doc, row = held[0], held[1] >> 32
+            cut = np.flatnonzero((doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+            if len(cut):  # the last text may go on in the next batch
+                yield batch_of(*[x[:cut[-1] + 1] for x in held])
+                held = [x[cut[-1] + 1:] for x in held]
+        if held is not None:
+            yield batch_of(*held)
+    rows = units.select(*names).repartition("doc_id").sortWithinPartitions("doc_id", "word")
+    return rows.mapInArrow(run, "doc_id bigint, start bigint, end bigint, words bigint, cluster_id bigint, removed boolean")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -153,9 +269,10 @@ def substring_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = REC
     """Repeated passages of ``docs(doc_id, text, ...)``: (doc_id, start, end, words, cluster_id, removed).
 
     Paragraphs are joined into clusters by equal words or by a Jaccard similarity of ``percent`` or more of their distinct 5-word
-    shingles, found by bands tuned to ``recall`` and checked exactly.  The first paragraph of a cluster, by (doc_id,
-    start), is kept; the others are removed.  Neighbouring repeated paragraphs with at most PARAGRAPH - 1 words between them
-    make one span; spans of fewer than ``span`` words are left out.  Words are compared in lower case of A-Z, by 64-bit hashes.
+    shingles, found by bands tuned to ``recall`` and checked exactly; seeds are clusters of equal words.  The first member of a
+    cluster, by (doc_id, start), is kept; the words of the others are removed.  Neighbouring repeated words with at most PARAGRAPH - 1
+    words between them make one span; spans of fewer than ``span`` words are left out.  A run of SPAN or more equal words in two places is
+    always found, but for at most REACH - 1 words at either end, or 2 * (REACH - 1) beyond a repeated paragraph.  Words are compared in lower case of A-Z, by 64-bit hashes.
 
     NULL and empty texts, and rows with a NULL doc_id, have no spans; rows that repeat a doc_id are
     texts of their own, and an equal row (same id and text) counts once.  Other columns are not read.
@@ -168,16 +285,8 @@ def substring_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = REC
     near = components(edges).select(F.col("node").alias("id"), "label")
     own = W.partitionBy("id")
     here = located(docs).filter("doc_id is not null")
-    place = F.struct("doc_id", "row", "start")
-    here = here.withColumn("several", F.min(place).over(own) != F.max(place).over(own)).join(near, "id", "left")
+    place = F.struct("doc_id", "word")
+    here = here.withColumn("several", F.min(place).over(own) != F.max(place).over(own)).filter("several or id >= 0").join(near, "id", "left")
     here = cut_lineage(here.filter("several or label is not null").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "several", "id"))
     first = here.groupBy("cluster_id").agg(F.min(place).alias("kept"))
-    here = here.join(first, "cluster_id").withColumn("removed", place != F.col("kept"))
-    doc = W.partitionBy("doc_id", "row").orderBy("start")
-    here = here.dropDuplicates(["doc_id", "row", "start"])
-    gap = F.col("first_word") - F.lag("last_word").over(doc) - 1
-    here = here.withColumn("begins", F.coalesce((gap >= PARAGRAPH) | (F.lag("removed").over(doc) != F.col("removed")), F.lit(True)).cast("int"))
-    here = here.withColumn("run", F.sum("begins").over(doc))
-    out = here.groupBy("doc_id", "row", "run", "removed").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.col("last_word") - F.col("first_word") + 1).alias("words"),
-                                                            F.min("cluster_id").alias("cluster_id"))
-    return out.filter(F.col("words") >= span).select("doc_id", "start", "end", "words", "cluster_id", "removed")
+    return _spans(here.join(first, "cluster_id").withColumn("removed", place != F.col("kept")), span)

@@ -217,6 +217,61 @@ def test_substring_dedup(spark, rows, none):
     assert 1 - (1 - 0.8 ** rows_) ** bands >= 0.99
 
 
+def test_repeated_runs_without_stops(spark):
+    """Run by run: long sentences, passages pasted inside one, lists, other scripts' stops; ends short of the run by REACH - 1 words at most."""
+    rng = np.random.default_rng(5)
+
+    def fill(n):
+        return " ".join(f"v{x}" for x in rng.integers(0, 1 << 40, n))
+    runs, docs = {}, []
+    for k, n in enumerate([20, 51, 55, 60, 76, 51, 52, 120]):
+        p = fill(n).split()
+        if k in (3, 4):
+            p[n // 2 - 1] += "."  # two long sentences, both cut by the borders of the passage
+        p = (" \u3002" if k == 5 else "\n" if k == 6 else "  ").join(p)
+        runs[k] = p
+        docs += [(10 * k + i, f"{fill(30 + 7 * i)}   {p} {fill(33)}", "s") for i in (1, 2)]
+    docs.append((99, fill(300), "s"))
+    text = {i: t for i, t, _ in docs}
+    got = {}
+    for r in substring_dedup.substring_dedup(table(spark, docs)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    slack = substring_dedup.REACH - 1
+    assert 99 not in got
+    for k, p in runs.items():
+        n, size = len(p.split()), 0
+        for i in (1, 2):
+            spans = got.get(10 * k + i, [])
+            if n >= 20 + 2 * slack:
+                assert len(spans) == 1 and spans[0].removed == (i == 2)
+                inner = text[10 * k + i][spans[0].start:spans[0].end]
+                assert inner in p and inner == inner.strip() and len(inner.split()) == spans[0].words >= n - 2 * slack
+                size += 1
+        assert size == (2 if n >= 51 else 0)
+
+
+def test_seeds_depend_on_nearby_words_only():
+    rng = np.random.default_rng(6)
+    runs = [rng.integers(0, 1 << 40, substring_dedup.SPAN) for _ in range(300)]
+    text = [" ".join(map(str, [*rng.integers(0, 1 << 40, 15), *r, *rng.integers(0, 1 << 40, 15)])) for r in runs for _ in range(2)]
+    w = T.words(pa.array(text + ["a " * 50, "b", ""]))
+    at, ids = substring_dedup.seeds(w)
+    own = np.searchsorted(w.first, at, "right") - 1
+    assert all(set(ids[own == 2 * i]) & set(ids[own == 2 * i + 1]) for i in range(300)) and len(set(ids[own == 600])) == 1
+    assert len(at) < 0.35 * len(w.hash) and (ids < 0).all()
+
+
+def test_removed_and_kept_words_do_not_overlap(spark):
+    """The middle of a kept passage was in an earlier text, so only its ends are kept."""
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    docs = [(1, " ".join(b), "s"), (2, " ".join(a + b + c), "s"), (3, " ".join(a + b + c), "s")]
+    got = sorted((r.doc_id, r.start, r.end, r.removed, r.words) for r in substring_dedup.substring_dedup(table(spark, docs)).collect())
+    assert [(d, x) for d, _, _, x, _ in got] == [(1, False), (2, False), (2, True), (2, False), (3, True)]
+    for d, s, e, _, n in got:
+        assert len(docs[d - 1][1][s:e].split()) == n and docs[d - 1][1][s:e].strip() == docs[d - 1][1][s:e]
+    assert all(x[2] < y[1] for x, y in zip(got[1:], got[2:4])) and sum(x[4] for x in got[1:4]) == 120
+
+
 def test_words_and_shingles():
     w = T.words(pa.array(["The cat\tsat", None, "", "the CAT", "é É"]))
     assert w.first.tolist() == [0, 3, 3, 3, 5, 7] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[4] and w.hash[5] != w.hash[6]
