@@ -217,6 +217,23 @@ def test_substring_dedup(spark, rows, none):
     assert 1 - (1 - 0.8 ** rows_) ** bands >= 0.99
 
 
+def test_partial_quotes_and_short_items(spark):
+    """47 of 59 words, 159 of 200, a window with changed words, and items of two to seven words, all exactly."""
+    rng = np.random.default_rng(3)
+
+    def fill(n):
+        return [f"q{x}" for x in rng.integers(0, 1 << 40, n)]
+    items = [fill(59), fill(200), fill(120), fill(7), fill(2), fill(12)]
+    changed = items[2][24:54]
+    changed[4], changed[15], changed[22] = "x", "y", "z"
+    quotes = [items[0][6:53], items[1][20:179], changed, items[3], items[4], items[1][20:39], items[3][:6], items[5]]
+    docs = [(k, " ".join(fill(40) + q + fill(50)), "s") for k, q in enumerate(quotes)]
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, docs), bench).collect())
+    assert got == [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (7, 5)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(table(spark, docs), bench).collect()) == [5, 6]
+
+
 def test_repeated_runs_without_stops(spark):
     """Run by run: long sentences, passages pasted inside one, lists, other scripts' stops; ends short of the run by REACH - 1 words at most."""
     rng = np.random.default_rng(5)
