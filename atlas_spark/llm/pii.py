@@ -91,10 +91,18 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        s = m[0].replace(" ", "")
-        if 15 <= len(s) <= 34 and mod97(s):
-            yield m.span()
+    """The longest proposal whose checksum holds, up to each blank: the words after a number may look like groups of it."""
+    m = _IBAN.search(text)
+    while m:
+        start, end, after = m.start(), m.end(), m.start() + 1
+        while end - start >= 15:
+            s = text[start:end].replace(" ", "")
+            if 15 <= len(s) <= 34 and mod97(s):
+                yield start, end
+                after = end
+                break
+            end = text.rfind(" ", start, end)
+        m = _IBAN.search(text, after)
 
 
 _FINDERS = (_emails, _ips, _cards, _phones, _ibans)

@@ -217,6 +217,13 @@ def test_substring_dedup(spark, rows, none):
     assert 1 - (1 - 0.8 ** rows_) ** bands >= 0.99
 
 
+def test_iban_before_upper_case_words():
+    found = lambda t: [t[a:b] for a, b, k, _ in pii.find(t) if pii.KINDS[k] == "iban"]
+    es, be = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034"
+    assert found(f"{es} BANK") == [es] and found(f"{be} BIC") == [be] and found(f"{be} {es} OK") == [be, es]
+    assert found("ES91 2100 0418 4502 0005 1333 BANK") == [] and found(es.replace(" ", "")) == [es.replace(" ", "")]
+
+
 def test_partial_quotes_and_short_items(spark):
     """47 of 59 words, 159 of 200, a window with changed words, and items of two to seven words, all exactly."""
     rng = np.random.default_rng(3)
