@@ -50,13 +50,14 @@ n as (select source, lang, 'words-1' as version, len(regexp_extract_all(text, '{
 select source, lang, version, count(*)::bigint as docs, sum(n)::bigint as tokens from n group by all""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come in, one version's counts are revised, toxic documents are withdrawn; each batch is sent twice."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    toxic = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi")
-    ledger = tc.Ledger(spark, work_folder(spark, "token-counts"))
-    now = tc.COUNTERS | {"words-1": tc.REVISED}
-    batches = {"load": lambda: tc.changes(docs, tc.COUNTERS),
-               "revise words-1": lambda: tc.revisions(docs, "words-1", tc.COUNTERS["words-1"], tc.REVISED),
-               "withdraw toxic": lambda: tc.changes(toxic, now, -1)}
+    folder = work_folder(spark, "token-counts")
+    tc.counted(table(spark, sf_dir, "documents"), tc.COUNTERS | {"revised": tc.REVISED}, "doc_id").write.parquet(f"{folder}/counts")
+    counts, labels = spark.read.parquet(f"{folder}/counts"), table(spark, sf_dir, "labels")
+    toxic = counts.join(labels.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    ledger = tc.Ledger(spark, folder)
+    batches = {"load": lambda: tc.signed(counts, [(v, v, 1) for v in tc.COUNTERS]),
+               "revise words-1": lambda: tc.signed(counts, [("words-1", "words-1", -1), ("words-1", "revised", 1)]),
+               "withdraw toxic": lambda: tc.signed(toxic, [("words-1", "revised", -1), ("pieces-2", "pieces-2", -1)])}
     for name, delta in batches.items():
         for _ in range(2):
             ledger.commit(name, delta())

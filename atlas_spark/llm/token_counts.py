@@ -8,7 +8,7 @@ nothing and a batch that is sent again is skipped.  Totals are plain sums, so or
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -39,6 +39,20 @@ def changes(docs: DataFrame, versions: Mapping[str, Counter], sign: int = 1) ->
     return d.select("source", "lang", "e.version", F.lit(sign).cast("bigint").alias("docs"), (F.lit(sign) * F.col("e.n")).alias("tokens"))
 
 
+def counted(docs: DataFrame, counters: Mapping[str, Counter], *keep: str) -> DataFrame:
+    """A narrow row per document, (kept columns, source, lang, counts by name): later batches read it instead of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = [x for name, c in counters.items() for x in (F.lit(name), c(text).cast("bigint"))]
+    return docs.select(*keep, "source", "lang", F.create_map(*named).alias("counts"))
+
+
+def signed(counts: DataFrame, steps: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """Changes out of ``counted`` rows: per (version, name of the count, sign) one signed change of each document."""
+    each = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(s).cast("bigint").alias("docs"), (s * F.col("counts")[name]).alias("tokens"))
+                     for v, name, s in steps])
+    return counts.select("source", "lang", F.explode(each).alias("e")).select("source", "lang", "e.version", "e.docs", "e.tokens")
+
+
 def revisions(docs: DataFrame, version: str, old: Counter, new: Counter) -> DataFrame:
     """Signed pairs that replace each document's old count under ``version`` by its new one."""
     return changes(docs, {version: old}, -1).unionByName(changes(docs, {version: new}, 1))
