@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, decontaminate, fingerprints as fp, jaccard_join, line_dedup, pii, quality, substring_dedup, token_counts as tc, warc
+from . import bpe, decontaminate, filter_audit, fingerprints as fp, jaccard_join, licenses, line_dedup, pii, quality, spelling, substring_dedup, token_counts as tc, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_filter_audit", r"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from d),
+f as (select doc_id, part, len(words) < 200 as a, 100 * len(list_distinct(words)) < 50 * len(words) as b,
+      100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d,
+      coalesce(doc_id > min(doc_id) over (partition by text), false) as e from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by doc_id),
+m as (select part, a::int + 2 * b::int + 4 * c::int + 8 * d::int + 16 * e::int as mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+      from f left join l using (doc_id) group by all),
+letter as (select i, chr((65 + i)::int) as c from range(5) t(i)),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order, [a.i, b.i, c.i, d.i, e.i] as ix from letter a, letter b, letter c, letter d, letter e
+      where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select filter_order, step, 1 << ix[step]::int as bit, list_sum([0] || list_transform(ix[:step - 1], lambda x: 1 << x::int)) as before from o, range(1, 6) t(step)),
+r as (select part, filter_order, step, bit, sum(n) filter (where mask & bit = 0 and mask & before::int = 0) as kept,
+      sum(n) filter (where mask & bit > 0 and mask & before::int = 0) as removed, sum(n) filter (where mask & bit > 0 and mask & before::int > 0) as redundant,
+      sum(n) filter (where mask = bit) as unique_fails, sum(good) filter (where mask & bit > 0 and mask & before::int = 0) as good_lost,
+      sum(toxic) filter (where mask & bit > 0 and mask & before::int = 0) as toxic_lost from m, s group by all)
+select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+       coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       sum(coalesce(removed, 0)) over (partition by part, bit)::bigint as shapley from r""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_license_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licenses.license_scan(table(spark, sf_dir, "documents"))
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["edits"].cast("string")))
+    return d.withColumn("spans", F.array_join(spans, ","))
