@@ -32,10 +32,12 @@ _ORDER = [ord(c) % GROUPS for c in FIRST]
 _ORDER += [g for g in range(GROUPS) if g not in _ORDER]
 _LEVEL = {g: level for level, g in enumerate(_ORDER)}
 
-#: Words of a block (held as a trie) and words that ask one block in one cell; words under one trie node before it branches.
+#: Words of a block (held as a trie) and words that ask one block in one cell; words under one trie node before it branches; parts of a key
+#: in the join with its sizes.
 BLOCK = 4096
 ASKING = 16384
 LEAF = 8
+SALTS = 32
 #: Words that a key of the top levels should hold, roughly; deeper keys only change how the work is dealt.
 PER_KEY = 16000
 MAX_ROUNDS = 60
@@ -166,7 +168,9 @@ def _into_cells(dealt: DataFrame) -> DataFrame:
     size = dealt.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("held"), F.count_if(F.col("side") == 1).alias("asking"))
     size = size.filter("held > 0 and asking > 0").select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"),
                                                           F.ceil(F.col("asking") / ASKING).cast("int").alias("portions"))
-    d = dealt.join(size, "key")
+    # a common key is joined in SALTS parts, its one row of sizes is repeated for each
+    salted = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    d = dealt.withColumn("salt", F.pmod(F.xxhash64("word", F.lit("salt")), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
     own = F.when(F.col("side") == 0, F.pmod(F.xxhash64("word"), "blocks")).otherwise(F.pmod(F.xxhash64("word"), "portions")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("portions")).otherwise(F.col("blocks")) - 1))
     d = d.select("key", "side", "word", "n", own.alias("own"), other.alias("other"))
