@@ -177,96 +177,6 @@ def _columns_to_one(m: DataFrame, power: float, prune: float) -> DataFrame:
             .filter((F.col("_x") >= prune) | (F.col("v") == F.col("_m"))).select("cluster_id", "i", "j", F.col("_x").alias("v")))
 
 
-def modularity_split(membership: DataFrame, edges: DataFrame, first_thresh: int, steps: int = 16, max_levels: int = 4) -> DataFrame:
-    """(super_cluster, second_clustering, cluster, gene): leading-eigenvector splits while modularity rises.
-
-    The vector of every open community is iterated in the same job: a product with the adjacency is a
-    join and a sum, the rank-one part of the modularity matrix needs one number per community.
-    """
-    size = membership.groupBy("cluster_id").agg(F.count("*").alias("_n"))
-    sized = membership.join(size, "cluster_id")
-    inner = induced_subgraph(edges, sized)
-    links = inner.groupBy("cluster_id").agg(F.count("*").alias("_e"))
-    big = sized.join(links, "cluster_id", "left").withColumn("big", (F.col("_n") >= first_thresh) & (F.coalesce("_e", F.lit(0)) >= 3))
-    small = big.filter("not big").select("cluster_id", "gene")
-    adj = cut_lineage(both_ways(inner.join(big.filter("big").select("cluster_id").distinct(), "cluster_id", "left_semi").select(
-        "cluster_id", F.least("target", "prey").alias("a"), F.greatest("target", "prey").alias("b")).distinct(), "a", "b"))
-    deg = adj.groupBy("cluster_id", F.col("a").alias("gene")).agg(F.count("*").alias("k"))
-    total = deg.groupBy("cluster_id").agg(F.sum("k").alias("m2"))
-    node = cut_lineage(deg.join(total, "cluster_id").withColumns({"comm": F.lit("0"), "open": F.lit(True)}))
-    key = ["cluster_id", "comm"]
-    for level in range(max_levels):
-        live = node.filter("open")
-        if live.isEmpty():
-            break
-        lab = live.select("cluster_id", "gene", "comm")
-        within = cut_lineage(adj.join(lab.withColumnRenamed("gene", "a"), ["cluster_id", "a"])
-                             .join(lab.withColumnRenamed("gene", "b"), ["cluster_id", "b", "comm"]).select("cluster_id", "comm", "a", "b"))
-        kin = within.groupBy(*key, F.col("a").alias("gene")).agg(F.count("*").alias("kin"))
-        comm = live.groupBy(*key).agg(F.sum("k").alias("kg"), F.max("k").alias("kmax"))
-        st = live.join(kin, [*key, "gene"], "left").na.fill(0, ["kin"]).join(comm, key)
-        # row sums of the community's modularity matrix, taken off its diagonal, and a shift that makes it positive
-        st = st.withColumn("d", F.col("kin") - F.col("k") * F.col("kg") / F.col("m2"))
-        x = cut_lineage(st.select(*key, "gene", "k", "m2", "d", F.col("kmax").cast("double").alias("shift"),
-                                  (keyed.uniform("cluster_id", "gene", F.lit(str(level))) - 0.5).alias("x")))
-        for _ in range(steps):
-            # a step reads x three times, so its lineage is cut every time
-            x = cut_lineage(_modularity_product(x, within, key).withColumn("x", F.col("bx") / F.col("shift") + F.col("x")).drop("bx"))
-        s = F.when(F.col("x") >= 0, 1.0).otherwise(-1.0)
-        signed = cut_lineage(x.withColumn("x", s))
-        gain = _modularity_product(signed, within, key).groupBy(*key).agg(
-            F.sum(F.col("x") * F.col("bx")).alias("gain"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        good = gain.filter("gain > 1e-9 and lo < hi").select(*key, F.lit(True).alias("_split"))
-        sides = signed.select(*key, "gene", F.when(F.col("x") > 0, "1").otherwise("2").alias("_side"))
-        upd = sides.join(good, key, "left")
-        node = cut_lineage(node.join(upd, [*key, "gene"], "left").withColumns({
-            "_new": F.when(F.col("_split"), F.concat("comm", F.lit("."), "_side")).otherwise(F.col("comm")),
-            "_open": F.coalesce("_split", F.lit(False))}).select("cluster_id", "gene", "k", "m2", F.col("_new").alias("comm"), F.col("_open").alias("open")))
-    out = node.select(F.col("cluster_id").alias("super_cluster"), F.lit(True).alias("second_clustering"), F.col("comm").alias("cluster"), "gene")
-    rest = small.select(F.col("cluster_id").alias("super_cluster"), F.lit(False).alias("second_clustering"), F.lit(None).cast("string").alias("cluster"), "gene")
-    return out.unionByName(rest)
-
-
-def _modularity_product(x: DataFrame, within: DataFrame, key: list[str]) -> DataFrame:
-    ax = within.join(x.select(*key, F.col("gene").alias("b"), F.col("x").alias("_xb")), [*key, "b"]) \
-        .groupBy(*key, F.col("a").alias("gene")).agg(F.sum("_xb").alias("_ax"))
-    dot = x.groupBy(*key).agg(F.sum(F.col("k") * F.col("x")).alias("_kx"))
-    j = x.join(ax, [*key, "gene"], "left").join(dot, key)
-    return j.withColumn("bx", F.coalesce("_ax", F.lit(0.0)) - F.col("k") * F.col("_kx") / F.col("m2") - F.col("d") * F.col("x")).drop("_ax", "_kx")
-
-
-def node_embeddings(edges: DataFrame, walks: int = 4, length: int = 8, size: int = 16, weight: str = "weight", seed: int = 1) -> DataFrame:
-    """(gene, vector): weighted random walks, then skip-gram vectors.
-
-    A step draws a keyed uniform number and looks up the neighbour whose share of the node's weight
-    covers it.  Shares are indexed by equal slots, as many as the node has neighbours, so a walk that
-    stands on a hub reads the one or two entries of its slot, not the hub's whole list.
-    """
-    from pyspark.ml.feature import Word2Vec
-    e = both_ways(unique_interactions(edges, weight=weight), "prot_1", "prot_2")
-    tot = e.groupBy("prot_1").agg(F.sum(weight).alias("_t"), F.count("*").alias("_d"))
-    ranked = grouped_ranks(e.withColumn("_o", keyed.uniform("prot_1", "prot_2")), ["prot_1"], "_o", ["prot_2"], out="_i")
-    cum = running_sum(ranked, ["prot_1"], "_i", weight, out="_c").join(tot, "prot_1")
-    hi = F.when(F.col("_i") == F.col("_d"), 1.0).otherwise(F.col("_c") / F.col("_t"))
-    share = cum.select(F.col("prot_1").alias("at"), F.col("prot_2").alias("to"), "_d", ((F.col("_c") - F.col(weight)) / F.col("_t")).alias("_lo"), hi.alias("_hi"))
-    slots = cut_lineage(share.withColumn("slot", F.explode(F.sequence(
-        F.floor(F.col("_lo") * F.col("_d")), F.least(F.floor(F.col("_hi") * F.col("_d")), F.col("_d") - 1)))))
-    degree = tot.select(F.col("prot_1").alias("at"), F.col("_d").alias("_n"))
-    cur = degree.select("at", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")) \
-        .select(F.concat_ws("|", "at", "walk").alias("walk"), "at", F.array("at").alias("path"))
-    for step in range(1, length):
-        u = keyed.uniform("walk", F.lit(str(step)))
-        d = cur.join(degree, "at").withColumn("_u", u).withColumn("slot", F.floor(F.col("_u") * F.col("_n")))
-        nxt = d.join(slots, ["at", "slot"]).filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
-        # rounding at a slot's edge can give two covers; the first one counts
-        one = nxt.groupBy("walk", "path").agg(F.min("to").alias("at"))
-        cur = one.select("walk", "at", F.concat("path", F.array("at")).alias("path"))
-        if step % 4 == 0:
-            cur = cut_lineage(cur)
-    model = Word2Vec(vectorSize=size, minCount=0, seed=seed, inputCol="path", outputCol="v", windowSize=3, maxIter=1).fit(cut_lineage(cur.select("path")))
-    return model.getVectors().withColumnRenamed("word", "gene")
-
-
 # --- membership ----------------------------------------------------------------------------------
 
 def explode_members(clusters: DataFrame, members: str = "members", sep: str = " ") -> DataFrame:

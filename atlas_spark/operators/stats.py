@@ -1,9 +1,9 @@
 """Scoring of bait-prey pairs against leave-out controls, hit thresholds and their validation.
 
 The control of a bait is every other sample of the prey except those of excluded baits.  Nothing is
-copied per bait: per prey the ordered control values are gathered once, and the count, mean and
-squared deviations of the few excluded baits are subtracted.  The control median, which cannot be
-subtracted, is read from the ordered values by shifting the middle rank past the excluded ranks.
+copied per bait: the control values are ranked once per prey, and the count, mean and squared
+deviations of the few excluded baits are subtracted.  The control median, which cannot be subtracted,
+is the value at the middle rank moved past the excluded ranks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions.pvalue import neglog10p
 from ..session import cut_lineage
 from .linalg import gram
 from .quant import all_valids, median_replicates
-from .ranking import grouped_quantiles
+from .ranking import grouped_quantiles, grouped_ranks
 from .relational import contains_join, top_n
 
 PAIR = ["prey", "bait"]
@@ -43,22 +43,34 @@ def sample_stats(values: DataFrame) -> DataFrame:
                                 (F.var_pop("value") * F.count("*")).alias("q1"), F.median("value").alias("med1"))
 
 
-def control_rows(control: DataFrame) -> DataFrame:
-    """(prey, cells): the prey's control values in order, as one row of the sample matrix.
+def ranked_control(control: DataFrame) -> DataFrame:
+    """(prey, other, value, rank): the control values of each prey, numbered from 1 in their order."""
+    c = control.filter("value is not null").select("prey", F.col("bait").alias("other"), "replicate", F.col("value").cast("double").alias("value"))
+    return grouped_ranks(c, ["prey"], "value", ["other", "replicate"]).drop("replicate")
+
+
+def middle_ranks(n: Column) -> tuple[Column, Column]:
+    """Places of the two middle ones of n ordered values (the same one twice for an odd n)."""
+    return F.floor((n + 1) / 2).cast("bigint"), F.ceil((n + 1) / 2).cast("bigint")
 
-    A prey has one value per sample (bait, replicate), so a row is as long as the list of samples.
-    """
-    cell = F.struct("value", F.col("bait").alias("other"), "replicate")
-    return control.filter("value is not null").groupBy("prey").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
 
+def removed_values(ranks: DataFrame, members: DataFrame, totals: DataFrame, median: bool) -> DataFrame:
+    """Per (prey, set_id) the count and sums about the prey mean of the values of the set's baits, and how far they shift
+    the two middle ranks of what is left.
 
-def removed_cells(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Per (prey, set_id) the count, sums about the prey mean and ranks of the values of the set's baits."""
-    x = rows.select("prey", "c", F.posexplode("cells").alias("pos", "x"))
-    d = F.col("x.value") - F.col("c")
-    x = x.select("prey", F.col("x.other").alias("other"), (F.col("pos") + 1).cast("bigint").alias("rank"), d.alias("d"))
-    return x.join(members, "other").groupBy("prey", "set_id").agg(
-        F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss"), F.array_sort(F.collect_list("rank")).alias("gone"))
+    The i-th removed value, at rank r, has r - i kept ones before it, so the k-th kept value stands at rank k plus the number
+    of removed ones with r - i < k: a running number and a count, whatever the size of the set.
+    """
+    x = ranks.join(members.select("set_id", "other"), "other").join(totals.select("prey", "c", "all_n"), "prey")
+    x = x.select("prey", "set_id", *(["rank", "all_n"] if median else []), (F.col("value") - F.col("c")).alias("d"))
+    sums = [F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss")]
+    if not median:
+        return x.groupBy("prey", "set_id").agg(*sums)
+    w = W.partitionBy("prey", "set_id")
+    before = F.col("rank") - F.row_number().over(w.orderBy("rank"))
+    x = x.withColumn("_before", before).withColumn("_left", F.col("all_n") - F.count("*").over(w))
+    k1, k2 = middle_ranks(F.col("_left"))
+    return x.groupBy("prey", "set_id").agg(*sums, F.count_if(F.col("_before") < k1).alias("shift1"), F.count_if(F.col("_before") < k2).alias("shift2"))
 
 
 def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame, ddof: int = 1,
@@ -70,39 +82,39 @@ def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame
     no pairs of baits are formed then.  ``mean`` compares means instead of medians and
     ``scale=False`` leaves the difference undivided by the control's deviation.
 
-    Every step is keyed by prey or by pair.  The shuffled volume is the two input tables plus one
-    row per pair and excluded value; it does not grow with the square of the baits.
+    The shuffled volume is the two input tables, one narrow row per pair and one per value of an excluded bait; no row
+    holds a list, and a median is fetched by its (prey, rank).
     """
-    total = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + x["value"])
-    squares = F.aggregate("cells", F.lit(0.0), lambda acc, x: acc + (x["value"] - F.col("c")) * (x["value"] - F.col("c")))
-    rows = control_rows(control).withColumn("all_n", F.size("cells")).withColumn("c", total / F.col("all_n"))
+    if mean:
+        ranks = control.filter("value is not null").select("prey", F.col("bait").alias("other"), F.col("value").cast("double").alias("value"))
+    else:
+        ranks = ranked_control(control)
+    totals = control.filter("value is not null").groupBy("prey").agg(
+        F.count("*").alias("all_n"), F.avg("value").alias("c"), (F.var_pop("value") * F.count("*")).alias("all_ss"))
     members = exclusion if sets is not None else exclusion.withColumnRenamed("bait", "set_id")
-    gone = removed_cells(rows, members)
-    row = rows.select("prey", "c", "all_n", squares.alias("all_ss"), *([] if mean else [F.transform("cells", lambda x: x["value"]).alias("vals")]))
+    gone = removed_values(ranks, members, totals, not mean)
     samples = sample_stats(values.repartition("prey"))
     samples = samples.join(sets, "bait", "left") if sets is not None else samples.withColumn("set_id", F.col("bait"))
-    j = samples.join(row, "prey").join(gone, ["prey", "set_id"], "left").na.fill(0, ["n", "s", "ss"])
+    j = samples.join(totals, "prey").join(gone, ["prey", "set_id"], "left").na.fill(0, ["n", "s", "ss", *([] if mean else ["shift1", "shift2"])])
 
     n2 = F.col("all_n") - F.col("n")
     shift = F.when(n2 > 0, -F.col("s") / F.when(n2 > 0, n2))
     j = j.withColumns({"n2": n2, "m2": F.col("c") + shift,
                        "q2": F.greatest(F.col("all_ss") - F.col("ss") - n2 * shift * shift, F.lit(0.0))}).filter("n2 > 0")
     n2, q2 = F.col("n2"), F.col("q2")
+    t, df = t_statistic(F.col("n1"), F.col("m1"), F.col("q1"), n2, F.col("m2"), q2)
+    sd = F.sqrt(q2 / F.when(n2 > ddof, n2 - ddof))
+    own = [*PAIR, "n1", "n2", t.alias("t"), df.alias("df"), sd.alias("sd")]
     if mean:
-        diff = F.col("m1") - F.col("m2")
+        j = j.select(*own, (F.col("m1") - F.col("m2")).alias("diff"))
     else:
-        # the k-th remaining value sits at the rank reached by stepping over each removed rank not beyond it
-        removed = F.coalesce("gone", F.array().cast("array<bigint>"))
-
-        def kth(k):
-            r = F.aggregate(removed, k.cast("bigint"), lambda at, m: F.when(m <= at, at + 1).otherwise(at))
-            return F.element_at("vals", r.cast("int"))
-        diff = F.col("med1") - (kth(F.floor((n2 + 1) / 2)) + kth(F.ceil((n2 + 1) / 2))) / 2
-    sd = F.sqrt(q2 / F.when(n2 > ddof, n2 - ddof))
-    t, df = t_statistic(F.col("n1"), F.col("m1"), F.col("q1"), n2, F.col("m2"), q2)
-    e = F.when(sd > 0, diff / F.when(sd > 0, sd)) if scale else diff
-    return j.select(*PAIR, "n1", "n2", t.alias("t"), df.alias("df"), e.alias("enrichment")) \
-            .withColumn("pvals", neglog10p(F.col("t"), F.col("df")))
+        k1, k2 = middle_ranks(n2)
+        j = j.select(*own, "med1", (k1 + F.col("shift1")).alias("r1"), (k2 + F.col("shift2")).alias("r2"))
+        for k in ("1", "2"):
+            j = j.join(ranks.select("prey", F.col("rank").alias(f"r{k}"), F.col("value").alias(f"v{k}")), ["prey", f"r{k}"])
+        j = j.withColumn("diff", F.col("med1") - (F.col("v1") + F.col("v2")) / 2)
+    e = F.when(F.col("sd") > 0, F.col("diff") / F.when(F.col("sd") > 0, F.col("sd"))) if scale else F.col("diff")
+    return j.select(*PAIR, "n1", "n2", "t", "df", e.alias("enrichment")).withColumn("pvals", neglog10p(F.col("t"), F.col("df")))
 
 
 # --- controls ------------------------------------------------------------------------------------

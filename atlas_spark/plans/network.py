@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import entities as E, network as N
+from ..operators.communities import modularity_split
+from ..operators.embeddings import node_embeddings as embed
 from ..registry import query
 from .relational import BRIDGE, REF_UNIPROT, SIG, rounded
 
@@ -90,7 +92,7 @@ def mcl_clusters(t):
 
 @query("newman_clusters")
 def newman_clusters(t):
-    return N.modularity_split(t.clusters, t.edges, first_thresh=30, steps=6, max_levels=2)
+    return modularity_split(t.clusters, t.edges, first_thresh=30)
 
 
 @query("explode_membership", """select c.gene, c.cluster_id, length(m.members) as n_chars, f.first_id from {clusters} c join (select cluster_id, string_agg(gene, ' ' order by gene) as members from {clusters} group by 1) m on m.cluster_id = c.cluster_id
@@ -193,9 +195,7 @@ def spatial_distance(t):
 
 @query("node_embeddings")
 def node_embeddings(t):
-    from pyspark.ml.functions import vector_to_array
-    v = N.node_embeddings(t.edges)
-    return v.select("gene", vector_to_array("vector").alias("vector"))
+    return embed(t.edges)
 
 
 POOR = "select distinct concat('G', p_partkey) as gene, p_size as score from {part} where p_size >= 40"

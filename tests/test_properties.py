@@ -31,12 +31,6 @@ def test_mcl_separates_cliques(spark):
     assert got.count() == 12 and sorted(map(sorted, sides(got).values())) == [["a"], ["b"]]
 
 
-def test_modularity_separates_cliques(spark):
-    edges, members = two_cliques(spark, 5)
-    got = N.modularity_split(members, edges, first_thresh=3, steps=10, max_levels=2)
-    assert got.count() == 10 and sorted(map(sorted, sides(got).values())) == [["a"], ["b"]]
-
-
 def test_haircut_and_pruning_reach_a_fixed_point(spark):
     edges, members = two_cliques(spark)
     tail = spark.createDataFrame([("a0", "x1", 1.0), ("x1", "x2", 1.0)], edges.schema)
@@ -48,12 +42,6 @@ def test_haircut_and_pruning_reach_a_fixed_point(spark):
     assert p.groupBy("target").count().filter("count < 2").isEmpty() and p.groupBy("prey").count().filter("count < 2").isEmpty()
 
 
-def test_node_embeddings_cover_every_node(spark):
-    edges, _ = two_cliques(spark, 4)
-    v = N.node_embeddings(edges, walks=2, length=4, size=4)
-    assert v.count() == 8
-
-
 def test_unmixing_recovers_offset(spark):
     rng = np.random.default_rng(0)
     # the sample's bins are about 17 wide, so the negative peak is made wider than a bin
