@@ -17,7 +17,7 @@ from ..functions.pvalue import neglog10p
 from ..session import cut_lineage
 from .linalg import gram
 from .quant import all_valids, median_replicates
-from .ranking import grouped_quantiles, grouped_ranks
+from .ranking import HOT_ROWS, grouped_quantiles, grouped_ranks
 from .relational import contains_join, top_n
 
 PAIR = ["prey", "bait"]
@@ -43,10 +43,22 @@ def sample_stats(values: DataFrame) -> DataFrame:
                                 (F.var_pop("value") * F.count("*")).alias("q1"), F.median("value").alias("med1"))
 
 
-def ranked_control(control: DataFrame) -> DataFrame:
-    """(prey, other, value, rank): the control values of each prey, numbered from 1 in their order."""
+def ranked_control(control: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(prey, other, value, rank, all_n, c): the control values of each prey, numbered from 1 in their order, with their count and mean.
+
+    A prey has one value per sample, so a window over a prey sorts as many rows as there are samples; where some prey
+    has more than ``hot_rows`` of them, its values are ranked in pieces.
+    """
     c = control.filter("value is not null").select("prey", F.col("bait").alias("other"), "replicate", F.col("value").cast("double").alias("value"))
-    return grouped_ranks(c, ["prey"], "value", ["other", "replicate"]).drop("replicate")
+    c = cut_lineage(c)
+    totals = c.groupBy("prey").agg(F.count("*").alias("all_n"), F.avg("value").alias("c"))
+    if totals.filter(F.col("all_n") > hot_rows).isEmpty():
+        w = W.partitionBy("prey")
+        ranks = c.select("prey", "other", "value", F.row_number().over(w.orderBy("value", "other", "replicate")).cast("bigint").alias("rank"),
+                         F.count("*").over(w).alias("all_n"), F.avg("value").over(w).alias("c"))
+    else:
+        ranks = grouped_ranks(c, ["prey"], "value", ["other", "replicate"], hot_rows=hot_rows).drop("replicate").join(totals, "prey")
+    return cut_lineage(ranks)
 
 
 def middle_ranks(n: Column) -> tuple[Column, Column]:
@@ -54,14 +66,15 @@ def middle_ranks(n: Column) -> tuple[Column, Column]:
     return F.floor((n + 1) / 2).cast("bigint"), F.ceil((n + 1) / 2).cast("bigint")
 
 
-def removed_values(ranks: DataFrame, members: DataFrame, totals: DataFrame, median: bool) -> DataFrame:
+def removed_values(ranks: DataFrame, members: DataFrame | None, median: bool) -> DataFrame:
     """Per (prey, set_id) the count and sums about the prey mean of the values of the set's baits, and how far they shift
     the two middle ranks of what is left.
 
     The i-th removed value, at rank r, has r - i kept ones before it, so the k-th kept value stands at rank k plus the number
-    of removed ones with r - i < k: a running number and a count, whatever the size of the set.
+    of removed ones with r - i < k: a running number and a count, whatever the size of the set.  Without ``members`` every
+    bait is the set of itself.
     """
-    x = ranks.join(members.select("set_id", "other"), "other").join(totals.select("prey", "c", "all_n"), "prey")
+    x = ranks.withColumn("set_id", F.col("other")) if members is None else ranks.join(members.select("set_id", "other"), "other")
     x = x.select("prey", "set_id", *(["rank", "all_n"] if median else []), (F.col("value") - F.col("c")).alias("d"))
     sums = [F.count("*").alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("ss")]
     if not median:
@@ -73,11 +86,11 @@ def removed_values(ranks: DataFrame, members: DataFrame, totals: DataFrame, medi
     return x.groupBy("prey", "set_id").agg(*sums, F.count_if(F.col("_before") < k1).alias("shift1"), F.count_if(F.col("_before") < k2).alias("shift2"))
 
 
-def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame, ddof: int = 1,
-                     mean: bool = False, scale: bool = True, sets: DataFrame | None = None) -> DataFrame:
+def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame | None, ddof: int = 1, mean: bool = False, scale: bool = True,
+                     sets: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
     """(prey, bait, t, df, pvals, enrichment) of every sampled pair against its control.
 
-    ``exclusion`` holds distinct (bait, other) pairs.  Where baits share what they exclude, ``sets``
+    ``exclusion`` holds distinct (bait, other) pairs; None excludes the bait itself only.  ``samples`` may carry the ``sample_stats`` of the values.  Where baits share what they exclude, ``sets``
     assigns each bait a set_id and ``exclusion`` lists the members (set_id, other) of each set once;
     no pairs of baits are formed then.  ``mean`` compares means instead of medians and
     ``scale=False`` leaves the difference undivided by the control's deviation.
@@ -87,13 +100,14 @@ def leave_out_scores(values: DataFrame, control: DataFrame, exclusion: DataFrame
     """
     if mean:
         ranks = control.filter("value is not null").select("prey", F.col("bait").alias("other"), F.col("value").cast("double").alias("value"))
+        ranks = ranks.join(ranks.groupBy("prey").agg(F.count("*").alias("all_n"), F.avg("value").alias("c")), "prey")
     else:
         ranks = ranked_control(control)
-    totals = control.filter("value is not null").groupBy("prey").agg(
-        F.count("*").alias("all_n"), F.avg("value").alias("c"), (F.var_pop("value") * F.count("*")).alias("all_ss"))
-    members = exclusion if sets is not None else exclusion.withColumnRenamed("bait", "set_id")
-    gone = removed_values(ranks, members, totals, not mean)
-    samples = sample_stats(values.repartition("prey"))
+    totals = ranks.groupBy("prey").agg(F.max("all_n").alias("all_n"), F.max("c").alias("c"), F.sum((F.col("value") - F.col("c")) * (F.col("value") - F.col("c"))).alias("all_ss"))
+    members = exclusion if sets is not None or exclusion is None else exclusion.withColumnRenamed("bait", "set_id")
+    gone = removed_values(ranks, members, not mean)
+    if samples is None:
+        samples = sample_stats(ranks.select("prey", F.col("other").alias("bait"), "value") if control is values else values.repartition("prey"))
     samples = samples.join(sets, "bait", "left") if sets is not None else samples.withColumn("set_id", F.col("bait"))
     j = samples.join(totals, "prey").join(gone, ["prey", "set_id"], "left").na.fill(0, ["n", "s", "ss", *([] if mean else ["shift1", "shift2"])])
 
@@ -276,9 +290,10 @@ def mask_hits(values: DataFrame, scores: DataFrame, p_cut: float) -> DataFrame:
 
 
 def score_two_rounds(values: DataFrame, exclusion: DataFrame, p_cut: float, curvature: float, offset: float) -> DataFrame:
-    first = leave_out_scores(values, values, exclusion)
-    control = cut_lineage(mask_hits(values, first, p_cut))
-    second = leave_out_scores(values, control, exclusion)
+    values, exclusion = cut_lineage(values), cut_lineage(exclusion)
+    samples = cut_lineage(sample_stats(values.repartition("prey")))
+    first = leave_out_scores(values, values, exclusion, samples=samples)
+    second = leave_out_scores(values, mask_hits(values, first, p_cut), exclusion, samples=samples)
     return second.withColumn("hits", F.coalesce(F.col("pvals") > fdr_curve(F.col("enrichment"), curvature, offset), F.lit(False)))
 
 
@@ -352,9 +367,10 @@ def score_iterative(values: DataFrame, names: DataFrame, curvature: float, offse
 def score_curve_rounds(values: DataFrame, fdr_first: tuple[float, float], fdr_second: tuple[float, float]) -> DataFrame:
     """Round one leaves only the bait itself out and masks hits by a threshold curve; round two uses
     the whole masked table as control."""
-    first = leave_out_scores(values, values, self_exclusion(values))
+    values = cut_lineage(values)
+    samples = cut_lineage(sample_stats(values.repartition("prey")))
+    first = leave_out_scores(values, values, None, samples=samples)
     hits = first.filter(F.col("pvals") > fdr_curve(F.col("enrichment"), *fdr_first)).select(*PAIR)
-    control = cut_lineage(values.join(hits, PAIR, "left_anti"))
-    nobody = self_exclusion(values).filter(F.lit(False))
-    second = leave_out_scores(values, control, nobody)
+    nobody = values.select("bait", F.col("bait").alias("other")).filter(F.lit(False))
+    second = leave_out_scores(values, values.join(hits, PAIR, "left_anti"), nobody, samples=samples)
     return second.withColumn("hits", F.coalesce(F.col("pvals") > fdr_curve(F.col("enrichment"), *fdr_second), F.lit(False)))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import network as N, stats as S
 from ..operators.quant import impute_prey
 from ..registry import query
+from ..session import cut_lineage
 from .quant import IMPUTE_PREY, LOG_I, rounded
 
 
@@ -56,12 +57,14 @@ def curve(c, x0):
 
 @query("ttest_neglog10p", f"select prey, bait, {NUMS} from {leave_out('{complete}', '{complete}', SELF)} q")
 def ttest_neglog10p(t):
-    return nums(S.leave_out_scores(t.complete, t.complete, S.self_exclusion(t.complete)))
+    v = t.complete
+    return nums(S.leave_out_scores(v, v, None))
 
 
 @query("enrichment", f"select prey, bait, round(enrichment, 5) as enrichment from {leave_out('{complete}', '{complete}', SELF, ddof=0, mean=True)} q")
 def enrichment(t):
-    s = S.leave_out_scores(t.complete, t.complete, S.self_exclusion(t.complete), ddof=0, mean=True)
+    v = t.complete
+    s = S.leave_out_scores(v, v, None, ddof=0, mean=True)
     return s.select("prey", "bait", F.round("enrichment", 5).alias("enrichment"))
 
 
@@ -74,7 +77,7 @@ def bait_interactions(t):
     from ..functions.cols import log2_or_null
     from ..operators.quant import filter_valids, transform_intensities
     v = transform_intensities(filter_valids(t.intensity), log2_or_null).filter("value is not null")
-    s = S.leave_out_scores(v, v, S.self_exclusion(v))
+    s = S.leave_out_scores(v, v, None)
     return nums(S.two_level_hits(s, (3, 0.5), (1, 0)), "hits", "minor_hits")
 
 
@@ -88,8 +91,9 @@ ROUND1 = leave_out("{complete}", "{complete}", EXCLUSION)
 
 @query("score_round_one", f"with s as {ROUND1}, h as (select prey, bait from s where enrichment > 0 and pvals > 1.3) select c.prey, c.bait, c.replicate, round(c.value, 6) as value from {{complete}} c where not exists (select 1 from h where h.prey = c.prey and h.bait = c.bait)")
 def score_round_one(t):
-    first = S.leave_out_scores(t.complete, t.complete, exclusion(t))
-    return rounded(S.mask_hits(t.complete, first, 1.3), "value")
+    v = cut_lineage(t.complete)
+    first = S.leave_out_scores(v, v, exclusion(t))
+    return rounded(S.mask_hits(v, first, 1.3), "value")
 
 
 @query("score_round_two", f"""with v as materialized (select * from {{complete}}), x as materialized {EXCLUSION}, s as materialized {leave_out('v', 'v', 'x')}, m as materialized (select * from v where not exists (select 1 from s where s.prey = v.prey and s.bait = v.bait and enrichment > 0 and pvals > 1.3))
@@ -149,8 +153,9 @@ CLUST = "(select distinct concat('B', s_suppkey % 12) as bait, s_suppkey % 12 %
 
 @query("score_by_cluster", f"with c as {CLUST}, x as materialized (select a.bait, b.bait as other from c a join c b on a.cluster = b.cluster) select prey, bait, {NUMS} from {leave_out('{complete}', '{complete}', 'x')} q")
 def score_by_cluster(t):
-    sets, members = S.cluster_sets(t.complete, t.sql(CLUST[1:-1]))
-    return nums(S.leave_out_scores(t.complete, t.complete, members, sets=sets))
+    v = t.complete
+    sets, members = S.cluster_sets(v, t.sql(CLUST[1:-1]))
+    return nums(S.leave_out_scores(v, v, members, sets=sets))
 
 
 CORR = """(with k as (select prey from {complete} group by 1 having count(distinct bait) = (select count(distinct bait) from {complete})), m as (select prey, bait, median(value) as v from {complete} where prey in (select prey from k) group by 1, 2)
@@ -172,7 +177,8 @@ def correlated_baits(t):
 
 @query("score_correlation_controls", f"with v as materialized (select * from {{complete}}), x as materialized {CORR_X} select prey, bait, {NUMS} from {leave_out('v', 'v', 'x')} q")
 def score_correlation_controls(t):
-    return nums(S.leave_out_scores(t.complete, t.complete, S.correlated_baits(S.bait_correlation(t.complete))))
+    v = cut_lineage(t.complete)
+    return nums(S.leave_out_scores(v, v, S.correlated_baits(S.bait_correlation(v))))
 
 
 @query("fdr_curve", f"select row_key, round(case when isinf({curve(3, 2)}) then 1e9 else {curve(3, 2)} end, 6) as thresh, round(case when abs(enrichment) < 2 or abs(enrichment) = 2 then 1e9 else 3 / nullif(abs(enrichment) - 2, 0) end, 6) as thresh_both from {{scores}}")

@@ -151,3 +151,42 @@ def test_local_folder_needs_a_local_master():
     for master in ("spark://host:7077", "yarn", "k8s://https://host", "local-cluster[3,2,1024]"):
         with pytest.raises(RuntimeError):
             own_folder(master, "atlas-test-")
+
+
+def exchanges(plan):
+    """Column types that each shuffle or broadcast of a physical plan carries."""
+    out, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "Exchange" in node.nodeName():
+            out.append(node.schema().simpleString())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_scores_shuffle_no_lists(spark, tables):
+    v = tables.complete
+    x = spark.createDataFrame([(f"B{i}", f"B{j}") for i in range(12) for j in (i, (i + 1) % 12)], "bait string, other string")
+    ranks = S.ranked_control(v)
+    for df in (ranks, S.removed_values(ranks, x.withColumnRenamed("bait", "set_id"), True), S.leave_out_scores(v, v, x), S.leave_out_scores(v, v, None)):
+        carried = exchanges(df._jdf.queryExecution().executedPlan())
+        assert not any("array<" in c for c in carried), carried
+    assert exchanges(S.leave_out_scores(v, v, x)._jdf.queryExecution().executedPlan())
+
+
+def test_scores_of_a_large_prey(spark):
+    """A prey with more values than a window should sort is ranked in pieces, with the same scores; ties and excluded middles included."""
+    rng = np.random.default_rng(8)
+    rows = [("hot" if p == 0 else f"p{p}", f"b{b}", r, float(rng.integers(0, 9))) for p in range(3) for b in range(40 if p == 0 else 6) for r in range(3)]
+    df = spark.createDataFrame(rows, "prey string, bait string, replicate int, value double")
+    x = spark.createDataFrame([(f"b{i}", f"b{j}") for i in range(40) for j in range(40) if i % 5 == j % 5], "bait string, other string")
+    ranked = [sorted((r["prey"], r["rank"], r["value"]) for r in S.ranked_control(df, n).collect()) for n in (10, 10 ** 6)]
+    assert ranked[0] == ranked[1] and len(ranked[0]) == len(rows)
+    v = pd.DataFrame(rows, columns=["prey", "bait", "replicate", "value"])
+    for r in S.leave_out_scores(df, df, x, ddof=0).collect():
+        con = v[(v.prey == r["prey"]) & (v.bait.str[1:].astype(int) % 5 != int(r["bait"][1:]) % 5)]["value"]
+        own = v[(v.prey == r["prey"]) & (v.bait == r["bait"])]["value"]
+        assert r["n2"] == len(con) and r["enrichment"] == pytest.approx((own.median() - con.median()) / con.std(ddof=0))
