@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..session import cut_lineage
+from .ranking import grouped_ranks
+from .relational import top_n
 
 TOP = 100
+#: Postings of a block and folders of the stored index.
+BLOCK = 10_000
+PARTS = 32
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -52,29 +62,85 @@ def token_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return t.select("id", "n_tokens", F.explode("w").alias("token")).groupBy("id", "n_tokens", "token").agg(F.count("*").alias("tf"))
 
 
-def fulltext_search(queries: DataFrame, tokens: DataFrame, top: int = TOP) -> DataFrame:
-    """(query, id, relevance): documents with every query word, by term frequency over length.
+@dataclass(frozen=True)
+class TextIndex:
+    """Stored postings (token, block, id, tf, n_tokens) and their blocks (token, block, n, top).
 
-    Candidates come from each query's rarest word; the other words are looked up by (word, document),
-    so a word that most documents contain never lists them.
+    The postings of a word are cut into blocks of ``block`` entries by falling share of the word in its document, ``top`` being
+    the largest share in a block; a common word is thus spread over many blocks, files and tasks.
+    """
+    spark: SparkSession
+    path: str
+    id_type: str
+    parts: int = PARTS
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema(f"id {self.id_type}, n_tokens int, token string, tf bigint, share double, block bigint, part int").parquet(f"{self.path}/postings")
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema("token string, block bigint, n bigint, top double").parquet(f"{self.path}/blocks")
+
+
+def build_text_index(docs: DataFrame, id_col: str, text: str, path: str, block: int = BLOCK, parts: int = PARTS) -> TextIndex:
+    """Write the index of whole texts below ``path``, a folder that all executors share; the texts are read once."""
+    t = cut_lineage(token_table(docs, id_col, text).withColumn("share", F.col("tf") / F.col("n_tokens")))
+    common = t.groupBy("token").agg(F.count("*").alias("_f")).filter(F.col("_f") > block).select("token")
+    rare = t.join(common, "token", "left_anti").withColumn("block", F.lit(0).cast("bigint"))
+    ranked = grouped_ranks(t.join(common, "token", "left_semi").withColumn("_minus", -F.col("share")), ["token"], "_minus", ["id", "n_tokens"], out="_r")
+    cut = ranked.withColumn("block", F.floor((F.col("_r") - 1) / block)).drop("_r", "_minus")
+    rows = rare.unionByName(cut).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    rows = rows.repartition("part", F.pmod("block", F.lit(64))).sortWithinPartitions("token", "block", F.desc("share"))
+    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    index = TextIndex(docs.sparkSession, path, dict(docs.dtypes)[id_col], parts)
+    index.postings.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("share").alias("top")).write.mode("overwrite").parquet(f"{path}/blocks")
+    return index
+
+
+def fulltext_search(queries: DataFrame, index: TextIndex, top: int = TOP) -> DataFrame:
+    """(query, id, relevance): documents with every query word, by term frequency over length; ``top`` per query, ties by id.
+
+    Candidates come from the blocks of each query's rarest word, the best block first; the other words are looked up by
+    (word, document).  A query ends once its worst kept document beats what the next block can hold at most: the
+    block's largest share and the largest shares of the other words.  Each round reads as many blocks as all before it.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("query"), NO_WORD), lambda w: w != ""))
     asked = queries.select("query").distinct().withColumn("_w", words).select("query", F.size("_w").alias("_n"), F.explode("_w").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count("*").alias("_f"))
-    known = asked.join(freq, "token")
-    rare = known.groupBy("query").agg(F.count("*").alias("_k"), F.max("_n").alias("_n"), F.min(F.struct("_f", "token")).alias("_r")) \
-        .filter("_k = _n").select("query", F.col("_r.token").alias("token"))
-    cand = rare.join(tokens, "token").select("query", "id")
-    hit = (cand.join(asked, "query").join(tokens, ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
-           .agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf")))
-    ranked = hit.filter("_m = _n").select("query", "id", (F.col("_tf") / F.col("n_tokens")).alias("relevance"))
-    from .relational import top_n
-    return top_n(ranked, ["query"], [F.desc("relevance"), F.asc("id")], top).drop("rank")
+    blocks, postings = index.blocks, index.postings
+    of = blocks.groupBy("token").agg(F.sum("n").alias("_f"), F.max("top").alias("_top"), F.count("*").alias("_blocks"))
+    known = asked.join(of, "token")
+    plan = known.groupBy("query").agg(F.count("*").alias("_k"), F.max("_n").alias("_n"), F.min(F.struct("_f", "token", "_top", "_blocks")).alias("_r"), F.sum("_top").alias("_all"))
+    plan = cut_lineage(plan.filter("_k = _n").select("query", "_n", F.col("_r.token").alias("token"), (F.col("_all") - F.col("_r._top")).alias("_others"), F.col("_r._blocks").alias("_blocks")))
+    asked = cut_lineage(asked.join(plan.select("query"), "query", "left_semi"))
+    parts = [r[0] for r in asked.select(F.pmod(F.xxhash64("token"), F.lit(index.parts)).cast("int").alias("part")).distinct().collect()]
+    postings = postings.filter(F.col("part").isin(parts))  # at most as many numbers as folders; folders without an asked word are not read
+    kept, done, first, last = None, [], 0, 1
+    while True:
+        wanted = plan.select("query", "token", F.explode(F.sequence(F.lit(first).cast("bigint"), F.least(F.lit(last), "_blocks") - 1)).alias("block"))
+        cand = wanted.join(postings.select("token", "block", "id"), ["token", "block"]).select("query", "id").distinct()
+        hit = (cand.join(asked, "query").join(postings.select("token", "id", "n_tokens", "tf"), ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
+               .agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf")))
+        rows = hit.filter("_m = _n").select("query", "id", (F.col("_tf") / F.col("n_tokens")).alias("relevance"))
+        rows = rows if kept is None else rows.unionByName(kept)
+        best = cut_lineage(top_n(rows.distinct(), ["query"], [F.desc("relevance"), F.asc("id")], top))
+        worst = best.filter(F.col("rank") == top).select("query", F.col("relevance").alias("_worst"))
+        ahead = blocks.filter(F.col("block") == last).select("token", F.col("top").alias("_next"))
+        # a small margin, as the bound adds its shares in another order than the relevance
+        bound = (F.col("_next") + F.col("_others")) * (1 + 1e-9)
+        still = plan.filter(F.col("_blocks") > last).join(worst, "query", "left").join(ahead, "token", "left")
+        plan_next = cut_lineage(still.filter(F.col("_worst").isNull() | F.col("_next").isNull() | (F.col("_worst") <= bound)).select(plan.columns))
+        best = best.drop("rank")
+        if plan_next.isEmpty():
+            done.append(best)
+            return reduce(DataFrame.unionByName, done)
+        done.append(best.join(plan_next.select("query"), "query", "left_anti"))
+        kept = best.join(plan_next.select("query"), "query", "left_semi")
+        plan, first, last = plan_next, last, 2 * last
 
 
 def search_combine(parts: list[DataFrame], targets: DataFrame) -> DataFrame:
     """(query, ensg_id, relevance, status, rank): best relevance per id, targets before interactors."""
-    from functools import reduce
     rows = reduce(DataFrame.unionByName, parts)
     best = rows.groupBy("query", "ensg_id").agg(F.max("relevance").alias("relevance"))
     t = targets.select("ensg_id", F.lit("Target").alias("status")).distinct()

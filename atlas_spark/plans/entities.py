@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities as E, search as S
 from ..registry import query
+from ..session import shared_folder
 from .network import BRIDGE
 from .relational import BAIT_HITS, CATS, REF_UNIPROT, SIG, rounded
 
@@ -45,7 +46,8 @@ TEXTQ_DUCK = TEXTQ.replace("'[^\\\\pL\\\\pN]+', ' ')", "'[^\\pL\\pN]+', ' ', 'g'
     h as (select query, n_asked, id, n, count(*) as m, sum(tf) as tf from a join f using (token) group by all), r as (select query, id, tf / n as relevance, row_number() over (partition by query order by tf / n desc, id) as rank from h where m = n_asked)
     select query, id, round(relevance, 8) as relevance from r where rank <= 100""")
 def fulltext_search(t):
-    return rounded(S.fulltext_search(t.sql(TEXTQ), S.token_table(t.documents, "doc_id", "text")), "relevance", digits=8)
+    index = S.build_text_index(t.documents, "doc_id", "text", shared_folder(t.spark, "text-index"))
+    return rounded(S.fulltext_search(t.sql(TEXTQ), index), "relevance", digits=8)
 
 
 @query("search_combine", f"""with a as {PREFIX_SQL}, n as (select query, concat('ENSG', lpad(cast(s_suppkey as varchar), 11, '0')) as ensg_id, 0.5::double as relevance from ({PREFIX}) p join supplier on query = concat('g', s_suppkey)), u as (select * from a union all select * from n),
