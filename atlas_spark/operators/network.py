@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import keyed
 from ..session import cut_lineage
-from .ranking import grouped_ranks, running_sum
+from .ranking import HOT_ROWS, grouped_ranks
 
 
 def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,31 +52,57 @@ def null_network(edges: DataFrame) -> DataFrame:
     return a.join(b, "_r").select("target", "prey")
 
 
+#: Members of a block of a hub's list.
+HUB_BLOCK = 512
+
+
+def member_pairs(rows: DataFrame, group: str, member: str, block: int = HUB_BLOCK) -> DataFrame:
+    """(first, second), first < second: the pairs of members of each group, without repeats.
+
+    A group of many members is cut into blocks, and every two blocks are a key of their own, so that a hub's pairs are spread over
+    many tasks.  ``rows`` are distinct.
+    """
+    size = rows.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    d = rows.select(group, member).join(size, group).withColumn("_own", F.pmod(F.xxhash64(member), "_blocks").cast("int"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    d = d.select(group, F.least("_own", "_other").alias("_lo"), F.greatest("_own", "_other").alias("_hi"), "_own", F.col(member).alias("first"))
+    key = [group, "_lo", "_hi"]
+    second = d.select(*key, F.col("_own").alias("_own2"), F.col("first").alias("second"))
+    return d.join(second, key).filter("first < second and (_lo = _hi or _own <> _own2)").select("first", "second").distinct()
+
+
 def second_neighbors(edges: DataFrame, threshold: int = 3) -> DataFrame:
     """Prey pairs sharing at least ``threshold`` targets and no direct edge, with the shared targets.
 
     With targets ordered from rare to common, two preys can only share that many if they share one
-    outside the last threshold-1 of their lists, so the common targets never generate pairs.
+    outside the last threshold-1 of their lists, so the common targets never generate pairs.  What a candidate pair shares is
+    found by expanding the shorter list and looking it up in the longer one.
     """
-    e = edges.select("target", "prey").distinct()
+    e = cut_lineage(edges.select("target", "prey").distinct())
     freq = e.groupBy("target").agg(F.count("*").alias("_f"))
-    lists = (e.join(freq, "target").groupBy("prey").agg(F.array_sort(F.collect_list(F.struct("_f", "target"))).alias("_s"))
-             .select("prey", F.transform("_s", lambda s: s["target"]).alias("targets")).filter(F.size("targets") >= threshold))
-    rare = lists.select("prey", F.explode(F.slice("targets", F.lit(1), F.size("targets") - (threshold - 1))).alias("target"))
-    other = rare.select(F.col("prey").alias("prey_1"), "target")
-    cand = rare.join(other, "target").filter("prey < prey_1").select("prey", "prey_1").distinct()
-    t1 = lists.select(F.col("prey").alias("prey_1"), F.col("targets").alias("targets_1"))
-    both = cand.join(lists, "prey").join(t1, "prey_1").withColumn("shared", F.array_intersect("targets", "targets_1")).filter(F.size("shared") >= threshold)
-    direct = unique_interactions(e).withColumnsRenamed({"prot_1": "prey", "prot_2": "prey_1"})
-    return both.join(direct, ["prey", "prey_1"], "left_anti").select(
-        F.col("prey").alias("prot_1"), F.col("prey_1").alias("prot_2"), F.array_sort("shared").alias("shared_targets"))
+    degree = e.groupBy("prey").agg(F.count("*").alias("_d")).filter(F.col("_d") >= threshold)
+    sized = e.join(freq, "target").join(degree, "prey")
+    if degree.filter(F.col("_d") > HOT_ROWS).isEmpty():
+        ranked = sized.withColumn("_i", F.row_number().over(W.partitionBy("prey").orderBy("_f", "target")))
+    else:
+        ranked = grouped_ranks(sized, ["prey"], "_f", ["target"], out="_i")
+    rare = ranked.filter(F.col("_i") <= F.col("_d") - (threshold - 1)).select("target", "prey")
+    pairs = member_pairs(rare, "target", "prey").withColumnsRenamed({"first": "prot_1", "second": "prot_2"})
+    pairs = pairs.join(unique_interactions(e), ["prot_1", "prot_2"], "left_anti")
+    d1, d2 = (degree.select(F.col("prey").alias(f"prot_{k}"), F.col("_d").alias(f"_d{k}")) for k in "12")
+    first = F.col("_d1") <= F.col("_d2")
+    pairs = pairs.join(d1, "prot_1").join(d2, "prot_2").select("prot_1", "prot_2", F.when(first, F.col("prot_1")).otherwise(F.col("prot_2")).alias("_short"),
+                                                              F.when(first, F.col("prot_2")).otherwise(F.col("prot_1")).alias("_long"))
+    short, long_ = (e.select(F.col("prey").alias(p), "target") for p in ("_short", "_long"))
+    shared = pairs.join(short, "_short").join(long_, ["_long", "target"], "left_semi").groupBy("prot_1", "prot_2").agg(F.array_sort(F.collect_list("target")).alias("shared_targets"))
+    return shared.filter(F.size("shared_targets") >= threshold)
 
 
 def ego_network(edges: DataFrame, egos: DataFrame, second: DataFrame) -> DataFrame:
     """(ego, a, b, direct): edges among each ego and its partners, and second neighbours among them."""
-    u = unique_interactions(edges)
+    u, second = cut_lineage(unique_interactions(edges)), cut_lineage(second)
     partner = both_ways(u, "prot_1", "prot_2").select(F.col("prot_1").alias("ego"), F.col("prot_2").alias("a")).join(egos, "ego", "left_semi")
-    members = partner.unionByName(egos.select("ego", F.col("ego").alias("a")).join(partner.select("ego").distinct(), "ego", "left_semi"))
+    members = cut_lineage(partner.unionByName(egos.select("ego", F.col("ego").alias("a")).join(partner.select("ego").distinct(), "ego", "left_semi")))
     right = members.select("ego", F.col("a").alias("b"))
 
     def inside(pairs, direct):

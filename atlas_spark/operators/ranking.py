@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 HOT_ROWS = 500_000
 PIECES = 256
 _GRID = "array(" + ", ".join(f"{i / PIECES}D" for i in range(1, PIECES)) + ")"
@@ -125,10 +127,17 @@ def global_row_number(df: DataFrame, value: str, out: str = "rank", hot_rows: in
     return grouped_ranks(df, [], value, out=out, hot_rows=hot_rows)
 
 
-def text_order(c: str | Column) -> Column:
-    """Number that grows with the first six bytes of a text; orders pieces, ties settle the rest."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.conv(F.rpad(F.hex(F.encode(F.substring(c, 1, 6), "utf-8")).substr(1, 12), 12, "0"), 16, 10).cast("double")
+def text_ranks(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
+    """row_number over the whole table by a column of distinct, non-null texts.
+
+    Spark cuts the table at whole texts that it samples, so names with a long common start fall into many pieces as well; each
+    piece is sorted on its own and shifted by the rows before it.  The pieces are checkpointed, as a sample taken again could
+    cut elsewhere.
+    """
+    pieces = cut_lineage(df.repartitionByRange(column).withColumn("_piece", F.spark_partition_id()))
+    off = _offsets(pieces.withColumn(_ALL, F.lit(0)), [_ALL], F.lit(1)).select("_piece", "_before")  # one row per partition
+    rn = F.row_number().over(W.partitionBy("_piece").orderBy(column))
+    return pieces.join(F.broadcast(off), "_piece").withColumn(out, (rn + F.col("_before")).cast("bigint")).select(*df.columns, out)
 
 
 def best_row(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], largest: bool = False) -> DataFrame:

@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import cols as C
-from .ranking import best_row, grouped_ranks, text_order
+from .ranking import best_row, text_ranks
+
+
+#: Length of the substrings that stand for a longer needle.
+GRAM = 3
+
+
+def _grams(column: str, size: int) -> Column:
+    """Distinct substrings of one length of a text."""
+    n = F.length(column)
+    at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(F.col(column), i, F.lit(size))))
 
 
 def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Rows of ``texts`` joined with every needle their text contains.
+    """Rows of ``texts`` joined with every needle their text contains; NULL and empty needles are in no text.
 
-    The substrings of each (short) text are listed and joined by equality, so no pair of a text and
-    a needle is ever tested: the work is linear in the rows of both sides.
+    A needle of GRAM characters or more is looked up by the one of its substrings of that length that the fewest texts have,
+    and then compared in full; a shorter one is looked up by itself.  A text lists its distinct substrings of up to GRAM
+    characters, so the rows stay linear in its length.
     """
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    subs = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(F.col(text), i, k)))))
-    return (texts.filter(n > 0).withColumn(needle, F.explode(subs))
-            .join(needles.select(needle).distinct(), needle))
+    held = texts.select(F.col(text).alias("_t")).filter(F.length("_t") > 0).distinct()
+    asked = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    listed = held.select("_t", F.explode(F.concat(*[_grams("_t", k) for k in range(1, GRAM + 1)])).alias("_g"))
+    freq = listed.filter(F.length("_g") == GRAM).groupBy("_g").agg(F.count("*").alias("_f"))
+    parts = asked.filter(F.length("_needle") >= GRAM).select("_needle", F.explode(_grams("_needle", GRAM)).alias("_g"))
+    # a substring that no text has rules its needle out
+    rarest = parts.join(freq, "_g", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_g")).alias("_r"))
+    keyed = rarest.filter("_r._f > 0").select("_needle", F.col("_r._g").alias("_g"))
+    keyed = keyed.unionByName(asked.filter(F.length("_needle") < GRAM).select("_needle", F.col("_needle").alias("_g")))
+    found = keyed.join(listed, "_g").filter(F.contains("_t", "_needle")).select(F.col("_t").alias(text), F.col("_needle").alias(needle))
+    return texts.join(found, text)
 
 
 def member_join(rows: DataFrame, names: str, genes: DataFrame, gene: str, sep: str = ";") -> DataFrame:
@@ -92,9 +109,7 @@ def rolling_sum(df: DataFrame, day: str, days: int = 7, amount: Column | None =
 
 def block_numbers(df: DataFrame, name: str, size: int) -> DataFrame:
     """Distinct names in order, cut into blocks of ``size``."""
-    names = df.select(name).distinct().withColumn("_o", text_order(name))
-    return grouped_ranks(names, [], "_o", [name], out="_r").select(
-        name, F.floor((F.col("_r") - 1) / size).cast("bigint").alias("block"))
+    return text_ranks(df.select(name).distinct(), name, out="_r").select(name, F.floor((F.col("_r") - 1) / size).cast("bigint").alias("block"))
 
 
 def plate_layout(wells_df: DataFrame, spark) -> DataFrame:

@@ -156,8 +156,8 @@ def read_fov_metadata(t):
     return R.read_fov_metadata(t.spark, path).select("site_num", "raw_filepath", "sort_count")
 
 
-@query("list_files", """select concat('mNG96wp', n_regionkey + 1) as plate_dir, count(*) as n_files, bool_and(true) as sized from (
-    select n_regionkey from nation where n_nationkey >= 0) q group by 1""")
+@query("list_files", """select concat('mNG96wp', n_regionkey + 1) as plate_dir, count(*) as n_files, sum(length(n_name) + 1)::bigint as n_bytes, true as dated
+    from nation group by 1""")
 def list_files(t):
     from ..operators.imaging_paths import path_levels
     root = W.scratch_path(t.spark)
@@ -167,8 +167,10 @@ def list_files(t):
      .write.partitionBy("plate", "file").text(root))
     # partition folders are named plate=...; the pattern argument covers such trees as well
     files = R.list_files(t.spark, root, pattern="^plate=mNG96wp[1-9]")
-    return (path_levels(files.select(F.regexp_replace("path", "plate=", "").alias("path"), "length"))
-            .groupBy("plate_dir").agg(F.count("*").alias("n_files"), F.lit(True).alias("sized")))
+    files = files.withColumn("path", F.regexp_replace("path", "plate=", ""))
+    rows = path_levels(files.select("path")).join(files, "path")
+    recent = F.col("modificationTime").between(F.current_timestamp() - F.expr("interval 1 day"), F.current_timestamp() + F.expr("interval 1 day"))
+    return rows.groupBy("plate_dir").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"), F.bool_and(recent).alias("dated"))
 
 
 @query("read_edge_networks", "select target, prey, weight as score from {edges} where weight > 18")

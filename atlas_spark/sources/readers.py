@@ -177,7 +177,9 @@ def list_files(spark: SparkSession, root: str, pattern: str = RAW_PLATE_PATH, su
     """Image files below ``root`` with path levels, size and time; file contents are not read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length", "modificationTime"))
-    base = "file:" + root.rstrip("/") + "/" if root.startswith("/") else root.rstrip("/") + "/"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    # the listed paths carry the scheme and host of the root's file system, whichever it is
+    base = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
     rel = F.regexp_replace("path", "^" + re.escape(base), "")
     return (files.withColumn("path", rel).filter(F.col("path").contains(suffix) & F.col("path").rlike(pattern)))
 

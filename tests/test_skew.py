@@ -190,3 +190,45 @@ def test_scores_of_a_large_prey(spark):
         con = v[(v.prey == r["prey"]) & (v.bait.str[1:].astype(int) % 5 != int(r["bait"][1:]) % 5)]["value"]
         own = v[(v.prey == r["prey"]) & (v.bait == r["bait"])]["value"]
         assert r["n2"] == len(con) and r["enrichment"] == pytest.approx((own.median() - con.median()) / con.std(ddof=0))
+
+
+def test_contains_join_of_any_length(spark):
+    """Rows are linear in the text, whatever the needles' lengths; equal answers with a plain search."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcé"), rng.integers(0, 12))) for _ in range(80)] + ["ab" * 2000, "", None, "abc", "abc"]
+    needles = ["".join(rng.choice(list("abcé"), rng.integers(1, 6))) for _ in range(60)] + ["", None, "ab" * 1500, "zz", "a", "a"]
+    rows = list(enumerate(texts))
+    got = L.contains_join(spark.createDataFrame(rows, "id int, t string"), "t", spark.createDataFrame([(n,) for n in needles], "n string"), "n")
+    want = sorted((i, n) for i, t in rows for n in {x for x in needles if x} if t and n in t)
+    assert sorted((r["id"], r["n"]) for r in got.collect()) == want
+
+
+def test_text_ranks_cut_long_common_starts(spark):
+    """Names that agree in their first forty characters fall into many pieces."""
+    rng = np.random.default_rng(6)
+    names = [f"{'x' * 40}{i:07d}" for i in rng.permutation(4000)] + ["a", "zé", "", "x"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    seen = []
+    original = R.cut_lineage
+    R.cut_lineage = lambda d: seen.append(original(d)) or seen[-1]
+    try:
+        got = {r["name"]: r["rank"] for r in R.text_ranks(df, "name").collect()}
+    finally:
+        R.cut_lineage = original
+    assert got == {n: i for i, n in enumerate(sorted(names), 1)}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in df.repartitionByRange("name").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 3 * 4004 / 8
+
+
+def test_member_pairs_spread_a_hub(spark):
+    """One group holds half of the rows: its pairs come from many keys, each with a few blocks' members, and none is lost or doubled."""
+    rows = [("hub", f"p{i:03d}") for i in range(200)] + [(f"t{i % 40}", f"p{i:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "target string, prey string")
+    got = [(r["first"], r["second"]) for r in N.member_pairs(df, "target", "prey", block=20).collect()]
+    assert len(got) == len(set(got)) == 200 * 199 // 2 and all(a < b for a, b in got)
+    plan = N.second_neighbors(df)._jdf.queryExecution().executedPlan()
+    assert not any("array<string>" in c for c in exchanges(plan))  # no list of targets travels with a candidate
