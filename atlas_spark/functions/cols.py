@@ -180,8 +180,11 @@ def log2_or_null(v) -> Column:
     return F.when(col(v) > 0, F.log2(col(v)))
 
 
-# Fixed formats of raw image paths: well, site, target, optional tag suffix.
-_WELL, _SITE, _TARGET, _TAG = "[A-H][1-9][0-2]?", "[1-9][0-9]?", "[a-zA-Z0-9]+", "[|_-][a-zA-Z]+"
+# The formats of the parts of a raw image's file name (well, site, target, optional tag suffix), as documented.
+_WELL = "[A-H][1-9][0-2]?"
+_SITE = "[1-9][0-9]?"
+_TARGET = "[a-zA-Z0-9]+"
+_TAG = r"[\-|_][a-zA-Z]+"
 TIFF_NAME = f"^({_WELL})_({_SITE})_({_TARGET})({_TAG})?.ome.tif$"
 TIFF_NAME_TWO_WELLS = f"^({_WELL})_({_SITE})_Jin_({_WELL})_({_TARGET})({_TAG})?.ome.tif$"
 PLATE_DIR = "^mNG96wp([0-9]{1,2})"
