@@ -86,11 +86,14 @@ class TextIndex:
 def build_text_index(docs: DataFrame, id_col: str, text: str, path: str, block: int = BLOCK, parts: int = PARTS) -> TextIndex:
     """Write the index of whole texts below ``path``, a folder that all executors share; the texts are read once."""
     t = cut_lineage(token_table(docs, id_col, text).withColumn("share", F.col("tf") / F.col("n_tokens")))
-    common = t.groupBy("token").agg(F.count("*").alias("_f")).filter(F.col("_f") > block).select("token")
-    rare = t.join(common, "token", "left_anti").withColumn("block", F.lit(0).cast("bigint"))
-    ranked = grouped_ranks(t.join(common, "token", "left_semi").withColumn("_minus", -F.col("share")), ["token"], "_minus", ["id", "n_tokens"], out="_r")
-    cut = ranked.withColumn("block", F.floor((F.col("_r") - 1) / block)).drop("_r", "_minus")
-    rows = rare.unionByName(cut).withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    common = cut_lineage(t.groupBy("token").agg(F.count("*").alias("_f")).filter(F.col("_f") > block).select("token"))
+    if common.isEmpty():
+        rows = t.withColumn("block", F.lit(0).cast("bigint"))
+    else:
+        rare = t.join(common, "token", "left_anti").withColumn("block", F.lit(0).cast("bigint"))
+        ranked = grouped_ranks(t.join(common, "token", "left_semi").withColumn("_minus", -F.col("share")), ["token"], "_minus", ["id", "n_tokens"], out="_r")
+        rows = rare.unionByName(ranked.withColumn("block", F.floor((F.col("_r") - 1) / block)).drop("_r", "_minus"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
     rows = rows.repartition("part", F.pmod("block", F.lit(64))).sortWithinPartitions("token", "block", F.desc("share"))
     rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     index = TextIndex(docs.sparkSession, path, dict(docs.dtypes)[id_col], parts)
