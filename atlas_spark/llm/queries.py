@@ -78,7 +78,7 @@ with page as (select row_number() over () as r, doc_id, source, text, string_spl
 pages as (select source, count(*) as n from page group by source),
 held as (select source, line, count(*) as c from (select distinct r, source, unnest(l) as line from page) where line <> '' group by all),
 boiler as (select h.source as s, list(line) as b from held h join pages p on h.source is not distinct from p.source
-           where c >= {line_dedup.MIN_PAGES} and c > {line_dedup.RATIO} * n group by all),
+           where c - 1 > {line_dedup.RATIO} * n group by all),
 kept as (select doc_id, source, text, l, list_filter(l, lambda x: x = '' or not coalesce(list_contains(b, x), false)) as k
          from page left join boiler on source is not distinct from s)
 select doc_id, source, coalesce(len(l), 0)::bigint as n_lines, coalesce(len(l) - len(k), 0)::bigint as n_dropped,

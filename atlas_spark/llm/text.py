@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 CHUNK_BYTES = 4 << 20
 
@@ -49,6 +50,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         yield batch.slice(first)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many leading underscores as it takes to clash with no column of ``df``."""
+    mark = "_"
+    while any(c.lower() in {mark + n for n in names} for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def offsets(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; NULL counts as empty."""
     a = a.cast(pa.large_binary()) if a.type != pa.large_binary() else a
