@@ -7,6 +7,7 @@ one byte, which that line feed fills, so the file is valid Zstandard to its last
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -24,7 +25,9 @@ ZDICT_MAGIC = 0xEC30A437
 ARCHIVE_BYTES = 8 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_ROWS = 400
-SAMPLE_BYTES = 20_000
+SAMPLE_BYTES = 8000
+DIGESTS = ("md5", "sha1", "sha256", "sha384", "sha512")
+LENGTH = "x-payload-length"  # of a revisit this is the length of the record that it refers to
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -33,10 +36,15 @@ class WarcError(ValueError):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """Dictionary from a bounded sample: the SAMPLE_ROWS payloads with the least hashes, SAMPLE_BYTES of each; empty if too few."""
-    rows = (pages.select(F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).filter(F.length("p") >= 64)
-            .orderBy(F.xxhash64("p")).limit(SAMPLE_ROWS).collect())
-    parts = [bytes(r["p"])[i:i + 2000] for r in rows for i in range(0, min(len(r["p"]), 8000), 2000)]
+    """Dictionary from a bounded sample: the SAMPLE_ROWS different beginnings of payloads with the least hashes; empty if too few.
+
+    Only hashes and ids are ranked; the beginnings, of SAMPLE_BYTES, are fetched for the chosen ids.
+    """
+    begun = pages.select("page_id", F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).filter(F.length("p") >= 64).withColumn("h", F.xxhash64("p"))
+    least = begun.groupBy("h").agg(F.min("page_id").alias("i")).orderBy("h").limit(SAMPLE_ROWS).withColumnRenamed("h", "k")
+    held = begun.join(F.broadcast(least), (begun["h"] == F.col("k")) & F.col("page_id").eqNullSafe(F.col("i")))  # SAMPLE_ROWS pairs of numbers
+    rows = held.groupBy("h").agg(F.first("p").alias("p")).orderBy("h").collect()
+    parts = [bytes(r["p"])[i:i + 2000] for r in rows for i in range(0, len(r["p"]), 2000)]
     if len(parts) < 64:
         return b""
     try:
@@ -85,14 +93,34 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError("Content-Length does not match the record")
     block = rest[:-4]
-    wanted = headers.get("warc-block-digest", "")
-    if wanted.startswith("sha1:") and wanted[5:] != hashlib.sha1(block).hexdigest():
+    if not same_digest(headers.get("warc-block-digest", ""), block):
         raise WarcError("block digest differs")
-    if headers["warc-type"] == "response" and headers.get("warc-payload-digest", "")[5:] not in ("", hashlib.sha1(block).hexdigest()):
-        raise WarcError("payload digest differs")
+    if headers["warc-type"] == "response":
+        held = payload_of(headers, block)
+        if not same_digest(headers.get("warc-payload-digest", ""), held):
+            raise WarcError("payload digest differs")
+        if headers.get(LENGTH, str(len(held))) != str(len(held)):
+            raise WarcError("payload length differs")
     return headers, block
 
 
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """The block, without the HTTP head where it is an HTTP message."""
+    if headers.get("content-type", "").split(";")[0].strip().lower() != "application/http":
+        return block
+    return block.partition(b"\r\n\r\n")[2]
+
+
+def same_digest(wanted: str, data: bytes) -> bool:
+    """Whether ``algorithm:value`` is the digest of the data, in hexadecimal or base32; an empty one or an algorithm unknown here is not judged."""
+    name, _, value = wanted.partition(":")
+    name = name.strip().lower().replace("sha-", "sha")
+    if not value or name not in DIGESTS:
+        return True
+    made = hashlib.new(name, data).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
 def _skippable(payload: bytes, magic: int) -> bytes:
     return struct.pack("<II", magic, len(payload)) + payload
 
@@ -138,14 +166,18 @@ def read_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield parse_record(b"".join(out))
 
 
+def payloads(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload) of ``pages(page_id, url, html)``; other columns are left out."""
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
+                        F.coalesce(F.encode(F.col("html"), "utf-8"), F.lit(b"")).alias("payload"))
+
+
 def with_revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
     """``pages`` with payload, digest and refers_to: the largest page_id of an equal payload of ``least_bytes`` or more.
 
     Only narrow rows are grouped, with partial maxima, and only digests that occur twice are joined back.
     """
-    d = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
-                     F.coalesce(F.encode(F.col("html"), "utf-8"), F.lit(b"")).alias("payload"))
-    d = d.withColumn("digest", F.sha1("payload"))
+    d = payloads(pages).withColumn("digest", F.sha1("payload"))
     twice = (d.filter(F.length("payload") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
              .filter("n > 1").select("digest", "keeper"))
     d = d.join(twice, "digest", "left")
@@ -160,7 +192,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     NULL html is an empty payload, a NULL url becomes ``urn:none``, a NULL page_id ``urn:page:none``.
     """
     d = with_revisits(pages, least_bytes)
-    trained = train_dictionary(d)
+    trained = train_dictionary(payloads(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded = zstandard.ZstdCompressionDict(trained) if trained else None
@@ -192,7 +224,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
                 for h, block in read_archive(cell.as_buffer().to_pybytes()):
                     rows.append((h["warc-record-id"], h["warc-type"], h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"),
-                                 int(h.get("x-payload-length", len(block))), h.get("warc-refers-to"), block))
+                                 _length(h, block), h.get("warc-refers-to"), block))
                     size += len(block)
                     if size > 4 << 20:
                         yield _rows(rows)
@@ -201,6 +233,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "record_id string, record_type string, url string, payload_digest string, payload_bytes bigint, refers_to string, block binary")
 
 
+def _length(headers: dict[str, str], block: bytes) -> int:
+    """Bytes of a record's payload; a revisit says the length of the payload that it refers to, or 0."""
+    if headers["warc-type"] != "revisit":
+        return len(payload_of(headers, block))
+    told = headers.get(LENGTH, "0")
+    if not re.fullmatch("[0-9]+", told):
+        raise WarcError("payload length is no number")
+    return int(told)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     names = ["record_id", "record_type", "url", "payload_digest", "payload_bytes", "refers_to", "block"]
     kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]
