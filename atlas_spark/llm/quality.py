@@ -208,12 +208,14 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     Only the text is an input.  A column of the same name is replaced; repeated rows have equal scores.
     """
     keep = [c for c in docs.columns if c != column]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+    # a fixed number of weights, as plain values: workers may lack this package
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(*held.value)
         for batch in batches:
             for part in T.pieces(batch):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(held.value.scores(part.column("text")))], [*keep, column])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(known.scores(part.column("text")))], [*keep, column])
     plain = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + f", {column} double"
     return plain.mapInArrow(run, schema)
