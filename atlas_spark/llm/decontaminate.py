@@ -23,7 +23,7 @@ TERMS = 1 << TERM_BITS
 RANK = 64
 SKETCH = 128
 HALF = 12             # a window is two halves; windows begin at every half
-COSINE = 0.5
+COSINE = 0.55         # items with a fifth of their words replaced had 0.65 or more
 SHARE = 0.4           # share of an item window's words that a candidate window must hold before the sequences are compared
 COPIED = 0.8          # common subsequence over the item's words: a copy
 REWORDED = 0.6        # the same for a reworded one, whose last sentence must be there as well
@@ -32,8 +32,6 @@ MIN_WORDS = 8
 QUOTED = 20           # equal words in a row of an item that are a leak whatever its length; items of fewer words count as a whole
 ITEM_BLOCK = 2000
 CHUNK = 1 << 19
-LEAD = 4              # leading directions left out of the cosine where there are LEAD_PASSAGES: they tell languages apart
-LEAD_PASSAGES = 5000
 
 
 def _terms(w: T.Words) -> np.ndarray:
@@ -94,12 +92,16 @@ def term_vectors(df: np.ndarray, s: np.ndarray, passages: int) -> np.ndarray:
     """Latent coordinates of one occurrence of each term: its weight times its row of the leading singular vectors.
 
     With A = T W, W the inverse document frequencies, W s = A'G is the randomised range of A's rows; its left
-    singular vectors stand for the right ones of A.
+    singular vectors stand for the right ones of A.  The first directions tell languages and sources apart and would make any two
+    passages of one language alike: a direction above the
+    middle singular value of those in use is scaled by the square of its share, whatever the size of the corpus.
     """
     idf = np.log1p((passages + 1) / (df + 1))
     u, sigma, _ = np.linalg.svd(idf[:, None] * s, full_matrices=False)
-    first = LEAD if passages >= LEAD_PASSAGES else 0
-    return (idf[:, None] * u[:, first:first + RANK] * (sigma[first:first + RANK] > 1e-9 * max(sigma[0], 1e-30))).astype(np.float32)
+    u, sigma = u[:, :RANK], sigma[:RANK]
+    real = sigma > 1e-9 * max(sigma[0], 1e-30)
+    middle = np.median(sigma[real]) if real.any() else 1.0
+    return (idf[:, None] * u * np.where(real, np.minimum(1, (middle / np.maximum(sigma, 1e-30)) ** 2), 0)).astype(np.float32)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
