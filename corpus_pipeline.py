@@ -7,26 +7,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from atlas_spark.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
 from atlas_spark.llm.queries import KEEP, RANKS, quality_model, table, work_folder
+from atlas_spark.llm.text import fresh
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores KEEP or more."""
-    return quality.scored(docs, quality_model(spark, sf_dir), "_score").filter(F.col("_score") >= KEEP).select(*docs.columns)
+    [score] = fresh(docs, "score")
+    return quality.scored(docs, quality_model(spark, sf_dir), score).filter(F.col(score) >= KEEP).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; a document of nothing else stays, with an empty text."""
-    d = line_dedup.line_dedup(docs, "source")
-    changed = d["n_dropped"] > 0
-    return d.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = fresh(docs, "n_lines", "n_dropped")
+    d = line_dedup.line_dedup(docs, "source", counts=(lines, dropped))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return d.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id; rows without an id stay."""
     found = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
     least = found.filter("doc_id = component_id").select("doc_id").distinct()
-    key = F.md5(F.encode("text", "utf-8"))
-    kept = docs.join(least, "doc_id", "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    [key] = fresh(docs, "key")
+    kept = docs.join(least, "doc_id", "left_semi").withColumn(key, F.md5(F.encode("text", "utf-8"))).dropDuplicates(["doc_id", key]).drop(key)
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
