@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
@@ -125,10 +126,11 @@ def bands(docs: DataFrame, rows: int, count: int) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, point, size, id) of the paragraphs and seeds, whose ids are below 0.
+    """(doc_id, size, word, point, id) of the paragraphs and seeds, whose ids are below 0, text by text.
 
-    The numbers of a place are packed, as most rows go by the first shuffle: ``word`` is the row's hash and the first word, ``point`` the
-    first code point and their number, ``size`` the number of words and of code points up to the words before and after.
+    The numbers of a place are packed so that what neighbouring rows share comes first, as most rows go by the first shuffle and
+    its blocks are compressed: ``size`` is the number of words and of code points up to the words before and after, ``word`` the
+    first word over the row's hash, ``point`` the number of code points over the first one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,19 +142,21 @@ def located(docs: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(np.diff(at) >= PARAGRAPH)
                 seed, v = seeds(w)
                 a, b = np.concatenate([at[keep], seed]), np.concatenate([at[keep + 1] - 1, seed + SEED - 1])
+                order = np.argsort(a, kind="stable")
+                a, b, unit = a[order], b[order], np.concatenate([u[keep].view(np.int64), v])[order]
                 own = np.searchsorted(w.first, a, "right") - 1
                 point = np.concatenate([[0], np.cumsum((w.raw & 0xC0) != 0x80)])
                 raw_off = T.offsets(part.column("text"))[1][own]
                 start, end = point[w.start[a]], point[w.end[b]]
                 before = np.where(a > w.first[own], start - point[w.end[a - 1]], 0)
                 after = np.where(b + 1 < w.first[own + 1], point[w.start[np.minimum(b + 1, len(w.start) - 1)]] - end, 0)
-                word = (part.column("row").to_numpy(zero_copy_only=False)[own] << 32) + a - w.first[own]
+                word = ((a - w.first[own]) << 32) + part.column("row").to_numpy(zero_copy_only=False)[own]
                 size = ((b - a + 1) << 32) + (np.minimum(before, _GAP) << 16) + np.minimum(after, _GAP)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(own)), pa.array(word), pa.array(((start - point[raw_off]) << 32) + end - start), pa.array(size), pa.array(np.concatenate([u[keep].view(np.int64), v]))],
-                    ["doc_id", "word", "point", "size", "id"])
+                    [part.column("doc_id").take(pa.array(own)), pa.array(size), pa.array(word), pa.array(((end - start) << 32) + start - point[raw_off]), pa.array(unit)],
+                    ["doc_id", "size", "word", "point", "id"])
     d = _plain(docs).withColumn("row", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(2**31 - 1)))
-    return d.mapInArrow(run, "doc_id bigint, word bigint, point bigint, size bigint, id bigint")
+    return d.mapInArrow(run, "doc_id bigint, size bigint, word bigint, point bigint, id bigint")
 
 
 def _joined(doc: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, before: np.ndarray, after: np.ndarray,
@@ -209,8 +213,8 @@ def _spans(units: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(doc, word, point, size, cluster, removed):
-            first, start = word & _LOW, point >> 32
-            held = doc, word >> 32, first, first + (size >> 32) - 1, start, start + (point & _LOW), size >> 16 & _GAP, size & _GAP, cluster, removed
+            first, start = word & _LOW, point & _LOW
+            held = doc, word >> 32, first, first + (size >> 32) - 1, start, start + (point >> 32), size >> 16 & _GAP, size & _GAP, cluster, removed
             return pa.RecordBatch.from_arrays([pa.array(x) for x in _joined(*held, span)], out)
         held = None
         for batch in batches:
@@ -233,10 +237,36 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _small(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): texts as Zstandard frames, for a shuffle of whole texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for part in T.pieces(batch):
+                z = [frame.compress(x.as_buffer() or b"") for x in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "z"])
+    return _plain(docs).filter("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, z binary")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of ``text`` and the other columns, from batches with ``z``; a batch holds ``limit`` bytes and one text more."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        rest = batch.select([c for c in batch.schema.names if c != "z"])
+        texts, size, lo = [], 0, 0
+        for i, z in enumerate(batch.column("z")):
+            texts.append(open_.decompress(z.as_buffer()))
+            size += len(texts[-1])
+            if size >= limit or i == batch.num_rows - 1:
+                text = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([text, *rest.slice(lo, i + 1 - lo).columns], ["text", *rest.schema.names])
+                texts, size, lo = [], 0, i + 1
+
+
 def _hash_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, bin, aux) of the wanted (id, doc_id) paragraphs, cut again from the documents that hold them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _whole(batches):
             for part in T.pieces(batch):
                 w, at = paragraphs(part.column("text"))
                 if len(at) < 2:
@@ -251,7 +281,7 @@ def _hash_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         bins.append(np.unique(h[off[i]:off[i + 1]]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bins, pa.binary()), pa.array([0] * len(ids), pa.int64())], ["id", "bin", "aux"])
     asked = wanted.groupBy("doc_id").agg(F.collect_set("id").alias("ids"))  # no more than the paragraphs of one document
-    d = _plain(docs).join(asked, "doc_id").select("text", "ids")
+    d = _small(docs).join(asked, "doc_id").select("z", "ids")
     return d.mapInArrow(run, "id bigint, bin binary, aux bigint").dropDuplicates(["id"])
 
 
@@ -287,6 +317,7 @@ def substring_dedup(docs: DataFrame, percent: int = PERCENT, recall: float = REC
     here = located(docs).filter("doc_id is not null")
     place = F.struct("doc_id", "word")
     here = here.withColumn("several", F.min(place).over(own) != F.max(place).over(own)).filter("several or id >= 0").join(near, "id", "left")
+    here = here.withColumn("word", F.shiftleft(F.col("word").bitwiseAND(F.lit(_LOW)), 32) + F.shiftright("word", 32))  # the row's hash over the first word
     here = cut_lineage(here.filter("several or label is not null").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "several", "id"))
     first = here.groupBy("cluster_id").agg(F.min(place).alias("kept"))
     return _spans(here.join(first, "cluster_id").withColumn("removed", place != F.col("kept")), span)
