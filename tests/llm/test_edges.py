@@ -1,7 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, on small hand-made tables."""
 
+import base64
 import hashlib
+import random
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -69,6 +72,54 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none, "source").count() == 0
 
 
+def test_line_dedup_rule(spark):
+    """Against a plain version on hosts of every size from 1 to 40 pages, and with columns named like the helpers'."""
+    rng = random.Random(8)
+    docs = [(h * 100 + i, "\n".join(f"line {rng.randrange(40)}" for _ in range(3)) + f"\nown {h} {i}", f"h{h}") for h in range(1, 41) for i in range(h)]
+    pages, holding = Counter(s for _, _, s in docs), Counter((s, x) for _, t, s in docs for x in set(t.split("\n")))
+    want = {i: "\n".join(x for x in t.split("\n") if not holding[s, x] - 1 > line_dedup.RATIO * pages[s]) for i, t, s in docs}
+    clash = table(spark, docs).selectExpr("*", "1 as _host", "2 as _boiler", "3 as _all", "4 as _KEPT", "5 as n_lines", "6 as __host")
+    got = line_dedup.line_dedup(clash, "source")
+    assert {r.doc_id: r.text for r in got.collect()} == want and 0 < sum(want[i] != t for i, t, _ in docs) < len(docs)
+    assert got.columns == [*[c for c in clash.columns if c != "n_lines"], "n_lines", "n_dropped"]
+    assert {(r._host, r._boiler, r._all, r._KEPT) for r in got.collect()} == {(1, 2, 3, 4)}
+
+
+def test_foreign_archive():
+    """Base32 digests, an HTTP response block and unknown algorithms as other writers give them; wrong lengths and digests are found."""
+    body = b"<p>body</p>"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+
+    def digest(data):
+        return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    def made(*lines, data=block, kind="application/http; msgtype=response"):
+        head = ["WARC/1.0", "WARC-Type: response", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {kind}", f"Content-Length: {len(data)}", *lines]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + data + b"\r\n\r\n"
+    headers, got = warc.parse_record(made("WARC-Block-Digest: " + digest(block), "WARC-Payload-Digest: " + digest(body)))
+    assert got == block and warc.payload_of(headers, got) == body
+    warc.parse_record(made("WARC-Payload-Digest: sha256:" + hashlib.sha256(body).hexdigest(), "WARC-Block-Digest: blake9:xyz"))
+    for wrong in ("WARC-Block-Digest: " + digest(body), "WARC-Payload-Digest: " + digest(block), f"X-Payload-Length: {len(block)}", "WARC-Payload-Digest: md5:00"):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(made(wrong))
+
+
+def test_archive_sample(spark):
+    """The dictionary's sample is fetched by hash: repeated rows and payloads count once, extra columns are not read."""
+    pages = spark.createDataFrame([(i // 2, "u", f"<p>{i // 4} " + "word " * (20 + i % 7) + "</p>") for i in range(800)], "page_id bigint, url string, html string")
+    d = warc.payloads(pages.selectExpr("*", "1 as h", "2 as digest", "3 as keeper"))
+    assert d.columns == ["page_id", "url", "payload"] and len(warc.train_dictionary(d)) > 0
+    assert warc.train_dictionary(d.limit(0)) == b""
+
+
+def test_shrunk_texts(spark):
+    texts = ["", "é" * 3_000_000, "a b c", "x" * 5_000_000, "last"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None), (None, "n")], "doc_id bigint, text string").coalesce(1)
+    z = substring_dedup._small(d)
+    got = z.mapInArrow(lambda b: substring_dedup._whole(b), "text string, doc_id bigint").collect()
+    assert {r.doc_id: r.text for r in got} == dict(enumerate(texts))
+
+
 def test_token_counts(spark, rows, none):
     ledger = tc.Ledger(spark, work_folder(spark, "t"))
     assert ledger.totals().count() == 0
