@@ -40,10 +40,11 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
     Only hashes and ids are ranked; the beginnings, of SAMPLE_BYTES, are fetched for the chosen ids.
     """
-    begun = pages.select("page_id", F.expr(f"substring(payload, 1, {SAMPLE_BYTES})").alias("p")).filter(F.length("p") >= 64).withColumn("h", F.xxhash64("p"))
-    least = begun.groupBy("h").agg(F.min("page_id").alias("i")).orderBy("h").limit(SAMPLE_ROWS).withColumnRenamed("h", "k")
-    held = begun.join(F.broadcast(least), (begun["h"] == F.col("k")) & F.col("page_id").eqNullSafe(F.col("i")))  # SAMPLE_ROWS pairs of numbers
-    rows = held.groupBy("h").agg(F.first("p").alias("p")).orderBy("h").collect()
+    begin = F.expr(f"substring(payload, 1, {SAMPLE_BYTES})")
+    hashes = pages.select("page_id", begin.alias("p")).filter(F.length("p") >= 64).select("page_id", F.xxhash64("p").alias("k"))
+    least = hashes.groupBy("k").agg(F.min("page_id").alias("i")).orderBy("k").limit(SAMPLE_ROWS)
+    held = pages.join(F.broadcast(least), F.col("page_id").eqNullSafe(F.col("i"))).select("k", begin.alias("p"))  # SAMPLE_ROWS pairs of numbers
+    rows = held.filter(F.xxhash64("p") == F.col("k")).groupBy("k").agg(F.first("p").alias("p")).orderBy("k").collect()
     parts = [bytes(r["p"])[i:i + 2000] for r in rows for i in range(0, len(r["p"]), 2000)]
     if len(parts) < 64:
         return b""
