@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -14,7 +16,12 @@ from .ranking import best_row, grouped_ranks
 from .relational import top_n
 
 TILE = 1024
-PIVOTS = 32
+#: Vectors of a leaf of the pivot tree, on average.
+CELL = 1024
+#: Leaves searched before the search has a bound.
+NEAR = 4
+#: Distances by products are exact to less than this share of the lengths of the two vectors.
+SLACK = 1e-6
 
 
 def log1p_scale(df: DataFrame, clip: float = 10.0) -> DataFrame:
@@ -51,24 +58,39 @@ def cosine_pairs(vectors: DataFrame, pairs: DataFrame, id_col: str, column: str)
     return j.select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("cosine"))
 
 
-def _tiles(df: DataFrame, prefix: str, tile: int) -> DataFrame:
+def _tiles(df: DataFrame, prefix: str, tile: int, fields: tuple[str, ...] = ("id", "vec")) -> DataFrame:
     """Vectors of a cell in tiles of about ``tile`` rows, however large the cell is."""
     n = df.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("_n"))
     s = df.join(n, "cell").withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_n")))
-    return s.groupBy("cell", "_t").agg(F.collect_list(F.struct("id", "vec")).alias(prefix)).select("cell", prefix)
+    return s.groupBy("cell", "_t").agg(F.collect_list(F.struct(*fields)).alias(prefix)).select("cell", prefix)
+
+
+def _squared_distances(x, y):
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
+
+
+def _within(x, y, radius, bound):
+    """Places (row, column) where the ball of ``radius`` around y comes within ``bound`` of x."""
+    slack = SLACK * (np.sqrt((x * x).sum(1))[:, None] + np.sqrt((y * y).sum(1))[None, :])
+    return np.nonzero(np.sqrt(_squared_distances(x, y)) - radius[None, :] <= bound[:, None] + slack)
 
 
-def _nearest_in_cells(queries: DataFrame, members: DataFrame, k: int, tile: int) -> DataFrame:
-    """(id, other, distance): for each query its k nearest members of each cell it visits, tile by tile."""
+def _field(rows, name):
+    return np.array([r[name] for r in rows], dtype=float if name != "id" else None)
+
+
+def _nearest_in_cells(queries: DataFrame, members: DataFrame, k: int, tile: int, own: bool = False) -> DataFrame:
+    """(id, other, distance): for each query its k nearest members of each cell it visits, tile by tile; itself only if ``own``."""
     pairs = _tiles(queries, "q", tile).join(_tiles(members, "m", tile), "cell").select("q", "m")
 
     def search(batches):
         for pdf in batches:
             for q, m in zip(pdf["q"], pdf["m"]):
-                qi, mi = np.array([r["id"] for r in q]), np.array([r["id"] for r in m])
-                x, y = np.array([r["vec"] for r in q], dtype=float), np.array([r["vec"] for r in m], dtype=float)
-                d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-                d2[qi[:, None] == mi[None, :]] = np.inf
+                qi, mi = _field(q, "id"), _field(m, "id")
+                x, y = _field(q, "vec"), _field(m, "vec")
+                d2 = _squared_distances(x, y)
+                if not own:
+                    d2[qi[:, None] == mi[None, :]] = np.inf
                 n = min(k + 4, d2.shape[1])  # a few spares, so that ties at the cut are settled by exact distances
                 idx = np.argpartition(d2, n - 1, axis=1)[:, :n]
                 rows = np.repeat(np.arange(len(qi)), n)
@@ -81,32 +103,81 @@ def _nearest_in_cells(queries: DataFrame, members: DataFrame, k: int, tile: int)
     return pairs.mapInPandas(search, "id bigint, other bigint, distance double")
 
 
-def knn_graph(df: DataFrame, id_col: str, column: str, k: int, pivots: int = PIVOTS, tile: int = TILE) -> DataFrame:
-    """(id, other, distance, rank): exact k nearest neighbours by Euclidean distance.
+def _reachable(queries: DataFrame, pivots: DataFrame, tile: int) -> DataFrame:
+    """(id, cell, pivot): the pivots of a query's cells whose ball of ``radius`` comes within the query's ``bound``."""
+    pairs = _tiles(queries, "q", tile, ("id", "vec", "bound")).join(_tiles(pivots, "p", tile, ("id", "vec", "radius")), "cell").select("cell", "q", "p")
+
+    def test(batches):
+        for pdf in batches:
+            for cell, q, p in zip(pdf["cell"], pdf["q"], pdf["p"]):
+                rows, cols = _within(_field(q, "vec"), _field(p, "vec"), _field(p, "radius"), _field(q, "bound"))
+                yield pd.DataFrame({"id": _field(q, "id")[rows], "cell": cell, "pivot": _field(p, "id")[cols]})
+
+    return pairs.mapInPandas(test, "id bigint, cell bigint, pivot bigint")
 
-    Vectors belong to the cell of their nearest pivot.  The k-th distance inside the own cell bounds
-    the search: another cell is visited only if the triangle inequality allows a closer member.
+
+def _pivot_tree(v: DataFrame, cell: int, tile: int) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
+    """(members, nearby leaves, pivots, centres) of a tree of two levels.
+
+    Of n vectors, about sqrt(n / ``cell``) are centres, one for each top cell; the driver holds these alone.  Inside a top cell one
+    vector in ``cell``, and the centre, is the pivot of a leaf, so leaves keep their size as n grows.  Nearby leaves are the NEAR
+    leaves of the own top cell with the nearest pivots.  Choices go by hashes of the ids.
     """
-    v = df.select(F.col(id_col).alias("id"), F.transform(column, lambda x: x.cast("double")).alias("vec"))
-    # a fixed number of pivots, the rows with the smallest key hashes: the driver holds this many vectors
-    centres = np.array([r["vec"] for r in v.orderBy(F.xxhash64("id")).limit(pivots).collect()])
+    n = v.select("id").count()
+    top = math.ceil(math.sqrt(max(n, 1) / cell))
+    chosen = v.orderBy(F.xxhash64("id"), "id").limit(top).collect()
+    centres = np.array([r["vec"] for r in chosen])
 
     def assign(batches):
         for pdf in batches:
-            x = np.array(pdf["vec"].tolist(), dtype=float)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T, 0))
-            own = d.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "vec": pdf["vec"], "cell": own, "d_own": d[np.arange(len(own)), own], "ds": d.tolist()})
-
-    a = cut_lineage(v.mapInPandas(assign, "id bigint, vec array<double>, cell bigint, d_own double, ds array<double>"))
-    members = a.select("id", "vec", "cell")
-    inside = cut_lineage(_nearest_in_cells(members, members, k, tile))
-    # with fewer than k neighbours in the own cell there is no bound yet
+            d = _squared_distances(np.array(pdf["vec"].tolist(), dtype=float), centres)
+            yield pdf.assign(cell=d.argmin(1), d_top=np.sqrt(d.min(1)))
+
+    a = cut_lineage(v.mapInPandas(assign, "id bigint, vec array<double>, cell bigint, d_top double"))
+    own = v.sparkSession.createDataFrame([(i, r["id"], r["vec"]) for i, r in enumerate(chosen)], "cell bigint, id bigint, vec array<double>")
+    sampled = a.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(cell)) == 0).select("cell", "id", "vec")
+    pivots = sampled.unionByName(own).dropDuplicates(["cell", "id"])
+    close = _nearest_in_cells(a.select("id", "vec", "cell"), pivots, NEAR, tile, own=True)
+    near = cut_lineage(top_n(close, ["id"], [F.asc("distance"), F.asc("other")], NEAR).select("id", F.col("other").alias("pivot"), "distance", "rank"))
+    leaf = near.filter("rank = 1").select("id", "pivot", F.col("distance").alias("d_leaf"))
+    return a.withColumnRenamed("cell", "top").join(leaf, "id"), near.select("id", "pivot"), pivots.withColumnRenamed("cell", "top"), centres
+
+
+def knn_graph(df: DataFrame, id_col: str, column: str, k: int, cell: int = CELL, tile: int = TILE) -> DataFrame:
+    """(id, other, distance, rank): exact k nearest neighbours by Euclidean distance; ``id_col`` is distinct.
+
+    Vectors lie in the leaves of a pivot tree of two levels.  The k-th distance inside a few nearby leaves bounds the search: a top
+    cell, and then one of its leaves, is visited only if the triangle inequality allows a closer member.
+    """
+    v = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("vec")).filter("id is not null and vec is not null")
+    tree, near, pivots, centres = _pivot_tree(v, cell, tile)
+    if not len(centres):
+        return v.sparkSession.createDataFrame([], "id bigint, other bigint, distance double, rank int")
+    tree = cut_lineage(tree)
+    # a pivot may serve two top cells, if it is the centre of one and lies in the other
+    leaf = lambda top: F.struct(F.col(top).alias("top"), F.col("pivot").alias("pivot"))
+    members = tree.select("id", "vec", leaf("top").alias("cell"))
+    visited = tree.select("id", "vec", "top").join(near, "id").select("id", "vec", leaf("top").alias("cell"))
+    inside = cut_lineage(_nearest_in_cells(visited, members, k, tile))
+    # with fewer than k neighbours in these leaves there is no bound yet
     bound = top_n(inside, ["id"], [F.asc("distance"), F.asc("other")], k).groupBy("id").agg(F.count("*").alias("_c"), F.max("distance").alias("_b"))
-    radius = a.groupBy("cell").agg(F.max("d_own").alias("_r"))
-    j = a.join(bound, "id", "left").withColumn("_b", F.when(F.col("_c") >= k, F.col("_b")).otherwise(float("inf")))
-    cells = j.select("id", "vec", "_b", F.col("cell").alias("_own"), F.posexplode("ds").alias("cell", "_d")).withColumn("cell", F.col("cell").cast("bigint")).filter("cell <> _own")
-    visit = cells.join(radius, "cell").filter(F.col("_d") - F.col("_r") <= F.col("_b") + 1e-9).select("id", "vec", "cell")
+    asking = tree.join(bound, "id", "left").select("id", "vec", F.when(F.col("_c") >= k, F.col("_b")).otherwise(float("inf")).alias("bound"))
+    radii = tree.groupBy("top").agg(F.max("d_top").alias("r")).collect()  # as many numbers as there are centres
+    reach = np.full(len(centres), -np.inf)
+    for r in radii:
+        reach[r["top"]] = r["r"]
+
+    def tops(batches):
+        for pdf in batches:
+            rows, cols = _within(np.array(pdf["vec"].tolist(), dtype=float), centres, reach, pdf["bound"].to_numpy())
+            yield pdf.iloc[rows].assign(cell=cols)
+
+    open_tops = asking.mapInPandas(tops, "id bigint, vec array<double>, bound double, cell bigint")
+    radius = tree.groupBy("top", "pivot").agg(F.max("d_leaf").alias("radius"))
+    balls = pivots.join(radius.withColumnRenamed("pivot", "id"), ["top", "id"]).withColumnRenamed("top", "cell")
+    hits = _reachable(open_tops, balls, tile).withColumnRenamed("cell", "top")
+    seen = tree.select("id", "top").join(near, "id").select("id", "pivot", "top")
+    visit = hits.join(seen, ["id", "pivot", "top"], "left_anti").join(v, "id").select("id", "vec", leaf("top").alias("cell"))
     found = inside.unionByName(_nearest_in_cells(visit, members, k, tile))
     return top_n(found, ["id"], [F.asc(F.round("distance", 9)), F.asc("other")], k)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import keyed
 from ..session import cut_lineage
 from .ranking import HOT_ROWS, grouped_ranks
+from .relational import top_n
 
 
 def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -159,11 +160,12 @@ def recursive_haircut(membership: DataFrame, edges: DataFrame, weight: str | Non
 # --- clustering ----------------------------------------------------------------------------------
 
 def mcl_clusters(membership: DataFrame, edges: DataFrame, first_thresh: int, mcl_thresh: int, inflation: float = 2.0,
-                 weight: str | None = None, prune: float = 0.001, max_rounds: int = 100) -> DataFrame:
+                 weight: str | None = None, prune: float = 0.001, max_rounds: int = 100, select: int = 1000) -> DataFrame:
     """(super_cluster, second_clustering, cluster, gene): Markov clustering inside large clusters.
 
-    All clusters advance together.  After pruning a column has at most 1 / prune entries, which
-    bounds the product of the next expansion.
+    All clusters advance together.  Between two rounds, and before the first, a column keeps its ``select`` largest entries (ties:
+    its own loop, then the smallest name), so a round starts from nodes x ``select`` rows.  Entries above 1 / ``select`` are never
+    cut, so with the default only ties of a column's maximum can be.  The row of a hub is multiplied in blocks with keys of their own.
     """
     size = membership.groupBy("cluster_id").agg(F.count("*").alias("_n"))
     sized = membership.join(size, "cluster_id")
@@ -173,12 +175,9 @@ def mcl_clusters(membership: DataFrame, edges: DataFrame, first_thresh: int, mcl
     one = inner.groupBy("cluster_id", F.least("target", "prey").alias("i"), F.greatest("target", "prey").alias("j")).agg(w.cast("double").alias("v"))
     m = both_ways(one, "i", "j")
     loops = m.select("cluster_id", F.col("i"), F.col("i").alias("j"), F.lit(1.0).alias("v")).distinct()
-    m = cut_lineage(_columns_to_one(m.unionByName(loops), 1.0, 0.0))
+    m = cut_lineage(_columns_to_one(m.unionByName(loops), 1.0, 0.0, select))
     for _ in range(max_rounds):
-        left = m.select("cluster_id", "i", F.col("j").alias("k"), F.col("v").alias("a"))
-        right = m.select("cluster_id", F.col("i").alias("k"), "j", F.col("v").alias("b"))
-        grown = left.join(right, ["cluster_id", "k"]).groupBy("cluster_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-        nxt = cut_lineage(_columns_to_one(grown, inflation, prune))
+        nxt = cut_lineage(_columns_to_one(_squared(m), inflation, prune, select))
         diff = nxt.withColumnRenamed("v", "_w").join(m, ["cluster_id", "i", "j"], "full").na.fill(0.0, ["v", "_w"])
         moved = not diff.filter(F.abs(F.col("v") - F.col("_w")) > 1e-8 + 1e-5 * F.abs("_w")).isEmpty()
         m = nxt
@@ -195,12 +194,25 @@ def mcl_clusters(membership: DataFrame, edges: DataFrame, first_thresh: int, mcl
         small.withColumns({"second_clustering": F.lit(False), "cluster": F.lit(None).cast("string")}).select(*cols))
 
 
-def _columns_to_one(m: DataFrame, power: float, prune: float) -> DataFrame:
-    """Raise entries to a power, scale columns to sum 1, keep entries above ``prune`` and column maxima."""
+def _squared(m: DataFrame, block: int = HUB_BLOCK) -> DataFrame:
+    """The matrix times itself: the row of k, cut into blocks, meets the column of k in every block."""
+    parts = m.groupBy("cluster_id", F.col("i").alias("k")).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    key = ["cluster_id", "k"]
+    left = m.select("cluster_id", "i", F.col("j").alias("k"), F.col("v").alias("a")).join(parts, key) \
+            .withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    right = m.select("cluster_id", F.col("i").alias("k"), "j", F.col("v").alias("b")).join(parts, key) \
+             .withColumn("_b", F.pmod(F.xxhash64("j"), "_blocks").cast("int")).drop("_blocks")
+    return left.join(right, [*key, "_b"]).groupBy("cluster_id", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+
+def _columns_to_one(m: DataFrame, power: float, prune: float, select: int) -> DataFrame:
+    """Raise entries to a power, scale columns to sum 1, keep entries above ``prune`` and column maxima, at most ``select`` a column."""
     p = m.withColumn("v", F.pow("v", F.lit(power)))
     s = p.groupBy("cluster_id", "j").agg(F.sum("v").alias("_s"), F.max("v").alias("_m"))
-    return (p.join(s, ["cluster_id", "j"]).withColumn("_x", F.col("v") / F.col("_s"))
-            .filter((F.col("_x") >= prune) | (F.col("v") == F.col("_m"))).select("cluster_id", "i", "j", F.col("_x").alias("v")))
+    kept = p.join(s, ["cluster_id", "j"]).withColumn("_x", F.col("v") / F.col("_s")).filter((F.col("_x") >= prune) | (F.col("v") == F.col("_m")))
+    # rounded, as equal entries may be summed in different orders
+    order = [F.desc(F.round("_x", 12)), F.desc(F.col("i") == F.col("j")), F.asc("i")]
+    return top_n(kept, ["cluster_id", "j"], order, select).select("cluster_id", "i", "j", F.col("_x").alias("v"))
 
 
 # --- membership ----------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlas_spark.operators import ml, network as N, quant as Q, ranking as R, relational as L, stats as S
+from atlas_spark.operators.linalg import gram
 
 
 @pytest.fixture(scope="module")
@@ -96,17 +97,38 @@ def test_leave_out_scores_brute_force(spark):
         assert r["enrichment"] == pytest.approx((np.median(a) - np.median(con)) / con.std(ddof=1))
 
 
-def test_knn_with_hot_cell(spark):
-    rng = np.random.default_rng(2)
-    x = np.vstack([rng.normal(0, 0.01, (150, 6)), rng.normal(0, 5, (150, 6))])
-    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
-    got = ml.knn_graph(df, "id", "vec", 5, pivots=8, tile=32).toPandas()
+def nearest(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
-    want = np.sort(d, axis=1)[:, :5]
-    assert len(got) == 1500
+    return np.sort(d, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize("cell", [16, 1024])
+def test_knn_with_hot_cell(spark, cell):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 0.01, (150, 6)), rng.normal(0, 5, (140, 6)), np.ones((10, 6))])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    got = ml.knn_graph(df, "id", "vec", 5, cell=cell, tile=32).toPandas()
+    assert len(got) == 1500 and not got.duplicated(["id", "other"]).any()
     have = got.sort_values(["id", "rank"])["distance"].to_numpy().reshape(300, 5)
-    assert np.allclose(have, want)
+    assert np.allclose(have, nearest(x, 5))
+
+
+def test_leaves_keep_their_size(spark):
+    rng = np.random.default_rng(4)
+    sizes = []
+    for n in (400, 4000):
+        v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(rng.normal(0, 1, (n, 4)))], "id bigint, vec array<double>")
+        tree, _, pivots, centres = ml._pivot_tree(v, 20, 256)
+        assert len(centres) == int(np.ceil(np.sqrt(n / 20))) and tree.count() == n
+        sizes.append(n / tree.select("top", "pivot").distinct().count())
+    assert 8 < sizes[0] < 32 and 8 < sizes[1] < 32
+
+
+def test_knn_of_few_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None)], "id bigint, vec array<double>")
+    assert [(r["id"], r["other"], r["rank"]) for r in ml.knn_graph(df, "id", "vec", 3).orderBy("id").collect()] == [(1, 2, 1), (2, 1, 1)]
+    assert ml.knn_graph(df.limit(0), "id", "vec", 3).isEmpty()
 
 
 def test_partition_count_does_not_matter(spark, tables):
@@ -232,3 +254,58 @@ def test_member_pairs_spread_a_hub(spark):
     assert len(got) == len(set(got)) == 200 * 199 // 2 and all(a < b for a, b in got)
     plan = N.second_neighbors(df)._jdf.queryExecution().executedPlan()
     assert not any("array<string>" in c for c in exchanges(plan))  # no list of targets travels with a candidate
+
+
+def plain_mcl(adjacency, inflation=2.0, prune=0.001):
+    m = adjacency / adjacency.sum(0)
+    while True:
+        n = (m @ m) ** inflation
+        n /= n.sum(0)
+        n = np.where((n >= prune) | (n == n.max(0)), n, 0)
+        if np.allclose(n, m):
+            return n
+        m = n
+
+
+def test_mcl_equals_matrix_iteration(spark):
+    rng = np.random.default_rng(11)
+    n = 40
+    group = np.arange(n) // 10
+    adjacency = np.triu(rng.random((n, n)) < np.where(np.equal.outer(group, group), 0.7, 0.04), 1)
+    names = [f"g{i:02}" for i in range(n)]
+    edges = spark.createDataFrame([(names[i], names[j]) for i, j in zip(*np.nonzero(adjacency))], "target string, prey string")
+    got = N.mcl_clusters(spark.createDataFrame([("C", g) for g in names], "cluster_id string, gene string"), edges, first_thresh=3, mcl_thresh=1)
+    m = plain_mcl((adjacency | adjacency.T | np.eye(n, dtype=bool)).astype(float))
+    centres = [i for i in range(n) if m[i, i] > 0]
+    want = {names[j]: names[min(i for i in centres if m[i, j] > 0)] for j in range(n)}
+    assert {r["gene"]: r["cluster"] for r in got.collect()} == want and len(set(want.values())) > 2
+
+
+def test_mcl_rounds_start_from_few_rows_of_a_star(spark):
+    leaves = [f"leaf{i:03}" for i in range(300)]
+    edges = spark.createDataFrame([("hub", x) for x in leaves], "target string, prey string")
+    members = spark.createDataFrame([("C", g) for g in ["hub", *leaves]], "cluster_id string, gene string")
+    got = N.mcl_clusters(members, edges, first_thresh=3, mcl_thresh=1, select=8)
+    assert {(r["cluster"], r["gene"]) for r in got.collect()} == {("hub", g) for g in ["hub", *leaves]}
+    m = N.both_ways(edges.select(F.lit("C").alias("cluster_id"), F.col("target").alias("i"), F.col("prey").alias("j"), F.lit(1.0).alias("v")), "i", "j")
+    first = N._columns_to_one(m, 1.0, 0.0, 8)
+    assert first.groupBy("j").count().agg(F.max("count")).first()[0] == 8
+    blocked, whole = ({(r["i"], r["j"]): r["v"] for r in N._squared(first, b).collect()} for b in (16, 10 ** 6))
+    assert blocked.keys() == whole.keys() and all(blocked[k] == pytest.approx(whole[k]) for k in whole)
+
+
+@pytest.mark.parametrize("size", [(512, 256), (7, 3)])
+def test_products_do_not_depend_on_tiles(spark, size):
+    rng = np.random.default_rng(13)
+    cells = pd.DataFrame([(f"r{i}", f"c{j:02}", float(rng.normal())) for i in range(60) for j in range(12) if rng.random() < 0.5 and j != 11 or i == 0], columns=["r", "c", "v"])
+    rows = [tuple(x) for x in cells.itertuples(index=False)] + [("r1", "c11", None), (None, "c00", 1.0), ("r2", None, 1.0)]
+    got = gram(spark.createDataFrame(rows, "r string, c string, v double"), "r", "c", "v", *size).toPandas()
+    wide = cells.pivot(index="r", columns="c", values="v")
+    shared = wide.notna().astype(int).T @ wide.notna().astype(int)
+    want = wide.fillna(0).T @ wide.fillna(0)
+    assert len(got) == int((shared.to_numpy() > 0).sum())
+    assert all(want.loc[a, b] == pytest.approx(d) for a, b, d in got[["a", "b", "dot"]].itertuples(index=False))
+
+
+def test_products_of_an_empty_table(spark):
+    assert gram(spark.createDataFrame([], "r bigint, c bigint, v double"), "r", "c", "v").isEmpty()
