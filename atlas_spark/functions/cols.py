@@ -135,19 +135,21 @@ def hlog_inverse(v) -> Column:
     return s * F.pow(F.lit(10.0), s * aux) + aux * HLOG_B - s
 
 
-def hlog(y, rounds: int = 60, low: float = -20000.0, high: float = 20000.0) -> Column:
-    """Forward hyperlog: the increasing inverse formula solved by a fixed number of halvings."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        below = hlog_inverse(mid) < col(y)
-        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"),
-                        F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
-
-    return F.when(col(y).isNotNull(),
-                  F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve,
-                              lambda acc: (acc["lo"] + acc["hi"]) / 2))
+def hlog(y, rounds: int = 10) -> Column:
+    """Forward hyperlog: Newton steps on the inverse formula, an odd function that is convex right of 0.
+
+    They start at the smaller of two upper bounds, at most twice the root, and fall to it; ten rounds reach the last digits.
+    """
+    y = col(y).cast("double")
+    size = F.abs(y)
+    start = F.least(size / HLOG_B, F.log10(size + 1))
+
+    def step(a, _):
+        power = F.pow(F.lit(10.0), a)
+        return a - (power + a * HLOG_B - 1 - size) / (power * math.log(10) + HLOG_B)
+
+    root = F.aggregate(F.array_repeat(F.lit(0), rounds), start, step)
+    return F.signum(y) * root / HLOG_SLOPE
 
 
 def simplify_histogram(arr, scale: float = 1.0) -> Column:

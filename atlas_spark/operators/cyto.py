@@ -33,6 +33,17 @@ def gate_cells(cells: DataFrame) -> DataFrame:
     return cells.filter(viable & inside_polygon(F.col("fsc_a"), F.col("fsc_w")))
 
 
+def transform_and_gate(cells: DataFrame) -> DataFrame:
+    """Viable single cells of raw measurements: fluorescence and the two areas as hyperlogs, the width as it is.
+
+    A cell with a missing area or width is in no gate; a missing fluorescence stays missing.
+    """
+    names = ("fitc", "fsc_a", "ssc_a")
+    # a generated row, as a filter moved below plain columns would solve for them in every term of the gate
+    once = F.inline(F.array(F.struct(*[C.hlog(c).alias(c) for c in names])))
+    return gate_cells(cells.select(*[c for c in cells.columns if c not in names], once))
+
+
 def pool_controls(cells: DataFrame, value: str = "fitc") -> tuple[DataFrame, DataFrame]:
     """Mean-centred control values, and (plate, ref_mean, ref_std) of the pool."""
     means = cells.groupBy("plate", "well").agg(F.avg(value).alias("_m"), F.count(value).alias("_n"))
@@ -180,7 +191,13 @@ def fit_inputs(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> tu
 
 
 def all_plates(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> DataFrame:
-    """The whole analysis of gated cells for every well of every plate in one job."""
+    """The analysis of transformed and gated cells for every well of every plate in one job."""
     keys = ["plate", "well"]
     samples, reference, pool = fit_inputs(cells, controls, xrange)
     return unmixed_stats(samples, reference, pool, cut_lineage(unmix_fit(samples, reference, pool, keys)), keys)
+
+
+def analyse_plates(cells: DataFrame, controls: DataFrame, xrange=SAMPLE_RANGE) -> DataFrame:
+    """The whole analysis from raw measurements (plate, well, fitc, fsc_a, fsc_w, ssc_a) of samples and controls, both transformed and
+    gated, to one row per well of every plate."""
+    return all_plates(transform_and_gate(cells), transform_and_gate(controls), xrange)

@@ -19,6 +19,20 @@ def gate_cells(t):
     return Y.gate_cells(t.cells).select("cell_id", "plate", "well")
 
 
+#: Transformed values off the limits of the gates, by a quarter.
+MEASURED = "select plate, well, cell_id, fitc, fsc_a + 0.25D as fsc_a, ssc_a + 0.25D as ssc_a, fsc_w from {cells}"
+
+
+def raw_cells(t, sql):
+    """Cells as an instrument measures them: the inverse of the transform of the given values."""
+    return t.sql(sql).withColumns({c: C.hlog_inverse(c) for c in ("fitc", "fsc_a", "ssc_a")})
+
+
+@query("transform_and_gate", f"select plate, well, cell_id, round(fitc, 6) as fitc, fsc_a, ssc_a from (select plate, well, cell_id, fitc, fsc_a + cast(0.25 as double) as fsc_a, ssc_a + cast(0.25 as double) as ssc_a, fsc_w from {{cells}}) q where fsc_a > 8650 and ssc_a > 8500 and ({RAY}) % 2 = 1")
+def transform_and_gate(t):
+    return rounded(Y.transform_and_gate(raw_cells(t, MEASURED)).select("plate", "well", "cell_id", "fitc", "fsc_a", "ssc_a"), "fitc", "fsc_a", "ssc_a")
+
+
 @query("hlog_transform", "select event_id, round(value * 15 - 300, 4) as v from events")
 def hlog_transform(t):
     linear = C.hlog_inverse(F.col("value") * 15 - 300)

@@ -24,7 +24,8 @@ def kmeans(t):
     return M.kmeans(t.embeddings, "embedding", 10).select("vec_id", "cluster")
 
 
-PAIRS = "select distinct l_partkey % 500 as a, l_suppkey % 500 as b from {lineitem} where l_partkey % 500 <> l_suppkey % 500"
+VECTORS = "(select max(vec_id) + 1 from {embeddings})"
+PAIRS = f"select distinct l_partkey % {VECTORS} as a, l_suppkey % {VECTORS} as b from {{lineitem}} where l_partkey % {VECTORS} <> l_suppkey % {VECTORS}"
 
 
 @query("cosine_pairs", f"select a, b, round(list_cosine_similarity(cast(x.embedding as double[]), cast(y.embedding as double[])), 6) as cosine from ({PAIRS}) p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b")

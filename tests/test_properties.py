@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from atlas_spark.functions import cols as C
 from atlas_spark.operators import cyto as Y, incremental as I, ml, network as N
 
 
@@ -54,6 +55,32 @@ def test_unmixing_recovers_offset(spark):
     assert r["raw_median"] == pytest.approx(380, abs=25)
 
 
+def test_raw_measurements_are_transformed_and_gated(spark):
+    inside, outside = (9600.0, 300.0, 8700.0), [(8000.0, 300.0, 8700.0), (9600.0, 300.0, 8400.0), (9600.0, 450.0, 8700.0), (None, 300.0, 8700.0), (9600.0, None, 8700.0)]
+    values = [-200.0, 0.0, 15.5, 420.0, None]
+    rows = [("P", i, v, *inside) for i, v in enumerate(values)] + [("P", 9, 100.0, *o) for o in outside]
+    measured = spark.createDataFrame(rows, "plate string, well int, fitc double, fsc_a double, fsc_w double, ssc_a double")
+    raw = measured.withColumns({c: C.hlog_inverse(c) for c in ("fitc", "fsc_a", "ssc_a")})
+    got = sorted(((r["well"], r["fitc"]) for r in Y.transform_and_gate(raw).collect()))
+    assert [w for w, _ in got] == list(range(5)) and got[4][1] is None
+    assert [v for _, v in got[:4]] == pytest.approx(values[:4], abs=1e-6)
+    assert Y.transform_and_gate(raw.limit(0)).isEmpty()
+
+
+def test_plates_from_raw_measurements(spark):
+    rng = np.random.default_rng(1)
+    draw = lambda w, xs: [("P", w, float(x), 9600.0, 300.0, 8700.0) for x in xs]
+    schema = "plate string, well int, fitc double, fsc_a double, fsc_w double, ssc_a double"
+    control = spark.createDataFrame([r for w in range(2) for r in draw(w, rng.normal(120, 30, 800))], schema)
+    sample = spark.createDataFrame(draw(9, np.concatenate([rng.normal(135, 30, 800), rng.normal(380, 20, 800)])), schema)
+    debris = spark.createDataFrame([("P", 9, 250.0, 8000.0, 300.0, 8000.0)] * 500, schema)
+    raw = lambda df: df.withColumns({c: C.hlog_inverse(c) for c in ("fitc", "fsc_a", "ssc_a")})
+    names = ["area", "fitted_offset", "raw_mean", "raw_median"]
+    got = Y.analyse_plates(raw(sample.unionByName(debris)), raw(control), (0, 500)).select(*names).first()
+    want = Y.all_plates(sample, control, (0, 500)).select(*names).first()
+    assert list(got) == pytest.approx(list(want), rel=1e-6)
+
+
 def test_error_log_runs_each_item_once(spark):
     items = spark.range(20).withColumnRenamed("id", "fov_id")
 
