@@ -3,9 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
-from atlas_spark.operators import ml, network as N, quant as Q, ranking as R, relational as L, stats as S
+from atlas_spark.operators import entities as E, ml, network as N, quant as Q, ranking as R, relational as L, stats as S
 from atlas_spark.operators.linalg import gram
 
 
@@ -309,3 +309,17 @@ def test_products_do_not_depend_on_tiles(spark, size):
 
 def test_products_of_an_empty_table(spark):
     assert gram(spark.createDataFrame([], "r bigint, c bigint, v double"), "r", "c", "v").isEmpty()
+
+
+# --- vectors and tiles that many rows name ---------------------------------------------------------
+
+def test_cluster_tiles_are_summed_before_they_meet_pulldowns(spark):
+    """One cluster of 3000 tiles in 3000 pulldowns: 9 million joined rows, were the tiles joined one by one."""
+    heat = spark.range(3000).select(F.col("id").alias("hit_id"), F.lit(7).cast("bigint").alias("cluster_id"), (F.col("id") % 9).alias("row_index"), (F.col("id") % 5).alias("col_index"))
+    hits = spark.range(3000).select(F.col("id").alias("hit_id"), F.col("id").alias("pulldown_id"))
+    measures = [F.count("*").alias("n_tiles"), F.count_distinct("row_index").alias("n_rows"), F.count_distinct("col_index").alias("n_cols")]
+    seen = Observation()
+    out = E.pulldown_cluster_tiles(heat, hits, measures).observe(seen, F.count("*").alias("n"))
+    assert out.drop("pulldown_id").distinct().collect() == [(7, 3000, 9, 5)] and seen.get["n"] == 3000
+    few = E.pulldown_cluster_tiles(heat.limit(4), hits)
+    assert few.count() == 16
