@@ -1,5 +1,7 @@
 """Groups that hold most of the rows: the split paths must give the same answer as brute force."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -323,3 +325,37 @@ def test_cluster_tiles_are_summed_before_they_meet_pulldowns(spark):
     assert out.drop("pulldown_id").distinct().collect() == [(7, 3000, 9, 5)] and seen.get["n"] == 3000
     few = E.pulldown_cluster_tiles(heat.limit(4), hits)
     assert few.count() == 16
+
+
+def plain_cosine(x, y):
+    if x is None or y is None or len(x) != len(y) or None in x or None in y:
+        return None
+    lx, ly = (sum(v * v for v in z) ** 0.5 for z in (x, y))
+    return sum(p * q for p, q in zip(x, y)) / (lx * ly) if lx and ly else (0.0 if not x else None)
+
+
+def test_cosine_of_listed_pairs_with_odd_vectors(spark):
+    vecs = [(1, [1.0, 2.0]), (1, [0.5, -1.0]), (2, [3.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [1.0, 2.0, 3.0]), (7, []), (None, [1.0, 1.0])]
+    pairs = [(a, b) for a in [*range(1, 9), None] for b in [*range(1, 9), None]] + [(1, 2)]
+    v = spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>")
+    p = spark.createDataFrame(pairs, "a int, b bigint")
+    wanted = sorted(((a, b, plain_cosine(x, y)) for a, b in pairs for i, x in vecs for j, y in vecs if a is not None and b is not None and a == i and b == j), key=str)
+    for least, size, short in ((1, 1 << 20, 0), (16, 64, 0), (3, 1 << 20, 0), (3, 1 << 20, 8)):
+        got = ml.cosine_pairs(v, p, "vec_id", "embedding", size, least, short)
+        assert dict(got.dtypes) == {"a": "int", "b": "bigint", "cosine": "double"}
+        rows = sorted(map(tuple, got.collect()), key=str)
+        assert [r[:2] for r in sorted(rows, key=lambda r: r[:2])] == sorted(w[:2] for w in wanted)
+        key = lambda r: (r[0], r[1], r[2] is None, r[2] or 0.0)
+        for r, w in zip(sorted(rows, key=key), sorted(wanted, key=key)):
+            assert (r[2] is None) == (w[2] is None) and (r[2] is None or abs(r[2] - w[2]) < 1e-6)
+
+
+def test_vectors_are_not_copied_for_every_pair(spark):
+    """60 vectors in 40000 pairs: rows with a vector are shuffled per tile, pairs as ids alone."""
+    v = spark.range(60).select(F.col("id").alias("vec_id"), F.array(*[F.lit(float(i)) + F.col("id") for i in range(1, 9)]).alias("embedding"))
+    p = spark.range(40000).select((F.col("id") % 60).alias("a"), F.floor(F.col("id") / 60).cast("bigint").alias("b")).withColumn("b", F.col("b") % 60)
+    out = ml.cosine_pairs(v, p, "vec_id", "embedding", least=4, short=0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "RepartitionByExpression [i#" in plan and out.count() == 40000
+    both = [line for line in plan.splitlines() if "Join " in line and re.search(r"\ba#", line)]
+    assert not both  # vectors meet (tile, id), never a pair
