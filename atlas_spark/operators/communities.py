@@ -1,8 +1,10 @@
 """Communities by leading eigenvectors of the modularity matrix, split until no split raises the modularity.
 
 The open communities form a work list.  One of up to LOCAL_NODES nodes is worked to the end in one task, on dense matrices
-of that size.  All larger ones advance together by a Lanczos iteration whose products are joins and sums, until they are
-closed or small.  Both ways take the same vector: the start vector's part in the leading eigenspace.
+of that size.  A larger one that falls into many connected pieces is worked in one task as well, up to SPARSE_NODES nodes: it
+holds one dense matrix per piece, and the part of the modularity matrix that joins the pieces has rank one.  All others
+advance together by a Lanczos iteration whose products are joins and sums, until they are closed or small.  All ways take
+the same vector: the start vector's part in the leading eigenspace.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from .network import both_ways, induced_subgraph
 
 #: Nodes of a community that one task may hold as dense matrices (8 MB each).
 LOCAL_NODES = 1024
+#: Nodes of a community in pieces and sum of their degrees that one task may hold, and numbers in the matrices of its pieces (64 MB).
+SPARSE_NODES = 65_536
+SPARSE_DEGREES = 1_000_000
+SPARSE_NUMBERS = 8_000_000
 #: Vectors of one Lanczos run, runs before the work gives up, and the residual (of the largest eigenvalue) that ends it.
 KRYLOV = 12
 MAX_RUNS = 200
@@ -53,10 +59,16 @@ def modularity_split(membership: DataFrame, edges: DataFrame, first_thresh: int,
 
     found = []
     for _ in range(MAX_LEVELS):
-        of = nodes.groupBy(*KEY).agg(F.count("*").alias("_n"))
+        of = nodes.groupBy(*KEY).agg(F.count("*").alias("_n"), F.sum("k").alias("_k"))
         small = nodes.join(of.filter(F.col("_n") <= local_nodes).select(*KEY), KEY, "left_semi")
         found.append(_split_small(small, adj))
-        nodes = nodes.join(of.filter(F.col("_n") > local_nodes).select(*KEY), KEY, "left_semi")
+        held = (F.col("_n") <= SPARSE_NODES) & (F.col("_k") <= SPARSE_DEGREES)
+        pieces = nodes.join(of.filter((F.col("_n") > local_nodes) & held).select(*KEY), KEY, "left_semi")
+        split = cut_lineage(_split_sparse(pieces, adj, local_nodes))
+        found.append(split.filter("not open").drop("open"))
+        left = split.filter("open").withColumnRenamed("comm", "_comm").drop("open")
+        left = pieces.join(left, ["cluster_id", "gene"]).select("cluster_id", F.col("_comm").alias("comm"), "gene", "k", "m2", "x")
+        nodes = cut_lineage(left.unionByName(nodes.join(of.filter((F.col("_n") > local_nodes) & ~held).select(*KEY), KEY, "left_semi")))
         if nodes.isEmpty():
             break
         closed, nodes = _split_large(nodes, adj)
@@ -100,12 +112,17 @@ def split_to_the_end(adjacency: np.ndarray, k: np.ndarray, m2: float, start: np.
     return names
 
 
-def _split_small(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """(cluster_id, comm, gene): a group is one community of bounded size with its edges."""
+def _with_neighbours(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+    """nodes with the list ``near`` of their neighbours in the same community."""
     label = nodes.select(*KEY, "gene")
     within = (adj.join(label.withColumnRenamed("gene", "a"), ["cluster_id", "a"])
               .join(label.withColumnRenamed("gene", "b"), ["cluster_id", "b", "comm"]).groupBy("cluster_id", "comm", "a").agg(F.collect_list("b").alias("near")))
-    rows = nodes.join(within.withColumnRenamed("a", "gene"), [*KEY, "gene"], "left")
+    return nodes.join(within.withColumnRenamed("a", "gene"), [*KEY, "gene"], "left")
+
+
+def _split_small(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+    """(cluster_id, comm, gene): a group is one community of bounded size with its edges."""
+    rows = _with_neighbours(nodes, adj)
 
     def run(table: pa.Table) -> pa.Table:
         genes = table.column("gene").to_pylist()
@@ -120,6 +137,152 @@ def _split_small(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).applyInArrow(run, f"cluster_id {kinds['cluster_id']}, comm string, gene {kinds['gene']}")
 
 
+# --- communities in many pieces ------------------------------------------------------------------
+
+def connected(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over the edges (u, v), which are listed in both directions."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, u, root[v])
+        np.minimum.at(low, root, low.copy())
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def piece_matrices(n: int, u: np.ndarray, v: np.ndarray, largest: int) -> list[np.ndarray] | None:
+    """Places of the pieces' nodes, one array (pieces, nodes) per size of a piece; None where a task could not hold their matrices."""
+    root = connected(n, u, v)
+    size = np.bincount(root, minlength=n)
+    if size.max(initial=0) > largest or (size.astype(float) ** 2).sum() > SPARSE_NUMBERS:
+        return None
+    order = np.lexsort((np.arange(n), root, size[root]))
+    of = size[root][order]
+    return [order[of == s].reshape(-1, s) for s in np.unique(of)]
+
+
+def leading_in_pieces(pieces: list[np.ndarray], u: np.ndarray, v: np.ndarray, k: np.ndarray, d: np.ndarray, m2: float, start: np.ndarray) -> tuple[float, np.ndarray]:
+    """As ``leading``, of the matrix that has the edges, less ``d`` on its diagonal, less k k' / m2.
+
+    Without the last term the matrix has one block per piece.  In the eigenvectors of the blocks it is diagonal less a product of
+    one vector with itself: an eigenvalue that several of them share stays one, for the vectors without a part in k; otherwise the
+    largest one is the root of the secular equation between the two largest.
+    """
+    at, place = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+    kind = np.zeros(len(k), np.int64)
+    for g, nodes in enumerate(pieces):
+        kind[nodes], at[nodes], place[nodes] = g, np.arange(len(nodes))[:, None], np.arange(nodes.shape[1])[None, :]
+    values, z, w, axes = [], [], [], []
+    for g, nodes in enumerate(pieces):
+        m = np.zeros((len(nodes), nodes.shape[1], nodes.shape[1]))
+        mine = kind[u] == g
+        m[at[u[mine]], place[u[mine]], place[v[mine]]] = 1.0
+        diagonal = np.arange(nodes.shape[1])
+        m[:, diagonal, diagonal] -= d[nodes]
+        value, axis = np.linalg.eigh(m)
+        values.append(value.ravel())
+        z.append((k[nodes][:, None, :] @ axis).ravel())
+        w.append((start[nodes][:, None, :] @ axis).ravel())
+        axes.append(axis)
+    values, z, w = np.concatenate(values), np.concatenate(z), np.concatenate(w)
+
+    def shared(top: float) -> tuple[np.ndarray, np.ndarray]:
+        """Where values count as the largest one, and the part of z there (0 where it would move none of them)."""
+        there = values >= top - 1e-8 * max(1.0, abs(top))
+        part = np.where(there, z, 0.0)
+        return there, part if part @ part / m2 > 1e-8 * max(1.0, abs(top)) else np.zeros(len(part))
+
+    top = float(values.max())
+    there, part = shared(top)
+    if there.sum() == 1 and part.any() and len(values) > 1:
+        low, high = float(values[~there].max()), top
+        lo, hi = low, high
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            if not lo < mid < hi:
+                break
+            lo, hi = (mid, hi) if (z * z / (values - mid)).sum() < m2 else (lo, mid)
+        root = (lo + hi) / 2
+        near = values >= low - 1e-8 * max(1.0, abs(low))
+        if root - low > 1e-8 * max(1.0, abs(low)):
+            mix = z / (values - root)
+            mix /= np.linalg.norm(mix)
+            return root, _mixed(pieces, axes, mix * (1.0 if mix @ w >= 0 else -1.0))
+        # the second largest value has no part in k, so it stands and the largest one falls below it
+        there, part, top = near & ~there, np.zeros(len(z)), low
+    elif there.sum() == 1 and part.any():
+        top -= float(part @ part) / m2
+        part = np.zeros(len(z))
+    mix = np.where(there, w, 0.0)
+    if part.any():
+        mix -= part * (part @ mix) / (part @ part)
+    if np.linalg.norm(mix) <= 1e-12:
+        first = np.flatnonzero(there)
+        mix = np.where(np.arange(len(z)) == first[0], 1.0, 0.0)
+        if part.any():
+            mix -= part * (part @ mix) / (part @ part)
+        if np.linalg.norm(mix) <= 1e-9:
+            mix = np.where(np.arange(len(z)) == first[-1], 1.0, 0.0)
+    return top, _mixed(pieces, axes, mix / np.linalg.norm(mix))
+
+
+def _mixed(pieces: list[np.ndarray], axes: list[np.ndarray], mix: np.ndarray) -> np.ndarray:
+    """The vector with the coordinates ``mix`` in the eigenvectors of the pieces."""
+    x, first = np.zeros(len(mix)), 0
+    for nodes, axis in zip(pieces, axes):
+        c = mix[first:first + nodes.size].reshape(nodes.shape)
+        x[nodes] = (axis @ c[:, :, None])[:, :, 0]
+        first += nodes.size
+    return x
+
+
+def split_pieces(u: np.ndarray, v: np.ndarray, k: np.ndarray, m2: float, start: np.ndarray, name: str, largest: int) -> tuple[list[str], np.ndarray]:
+    """Names of one community's final communities, and which nodes are in one that is still open as a piece of it is too large."""
+    names, left = [""] * len(k), np.zeros(len(k), bool)
+    work = [(name, np.arange(len(k)), u, v)]
+    here = np.zeros(len(k), np.int64)
+    while work:
+        label, nodes, a, b = work.pop()
+        here[nodes] = np.arange(len(nodes))
+        x, y, ks = here[a], here[b], k[nodes]
+        pieces = piece_matrices(len(nodes), x, y, largest)
+        if pieces is not None and len(nodes) > 1:
+            d = np.bincount(x, minlength=len(nodes)) - ks * (ks.sum() / m2)
+            value, lead = leading_in_pieces(pieces, x, y, ks, d, m2, start[nodes])
+            side = np.where(lead >= -ZERO, 1.0, -1.0)
+            gain = (side[x] * side[y]).sum() - d.sum() - (ks @ side) ** 2 / m2
+            if value > GAIN and len(set(side.tolist())) > 1 and gain > GAIN:
+                for end, keep in ((".1", side > 0), (".2", side < 0)):
+                    both = keep[x] & keep[y]
+                    work.append((label + end, nodes[keep], a[both], b[both]))
+                continue
+        left[nodes] = pieces is None
+        for i in nodes.tolist():
+            names[i] = label
+    return names, left
+
+
+def _split_sparse(nodes: DataFrame, adj: DataFrame, largest: int) -> DataFrame:
+    """(cluster_id, comm, gene, open): a group is one community of up to SPARSE_NODES nodes with its edges; an open one has a piece of
+    more than ``largest`` nodes and was split no further."""
+    def run(table: pa.Table) -> pa.Table:
+        genes = table.column("gene").to_pylist()
+        index = {g: i for i, g in enumerate(genes)}
+        near = [[index[g] for g in row or ()] for row in table.column("near").to_pylist()]
+        u = np.repeat(np.arange(len(genes)), [len(row) for row in near])
+        v = np.array([i for row in near for i in row], np.int64)
+        k, m2, start = (table.column(c).to_numpy() for c in ("k", "m2", "x"))
+        names, left = split_pieces(u, v, k.astype(float), float(m2[0]), start, table.column("comm")[0].as_py(), largest)
+        return pa.table([table.column("cluster_id"), pa.array(names), table.column("gene"), pa.array(left)], ["cluster_id", "comm", "gene", "open"])
+    kinds = dict(nodes.dtypes)
+    # few rows, but long work on each group: a number of partitions given here is not drawn together
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _with_neighbours(nodes, adj).repartition(tasks, *KEY)
+    return rows.groupBy(*KEY).applyInArrow(run, f"cluster_id {kinds['cluster_id']}, comm string, gene {kinds['gene']}, open boolean")
+
+
 # --- larger communities --------------------------------------------------------------------------
 
 def _split_large(nodes: DataFrame, adj: DataFrame) -> tuple[DataFrame, DataFrame]:

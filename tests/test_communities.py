@@ -135,3 +135,39 @@ def test_unsettled_vectors_raise(spark, monkeypatch):
     members, df = tables(spark, {"D": planted(3, 5, 0.8, 0.1, 3)})
     with pytest.raises(RuntimeError):
         C.modularity_split(members, df, first_thresh=3, local_nodes=5)
+
+
+def star_pieces(rng, pieces):
+    edges, first = [], 0
+    for _ in range(pieces):
+        n, kind = int(rng.integers(2, 8)), int(rng.integers(0, 3))
+        if kind == 0:
+            edges += [(first, first + i) for i in range(1, n)]
+        elif kind == 1:
+            edges += [(first + i, first + j) for i in range(n) for j in range(i) if j == i - 1 or rng.random() < 0.7]
+        else:
+            edges += [(first + i, first + i + 1) for i in range(n - 1)]
+        first += n
+    return edges, first
+
+
+def test_pieces_give_the_answer_of_one_matrix():
+    rng = np.random.default_rng(11)
+    for trial in range(40):
+        edges, n = star_pieces(rng, 2 + trial % 20)
+        a = np.zeros((n, n))
+        for x, y in edges:
+            a[x, y] = a[y, x] = 1
+        u, v = np.nonzero(a)
+        k, start = a.sum(axis=1), rng.random(n) - 0.5
+        names, left = C.split_pieces(u, v, k, k.sum(), start, "0", 1024)
+        assert names == C.split_to_the_end(a, k, k.sum(), start, "0") and not left.any()
+
+
+def test_many_pieces_need_no_round_each(spark, monkeypatch):
+    """A cluster of many small pieces is above the dense limit; no split of it goes through distributed rounds."""
+    edges, _ = star_pieces(np.random.default_rng(12), 25)
+    members, df = tables(spark, {"M": [(str(a), str(b)) for a, b in edges]})
+    want = communities(C.modularity_split(members, df, first_thresh=3))
+    monkeypatch.setattr(C, "_split_large", lambda *_: pytest.fail("a distributed split"))
+    assert communities(C.modularity_split(members, df, first_thresh=3, local_nodes=12)) == want
