@@ -15,6 +15,10 @@ from .ranking import HOT_ROWS, grouped_ranks
 from .relational import top_n
 
 
+#: Rows that one task sorts for a join of narrow rows, about.
+TASK_ROWS = 200_000
+
+
 def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Each pair in both orders (a, b), other columns kept."""
     other = [c for c in pairs.columns if c not in (a, b)]
@@ -22,16 +26,25 @@ def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(a, b, *other).unionByName(flip)
 
 
-def intersect_lists(pairs: DataFrame, left: DataFrame, l: str, right: DataFrame, r: str, x: str) -> DataFrame:
+def intersect_lists(pairs: DataFrame, left: DataFrame, l: str, right: DataFrame, r: str, x: str, task_rows: int | None = None) -> DataFrame:
     """For every (l, r) of ``pairs`` the x that left lists for l and right lists for r.
 
-    ``left`` and ``right`` are distinct on (l, x) and (r, x); their further columns are carried along.
+    ``left`` and ``right`` are distinct on (l, x) and (r, x); their further columns are carried along.  With ``task_rows`` the
+    expanded rows are counted first and dealt so that a task sorts about that many: narrow rows are small once compressed, and
+    adaptive execution alone would put millions of them into one task.
     """
     nl = left.groupBy(l).agg(F.count("*").alias("_nl"))
     nr = right.groupBy(r).agg(F.count("*").alias("_nr"))
     sized = pairs.join(nl, l).join(nr, r)
-    by_left = sized.filter("_nl <= _nr").drop("_nl", "_nr").join(left, l).join(right, [r, x])
-    by_right = sized.filter("_nl > _nr").drop("_nl", "_nr").join(right, r).join(left, [l, x])
+    parts = 0
+    if task_rows is not None:
+        sized = cut_lineage(sized)
+        parts = -(-(sized.agg(F.sum(F.least("_nl", "_nr"))).first()[0] or 0) // task_rows)
+
+    def join(a, b, *keys):
+        return (a.repartition(parts, *keys).join(b.repartition(parts, *keys), [*keys]) if parts > 1 else a.join(b, [*keys]))
+    by_left = join(join(sized.filter("_nl <= _nr").drop("_nl", "_nr"), left, l), right, r, x)
+    by_right = join(join(sized.filter("_nl > _nr").drop("_nl", "_nr"), right, r), left, l, x)
     return by_left.unionByName(by_right)
 
 
@@ -340,7 +353,7 @@ def shared_set_edges(edges: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct edges whose two ends are members of one set."""
     m = sets.select("set_id", "gene").distinct()
     return intersect_lists(edges, m.select(F.col("gene").alias("target"), "set_id"), "target",
-                           m.select(F.col("gene").alias("prey"), "set_id"), "prey", "set_id").select("target", "prey").distinct()
+                           m.select(F.col("gene").alias("prey"), "set_id"), "prey", "set_id", task_rows=TASK_ROWS).select("target", "prey").distinct()
 
 
 def cluster_coverage(edges: DataFrame, membership: DataFrame) -> DataFrame:

@@ -359,3 +359,19 @@ def test_vectors_are_not_copied_for_every_pair(spark):
     assert plan.count("Join ") == 1 and "RepartitionByExpression [i#" in plan and out.count() == 40000
     both = [line for line in plan.splitlines() if "Join " in line and re.search(r"\ba#", line)]
     assert not both  # vectors meet (tile, id), never a pair
+
+
+def test_set_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """Narrow rows that compress to little are dealt by count, so a task does not take them all; nulls meet nothing."""
+    rng = np.random.default_rng(8)
+    edges = {(f"G{a}", f"G{b}") for a, b in rng.integers(0, 60, (900, 2))} | {(None, "G1"), ("G1", None)}
+    sets = {(f"S{s}", f"G{g}") for s, g in zip(rng.integers(0, 9, 200), rng.integers(0, 60, 200))} | {(None, "G1"), ("S1", None)}
+    of = {}
+    for s, g in sets:
+        of.setdefault(g, set()).add(s)
+    want = {(a, b) for a, b in edges if None not in (a, b) and of.get(a, set()) & of.get(b, set()) - {None}}
+    monkeypatch.setattr(N, "TASK_ROWS", 100)
+    got = N.shared_set_edges(spark.createDataFrame(list(edges), "target string, prey string"), spark.createDataFrame(list(sets), "set_id string, gene string"))
+    dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", got._jdf.queryExecution().optimizedPlan().toString())]
+    assert len(dealt) == 8 and min(dealt) > 5
+    assert {tuple(r) for r in got.collect()} == want
