@@ -399,6 +399,7 @@ def precision_recall(scores: DataFrame, level: Column, pairs: DataFrame, localiz
     s = scores.select("target", "prey", level.alias("lv")).filter("lv is not null")
     n = at_thresholds(s, "lv", thresholds, {"num_interactions": F.count("*")})
     x = expanded_coverage(s, pairs, "lv").groupBy("pair").agg(F.max("possible").alias("possible"), F.max("covered").alias("covered"))
+    x = cut_lineage(x.select("possible", "covered"))  # two numbers per reference pair, counted twice below
     possible = at_thresholds(x, "possible", thresholds, {"possible": F.count("*")})
     covered = at_thresholds(x.filter("covered is not null"), "covered", thresholds, {"covered": F.count("*")})
     u = unique_interactions(s, weight="lv").withColumnsRenamed({"prot_1": "target", "prot_2": "prey"})

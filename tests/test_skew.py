@@ -375,3 +375,13 @@ def test_set_edges_are_dealt_by_their_number(spark, monkeypatch):
     dealt = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", got._jdf.queryExecution().optimizedPlan().toString())]
     assert len(dealt) == 8 and min(dealt) > 5
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_reference_pairs_are_covered_once(spark):
+    """Both recall columns come from one stored pass over the reference pairs."""
+    scores = spark.createDataFrame([("a", "b", 2.0), ("a", "c", 3.0), ("c", "d", 1.5), ("b", "a", 0.5)], "target string, prey string, lv double")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "d"), ("c", "x")], "prot_1 string, prot_2 string")
+    loc = spark.createDataFrame([("a", "N"), ("b", "N/C"), ("c", "O"), ("d", "O")], "gene string, label string")
+    pr = N.precision_recall(scores, F.col("lv"), pairs, loc, [0, 1, 2])
+    assert "prot_2" not in pr.select("threshold", "recall")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["threshold"]: (r["num_interactions"], round(r["recall"], 6)) for r in pr.collect()} == {0.0: (4, round(1 / 3, 6)), 1.0: (3, round(1 / 3, 6)), 2.0: (1, 0.0)}
