@@ -5,16 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
-from .ranking import grouped_ranks
+from .ranking import HOT_ROWS, grouped_ranks
 from .relational import top_n
 
 TOP = 100
 #: Postings of a block and folders of the stored index.
 BLOCK = 10_000
 PARTS = 32
+#: Tasks that a folder is dealt to, at most, and keys of the index that are broadcast, at most.
+SLICES = 16
+NEAR_KEYS = 100_000
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -56,10 +59,19 @@ def prefix_search(queries: DataFrame, uniprot: DataFrame, longest: int = 20) ->
 
 
 def token_table(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Inverted table (id, token, tf, n_tokens) over whole texts."""
-    words = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
+    """Inverted table (id, token, tf, n_tokens) over whole texts.
+
+    The words of a text are counted inside its row, by their runs once they are sorted; texts meet in a group only where ids are repeated.
+    """
+    words = F.sort_array(F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != ""))
     t = docs.select(F.col(id_col).alias("id"), words.alias("w")).withColumn("n_tokens", F.size("w"))
-    return t.select("id", "n_tokens", F.explode("w").alias("token")).groupBy("id", "n_tokens", "token").agg(F.count("*").alias("tf"))
+    first = F.transform("w", lambda x, i: F.when((i == 0) | (x != F.get("w", i - 1)), i))
+    t = t.withColumn("_first", F.filter(first, lambda i: i.isNotNull()))
+    runs = F.transform("_first", lambda i, k: F.struct(F.get("w", i).alias("token"), (F.coalesce(F.get("_first", k + 1), F.col("n_tokens")) - i).cast("bigint").alias("tf")))
+    t = t.select("id", "n_tokens", F.inline(runs))
+    if docs.groupBy(id_col).agg(F.count("*").alias("_c")).filter("_c > 1").isEmpty():
+        return t
+    return t.groupBy("id", "n_tokens", "token").agg(F.sum("tf").alias("tf"))
 
 
 @dataclass(frozen=True)
@@ -83,29 +95,44 @@ class TextIndex:
         return self.spark.read.schema("token string, block bigint, n bigint, top double").parquet(f"{self.path}/blocks")
 
 
-def build_text_index(docs: DataFrame, id_col: str, text: str, path: str, block: int = BLOCK, parts: int = PARTS) -> TextIndex:
-    """Write the index of whole texts below ``path``, a folder that all executors share; the texts are read once."""
-    t = cut_lineage(token_table(docs, id_col, text).withColumn("share", F.col("tf") / F.col("n_tokens")))
-    common = cut_lineage(t.groupBy("token").agg(F.count("*").alias("_f")).filter(F.col("_f") > block).select("token"))
-    if common.isEmpty():
-        rows = t.withColumn("block", F.lit(0).cast("bigint"))
-    else:
-        rare = t.join(common, "token", "left_anti").withColumn("block", F.lit(0).cast("bigint"))
-        ranked = grouped_ranks(t.join(common, "token", "left_semi").withColumn("_minus", -F.col("share")), ["token"], "_minus", ["id", "n_tokens"], out="_r")
-        rows = rare.unionByName(ranked.withColumn("block", F.floor((F.col("_r") - 1) / block)).drop("_r", "_minus"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
-    rows = rows.repartition("part", F.pmod("block", F.lit(64))).sortWithinPartitions("token", "block", F.desc("share"))
-    rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    index = TextIndex(docs.sparkSession, path, dict(docs.dtypes)[id_col], parts)
+def build_text_index(docs: DataFrame, id_col: str, text: str, path: str, block: int = BLOCK, parts: int = PARTS, hot_rows: int = HOT_ROWS) -> TextIndex:
+    """Write the index of whole texts below ``path``, a folder that all executors share; the texts are read once.
+
+    The postings cross one shuffle, which sorts them as they are stored and so numbers them as well; those of words with more than
+    ``hot_rows`` are ranked in pieces.
+    """
+    spark = docs.sparkSession
+    t = token_table(docs, id_col, text)
+    t.write.mode("overwrite").parquet(f"{path}/words")
+    t = spark.read.schema(t.schema).parquet(f"{path}/words").withColumn("share", F.col("tf") / F.col("n_tokens"))
+    t = t.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    hot = cut_lineage(t.groupBy("token").agg(F.count("*").alias("_f")).filter(F.col("_f") > hot_rows).select("token"))
+    cold = t if hot.isEmpty() else t.join(F.broadcast(hot), "token", "left_anti")  # one hot word in hot_rows postings at most
+    cold = cold.withColumn("slice", F.pmod(F.xxhash64("token", F.lit(1)), F.lit(SLICES))).repartition("part", "slice")
+    rank = F.row_number().over(W.partitionBy("part", "slice", "token").orderBy(F.desc("share"), "id", "n_tokens"))
+    of = lambda r: F.floor((r - 1) / block).alias("block")
+    kept = ["id", "n_tokens", "token", "tf", "share"]
+    cold.select(*kept, of(rank), "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    if not hot.isEmpty():
+        ranked = grouped_ranks(t.join(F.broadcast(hot), "token", "left_semi").withColumn("_minus", -F.col("share")), ["token"], "_minus", ["id", "n_tokens"], out="_r", hot_rows=hot_rows)
+        rows = ranked.select(*kept, of(F.col("_r")), "part").repartition("part", F.pmod("block", F.lit(64))).sortWithinPartitions("token", "block", F.desc("share"))
+        rows.write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+    index = TextIndex(spark, path, dict(docs.dtypes)[id_col], parts)
     index.postings.groupBy("token", "block").agg(F.count("*").alias("n"), F.max("share").alias("top")).write.mode("overwrite").parquet(f"{path}/blocks")
     return index
 
 
+def _counted(keys: DataFrame) -> DataFrame:
+    """The keys, marked for a broadcast up to a fixed number of them, so that the postings they choose from are not shuffled."""
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.count() <= NEAR_KEYS else keys
+
+
 def fulltext_search(queries: DataFrame, index: TextIndex, top: int = TOP) -> DataFrame:
     """(query, id, relevance): documents with every query word, by term frequency over length; ``top`` per query, ties by id.
 
     Candidates come from the blocks of each query's rarest word, the best block first; the other words are looked up by
-    (word, document).  A query ends once its worst kept document beats what the next block can hold at most: the
+    (word, document), among the postings of the words still asked.  A query ends once its worst kept document beats what the next block can hold at most: the
     block's largest share and the largest shares of the other words.  Each round reads as many blocks as all before it.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("query"), NO_WORD), lambda w: w != ""))
@@ -120,9 +147,10 @@ def fulltext_search(queries: DataFrame, index: TextIndex, top: int = TOP) -> Dat
     postings = postings.filter(F.col("part").isin(parts))  # at most as many numbers as folders; folders without an asked word are not read
     kept, done, first, last = None, [], 0, 1
     while True:
+        tokens = _counted(asked.join(plan.select("query"), "query", "left_semi").select("token").distinct())
         wanted = plan.select("query", "token", F.explode(F.sequence(F.lit(first).cast("bigint"), F.least(F.lit(last), "_blocks") - 1)).alias("block"))
-        cand = wanted.join(postings.select("token", "block", "id"), ["token", "block"]).select("query", "id").distinct()
-        hit = (cand.join(asked, "query").join(postings.select("token", "id", "n_tokens", "tf"), ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
+        cand = postings.select("token", "block", "id").join(_counted(wanted), ["token", "block"]).select("query", "id").distinct()
+        hit = (cand.join(asked, "query").join(postings.select("token", "id", "n_tokens", "tf").join(tokens, "token", "left_semi"), ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
                .agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf")))
         rows = hit.filter("_m = _n").select("query", "id", (F.col("_tf") / F.col("n_tokens")).alias("relevance"))
         rows = rows if kept is None else rows.unionByName(kept)

@@ -62,3 +62,17 @@ def test_texts_are_read_at_build_time_only(spark, tables, monkeypatch):
     found = S.fulltext_search(spark.createDataFrame([("the of",)], "query string"), index)
     seen.append(found._jdf.queryExecution().optimizedPlan().toString())
     assert found.count() and len(seen) > 2 and not any("text#" in p for p in seen)
+
+
+def test_words_are_counted_in_their_row(spark, docs):
+    """No shuffle before the postings are dealt; repeated ids are still counted together, hot words ranked in pieces give the same index."""
+    df = spark.createDataFrame(docs, "doc_id bigint, body string")
+    assert "Exchange" not in S.token_table(df, "doc_id", "body")._jdf.queryExecution().executedPlan().toString()
+    twice = spark.createDataFrame([(1, "b a b"), (1, "b a c"), (1, "a"), (None, "x y"), (None, "x x"), (2, None), (3, "")], "doc_id bigint, body string")
+    got = {(r["id"], r["n_tokens"], r["token"]): r["tf"] for r in S.token_table(twice, "doc_id", "body").collect()}
+    assert got == {(1, 3, "a"): 2, (1, 3, "b"): 3, (1, 3, "c"): 1, (1, 1, "a"): 1, (None, 2, "x"): 3, (None, 2, "y"): 1}
+    rows = []
+    for hot in (10, 100_000):
+        index = S.build_text_index(df, "doc_id", "body", shared_folder(spark, "text-index"), block=16, parts=4, hot_rows=hot)
+        rows.append(sorted(tuple(r) for r in index.postings.select("token", "block", "id", "n_tokens", "tf", "share", "part").collect()))
+    assert rows[0] == rows[1]
