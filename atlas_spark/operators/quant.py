@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cols as C, keyed
+from ..session import cut_lineage
 from .ranking import grouped_quantiles
-from .relational import contains_join
+from .relational import contains_join, few_keys
 
 CELL = ["prey", "bait", "replicate"]
 
@@ -168,15 +169,17 @@ def bait_match(df: DataFrame, names: DataFrame) -> DataFrame:
     """Per sample the largest intensity of the prey named like the bait; where no prey has the name,
     the intensity of the first ';' list of names that contains it.
 
-    ``names``: (prey, gene_names); ``df``: (bait_gene, replicate, prey, value).
+    ``names``: (prey, gene_names); ``df``: (bait_gene, replicate, prey, value).  The rows of the chosen preys are taken first: where ``df``
+    is itself a total per bait, replicate and prey, no others are added up.
     """
-    genes = df.select("bait_gene").distinct()
+    genes = cut_lineage(df.select("bait_gene").distinct())
     exact = names.select(F.col("gene_names").alias("bait_gene"), "prey").join(genes, "bait_gene", "left_semi")
     rest = genes.join(exact.select("bait_gene").distinct(), "bait_gene", "left_anti")
     lists = contains_join(names.filter(F.col("gene_names").contains(";")), "gene_names", rest, "bait_gene")
     listed = lists.groupBy("bait_gene").agg(F.min_by("prey", F.struct("gene_names", "prey")).alias("prey"))
-    chosen = exact.withColumn("exact", F.lit(True)).unionByName(listed.withColumn("exact", F.lit(False)))
-    return df.join(chosen, ["bait_gene", "prey"]).groupBy("bait_gene", "replicate").agg(
+    chosen = cut_lineage(exact.withColumn("exact", F.lit(True)).unionByName(listed.withColumn("exact", F.lit(False))))
+    own = df.join(few_keys(chosen.select("bait_gene", "prey").distinct()), ["bait_gene", "prey"], "left_semi")
+    return own.join(chosen, ["bait_gene", "prey"]).groupBy("bait_gene", "replicate").agg(
         F.max("value").alias("intensity"), F.bool_and("exact").alias("exact"))
 
 

@@ -9,6 +9,7 @@ from .ranking import best_row, text_ranks
 
 
 #: Length of the substrings that stand for a longer needle.
+FEW_KEYS = 100_000
 GRAM = 3
 
 
@@ -35,10 +36,19 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     rarest = parts.join(freq, "_g", "left").groupBy("_needle").agg(F.min(F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), "_g")).alias("_r"))
     keyed = rarest.filter("_r._f > 0").select("_needle", F.col("_r._g").alias("_g"))
     keyed = keyed.unionByName(asked.filter(F.length("_needle") < GRAM).select("_needle", F.col("_needle").alias("_g")))
-    found = keyed.join(listed, "_g").filter(F.contains("_t", "_needle")).select(F.col("_t").alias(text), F.col("_needle").alias(needle))
+    # a text's substrings are many rows of few bytes: they stream past the needles and are not sorted
+    found = listed.join(few_keys(keyed), "_g").filter(F.contains("_t", "_needle")).select(F.col("_t").alias(text), F.col("_needle").alias(needle))
     return texts.join(found, text)
 
 
+def few_keys(keys: DataFrame) -> DataFrame:
+    """The keys that choose rows of a large table: counted, and broadcast up to FEW_KEYS of them, so that the table is not shuffled
+    for them; more are held in hash tables, so that it is not sorted."""
+    from ..session import cut_lineage
+    keys = cut_lineage(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys.hint("shuffle_hash")
+
+
 def member_join(rows: DataFrame, names: str, genes: DataFrame, gene: str, sep: str = ";") -> DataFrame:
     """Rows whose separated name list holds the gene; each (row, gene) once."""
     return rows.withColumn(gene, F.explode(F.array_distinct(F.split(names, sep)))).join(genes, gene)

@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import cut_lineage
 from .ranking import HOT_ROWS, grouped_ranks
-from .relational import top_n
+from .relational import few_keys, top_n
 
 TOP = 100
 #: Postings of a block and folders of the stored index.
 BLOCK = 10_000
 PARTS = 32
-#: Tasks that a folder is dealt to, at most, and keys of the index that are broadcast, at most.
+#: Tasks that a folder is dealt to, at most.
 SLICES = 16
-NEAR_KEYS = 100_000
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -122,12 +121,6 @@ def build_text_index(docs: DataFrame, id_col: str, text: str, path: str, block:
     return index
 
 
-def _counted(keys: DataFrame) -> DataFrame:
-    """The keys, marked for a broadcast up to a fixed number of them, so that the postings they choose from are not shuffled."""
-    keys = cut_lineage(keys)
-    return F.broadcast(keys) if keys.count() <= NEAR_KEYS else keys
-
-
 def fulltext_search(queries: DataFrame, index: TextIndex, top: int = TOP) -> DataFrame:
     """(query, id, relevance): documents with every query word, by term frequency over length; ``top`` per query, ties by id.
 
@@ -147,9 +140,9 @@ def fulltext_search(queries: DataFrame, index: TextIndex, top: int = TOP) -> Dat
     postings = postings.filter(F.col("part").isin(parts))  # at most as many numbers as folders; folders without an asked word are not read
     kept, done, first, last = None, [], 0, 1
     while True:
-        tokens = _counted(asked.join(plan.select("query"), "query", "left_semi").select("token").distinct())
+        tokens = few_keys(asked.join(plan.select("query"), "query", "left_semi").select("token").distinct())
         wanted = plan.select("query", "token", F.explode(F.sequence(F.lit(first).cast("bigint"), F.least(F.lit(last), "_blocks") - 1)).alias("block"))
-        cand = postings.select("token", "block", "id").join(_counted(wanted), ["token", "block"]).select("query", "id").distinct()
+        cand = postings.select("token", "block", "id").join(few_keys(wanted), ["token", "block"]).select("query", "id").distinct()
         hit = (cand.join(asked, "query").join(postings.select("token", "id", "n_tokens", "tf").join(tokens, "token", "left_semi"), ["token", "id"]).groupBy("query", "_n", "id", "n_tokens")
                .agg(F.count("*").alias("_m"), F.sum("tf").alias("_tf")))
         rows = hit.filter("_m = _n").select("query", "id", (F.col("_tf") / F.col("n_tokens")).alias("relevance"))

@@ -385,3 +385,19 @@ def test_reference_pairs_are_covered_once(spark):
     pr = N.precision_recall(scores, F.col("lv"), pairs, loc, [0, 1, 2])
     assert "prot_2" not in pr.select("threshold", "recall")._jdf.queryExecution().optimizedPlan().toString()
     assert {r["threshold"]: (r["num_interactions"], round(r["recall"], 6)) for r in pr.collect()} == {0.0: (4, round(1 / 3, 6)), 1.0: (3, round(1 / 3, 6)), 2.0: (1, 0.0)}
+
+
+def test_bait_match_adds_up_chosen_preys_only(spark, monkeypatch):
+    """The rows of the chosen preys are taken below the total they come from; more keys than are broadcast are hashed, with the same result."""
+    from atlas_spark.operators import quant, relational
+    rows = [(f"G{b}", r, f"P{p}", float(b + p + r)) for b in range(6) for r in range(2) for p in range(8)] + [(None, 0, "P1", 1.0), ("G1", 0, None, 99.0)]
+    names = spark.createDataFrame([("P1", "G1"), ("P7", "G1"), ("P2", "G2;G3"), ("P3", "G30;G3"), (None, "G4")], "prey string, gene_names string")
+    raw = spark.createDataFrame(rows + rows, "bait_gene string, replicate int, prey string, value double")
+    df = raw.groupBy("bait_gene", "replicate", "prey").agg(F.max("value").alias("value"))
+    for few in (100_000, 0):
+        monkeypatch.setattr(relational, "FEW_KEYS", few)
+        got = quant.bait_match(df, names)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("LeftSemi") > plan.rindex("Aggregate [") if few else "shuffle_hash" in plan, plan
+        assert {(r["bait_gene"], r["replicate"], r["intensity"], r["exact"]) for r in got.collect()} == {
+            (f"G{b}", r, float(b + p + r), exact) for b, p, exact in ((1, 7, True), (2, 2, False), (3, 2, False)) for r in (0, 1)}
