@@ -10,6 +10,7 @@ from .ranking import best_row, text_ranks
 
 #: Length of the substrings that stand for a longer needle.
 FEW_KEYS = 100_000
+TASK_ROWS = 200_000
 GRAM = 3
 
 
@@ -49,6 +50,13 @@ def few_keys(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys.hint("shuffle_hash")
 
 
+def distinct_rows(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The distinct rows of narrow columns, counted and dealt about ``task_rows`` to a task: they compress to little, so that adaptive
+    execution would hold millions of them in one."""
+    parts = -(-df.count() // task_rows)
+    return df.repartition(max(parts, 1), *df.columns).distinct()
+
+
 def member_join(rows: DataFrame, names: str, genes: DataFrame, gene: str, sep: str = ";") -> DataFrame:
     """Rows whose separated name list holds the gene; each (row, gene) once."""
     return rows.withColumn(gene, F.explode(F.array_distinct(F.split(names, sep)))).join(genes, gene)

@@ -401,3 +401,10 @@ def test_bait_match_adds_up_chosen_preys_only(spark, monkeypatch):
         assert plan.index("LeftSemi") > plan.rindex("Aggregate [") if few else "shuffle_hash" in plan, plan
         assert {(r["bait_gene"], r["replicate"], r["intensity"], r["exact"]) for r in got.collect()} == {
             (f"G{b}", r, float(b + p + r), exact) for b, p, exact in ((1, 7, True), (2, 2, False), (3, 2, False)) for r in (0, 1)}
+
+
+def test_distinct_rows_are_dealt_by_their_number(spark):
+    rows = [(i % 70, i % 30 if i % 9 else None) for i in range(3000)]
+    got = L.distinct_rows(spark.createDataFrame(rows, "a bigint, b bigint"), task_rows=100)
+    assert got.rdd.getNumPartitions() == 30 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, set(rows)))
+    assert L.distinct_rows(spark.createDataFrame([], "a bigint")).count() == 0
