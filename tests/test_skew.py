@@ -116,6 +116,20 @@ def test_knn_with_hot_cell(spark, cell):
     assert np.allclose(have, nearest(x, 5))
 
 
+@pytest.mark.parametrize("portions", [1, 7])
+def test_knn_of_copies_and_repeated_ids(spark, portions):
+    """Of more copies than are wanted the smallest ids stay, however the vectors are dealt; rows of one id are no neighbours of each other."""
+    rng = np.random.default_rng(9)
+    ids = [*rng.permutation(120).tolist(), 500, 500]
+    x = np.vstack([np.ones((60, 3)), rng.normal(0, 1, (60, 3)), np.full((2, 3), 4.0)])
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in zip(ids, x)], "id bigint, vec array<double>")
+    got = {(r["id"], r["rank"]): (r["other"], r["distance"]) for r in ml.knn_graph(df, "id", "vec", 5, cell=16, tile=32, portions=portions).collect()}
+    for i in set(ids):
+        d = sorted((round(float(np.sqrt(((x[a] - x[b]) ** 2).sum())), 9), ids[b]) for a in range(122) for b in range(122) if ids[a] == i != ids[b])[:5]
+        assert [got[i, n + 1][0] for n in range(5)] == [o for _, o in d]
+        assert np.allclose([got[i, n + 1][1] for n in range(5)], [v for v, _ in d], atol=1e-8)
+
+
 def test_leaves_keep_their_size(spark):
     rng = np.random.default_rng(4)
     sizes = []
