@@ -85,8 +85,8 @@ def member_pairs(rows: DataFrame, group: str, member: str, block: int = HUB_BLOC
     return d.join(second, key).filter("first < second and (_lo = _hi or _own <> _own2)").select("first", "second").distinct()
 
 
-def second_neighbors(edges: DataFrame, threshold: int = 3) -> DataFrame:
-    """Prey pairs sharing at least ``threshold`` targets and no direct edge, with the shared targets.
+def second_neighbors(edges: DataFrame, threshold: int = 3, listed: bool = True) -> DataFrame:
+    """Prey pairs sharing at least ``threshold`` targets and no direct edge, with the shared targets if ``listed``.
 
     With targets ordered from rare to common, two preys can only share that many if they share one
     outside the last threshold-1 of their lists, so the common targets never generate pairs.  What a candidate pair shares is
@@ -108,7 +108,10 @@ def second_neighbors(edges: DataFrame, threshold: int = 3) -> DataFrame:
     pairs = pairs.join(d1, "prot_1").join(d2, "prot_2").select("prot_1", "prot_2", F.when(first, F.col("prot_1")).otherwise(F.col("prot_2")).alias("_short"),
                                                               F.when(first, F.col("prot_2")).otherwise(F.col("prot_1")).alias("_long"))
     short, long_ = (e.select(F.col("prey").alias(p), "target") for p in ("_short", "_long"))
-    shared = pairs.join(short, "_short").join(long_, ["_long", "target"], "left_semi").groupBy("prot_1", "prot_2").agg(F.array_sort(F.collect_list("target")).alias("shared_targets"))
+    shared = pairs.join(short, "_short").join(long_, ["_long", "target"], "left_semi").groupBy("prot_1", "prot_2")
+    if not listed:
+        return shared.agg(F.count("*").alias("_n")).filter(F.col("_n") >= threshold).select("prot_1", "prot_2")
+    shared = shared.agg(F.array_sort(F.collect_list("target")).alias("shared_targets"))
     return shared.filter(F.size("shared_targets") >= threshold)
 
 

@@ -42,7 +42,7 @@ EGOS = "select concat('G', s_suppkey) as ego from {supplier}"
     select x.ego, u.a, u.b, true as direct from u join m x on x.m = u.a join m y on y.m = u.b and y.ego = x.ego union all
     select x.ego, s.prot_1, s.prot_2, false from s join m x on x.m = s.prot_1 join m y on y.m = s.prot_2 and y.ego = x.ego""")
 def ego_network(t):
-    return N.ego_network(t.edges, t.sql(EGOS), N.second_neighbors(t.edges).select("prot_1", "prot_2"))
+    return N.ego_network(t.edges, t.sql(EGOS), N.second_neighbors(t.edges, listed=False))
 
 
 INDUCED = "(select a.cluster_id, e.* from {edges} e join {clusters} a on a.gene = e.target join {clusters} b on b.gene = e.prey and b.cluster_id = a.cluster_id where target <> prey)"
