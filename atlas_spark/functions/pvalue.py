@@ -21,11 +21,12 @@ def _log_beta(df: np.ndarray) -> np.ndarray:
 
 
 def _fraction(a, b, x, rounds: int = 300):
-    """Continued fraction of the incomplete beta integral (modified Lentz steps)."""
+    """Continued fraction of the incomplete beta integral (modified Lentz steps); a value leaves the loop once it has settled."""
     tiny = 1e-300
     c, d = np.ones_like(x), 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
+    out, at = h.copy(), np.arange(len(x))
     for m in range(1, rounds):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
@@ -33,9 +34,13 @@ def _fraction(a, b, x, rounds: int = 300):
             d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1.0 + num / np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        out[at] = h
+        open_ = np.abs(d * c - 1.0) >= 1e-15
+        if not open_.any():
             break
-    return h
+        if not open_.all():
+            at, a, b, x, c, d, h = (z[open_] for z in (at, a, b, x, c, d, h))
+    return out
 
 
 def neglog10p_array(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -52,11 +57,13 @@ def neglog10p_array(t: np.ndarray, df: np.ndarray) -> np.ndarray:
         front = a * np.log(x) + b * np.log(y) - _log_beta(df)
     direct = x < (a + 1) / (a + b + 2)
     res = np.empty_like(t)
+    # each side's fraction settles in few rounds on its own values only
     if direct.any():
-        res[direct] = -(front + np.log(_fraction(a, b, x)) - np.log(a))[direct] / math.log(10)
-    if (~direct).any():
-        comp = np.exp(front[~direct]) * _fraction(b, a, y)[~direct] / b[~direct]
-        res[~direct] = -np.log1p(-np.minimum(comp, 1.0 - 1e-16)) / math.log(10)
+        res[direct] = -(front[direct] + np.log(_fraction(a[direct], b[direct], x[direct])) - np.log(a[direct])) / math.log(10)
+    other = ~direct
+    if other.any():
+        comp = np.exp(front[other]) * _fraction(b[other], a[other], y[other]) / b[other]
+        res[other] = -np.log1p(-np.minimum(comp, 1.0 - 1e-16)) / math.log(10)
     out[ok] = res
     return out
 

@@ -38,9 +38,13 @@ def self_exclusion(values: DataFrame) -> DataFrame:
 
 
 def sample_stats(values: DataFrame) -> DataFrame:
-    v = values.filter("value is not null")
-    return v.groupBy(*PAIR).agg(F.count("*").alias("n1"), F.avg("value").alias("m1"),
-                                (F.var_pop("value") * F.count("*")).alias("q1"), F.median("value").alias("med1"))
+    """(prey, bait, n1, m1, q1, med1); the median is the mean of the middle rows, so that no aggregate holds a pair's values."""
+    v = values.filter("value is not null").withColumn("value", F.col("value").cast("double"))
+    w = W.partitionBy(*PAIR)
+    v = v.withColumns({"_i": F.row_number().over(w.orderBy("value")), "_n": F.count("*").over(w)})
+    k1, k2 = middle_ranks(F.col("_n"))
+    return v.groupBy(*PAIR).agg(F.count("*").alias("n1"), F.avg("value").alias("m1"), (F.var_pop("value") * F.count("*")).alias("q1"),
+                                F.avg(F.when((F.col("_i") == k1) | (F.col("_i") == k2), F.col("value"))).alias("med1"))
 
 
 def ranked_control(control: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

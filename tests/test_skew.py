@@ -99,6 +99,34 @@ def test_leave_out_scores_brute_force(spark):
         assert r["enrichment"] == pytest.approx((np.median(a) - np.median(con)) / con.std(ddof=1))
 
 
+def test_sample_stats_hold_no_lists(spark):
+    rows = [("p", f"b{b}", r, float((7 * r + 3 * b) % 11)) for b in range(4) for r in range(b + 1)] + [("p", "b0", 9, None), ("q", "b0", 0, None)]
+    got = S.sample_stats(spark.createDataFrame(rows, "prey string, bait string, replicate int, value double"))
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(f"b{b}", float(np.median([v for _, x, _, v in rows if x == f"b{b}" and v is not None]))) for b in range(4)}
+    assert {(r["bait"], r["med1"]) for r in got.collect()} == want
+
+
+def test_fractions_of_own_values_only(monkeypatch):
+    """Each value's fraction is computed on one side only, and its company does not change it."""
+    from atlas_spark.functions import pvalue
+    t, df = np.array([0.1, 1.0, 3.0, 40.0, -2.0, 1e-9]), np.array([3.0, 30.0, 5.0, 12.0, 300.0, 4.0])
+    sizes, plain = [], pvalue._fraction
+    monkeypatch.setattr(pvalue, "_fraction", lambda a, b, x: sizes.append(len(x)) or plain(a, b, x))
+    together = pvalue.neglog10p_array(t, df)
+    assert sum(sizes) == len(t)
+    assert together.tolist() == [pvalue.neglog10p_array(t[i:i + 1], df[i:i + 1])[0] for i in range(len(t))]
+
+
+def test_second_neighbors_without_lists(spark):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame(sorted({(f"t{rng.integers(9)}", f"p{rng.integers(12)}") for _ in range(60)}), "target string, prey string")
+    pairs, listed = N.second_neighbors(edges, listed=False), N.second_neighbors(edges)
+    assert "collect_list" not in pairs._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r["prot_1"], r["prot_2"]) for r in listed.collect())
+    assert want and sorted(map(tuple, pairs.collect())) == want
+
+
 def nearest(x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
@@ -117,15 +145,15 @@ def test_knn_with_hot_cell(spark, cell):
 
 
 @pytest.mark.parametrize("portions", [1, 7])
-def test_knn_of_copies_and_repeated_ids(spark, portions):
-    """Of more copies than are wanted the smallest ids stay, however the vectors are dealt; rows of one id are no neighbours of each other."""
+def test_knn_of_copies(spark, portions):
+    """Of more copies than are wanted the smallest ids stay, however the vectors are dealt."""
     rng = np.random.default_rng(9)
-    ids = [*rng.permutation(120).tolist(), 500, 500]
-    x = np.vstack([np.ones((60, 3)), rng.normal(0, 1, (60, 3)), np.full((2, 3), 4.0)])
+    ids = rng.permutation(120).tolist()
+    x = np.vstack([np.ones((60, 3)), rng.normal(0, 1, (60, 3))])
     df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in zip(ids, x)], "id bigint, vec array<double>")
     got = {(r["id"], r["rank"]): (r["other"], r["distance"]) for r in ml.knn_graph(df, "id", "vec", 5, cell=16, tile=32, portions=portions).collect()}
     for i in set(ids):
-        d = sorted((round(float(np.sqrt(((x[a] - x[b]) ** 2).sum())), 9), ids[b]) for a in range(122) for b in range(122) if ids[a] == i != ids[b])[:5]
+        d = sorted((round(float(np.sqrt(((x[a] - x[b]) ** 2).sum())), 9), ids[b]) for a in range(120) for b in range(120) if ids[a] == i != ids[b])[:5]
         assert [got[i, n + 1][0] for n in range(5)] == [o for _, o in d]
         assert np.allclose([got[i, n + 1][1] for n in range(5)], [v for v, _ in d], atol=1e-8)
 
