@@ -369,6 +369,28 @@ def test_cluster_tiles_are_summed_before_they_meet_pulldowns(spark):
     assert few.count() == 16
 
 
+def test_every_tile_meets_every_pulldown_of_its_cluster(spark, monkeypatch):
+    """Measures see the rows of pulldown and tile, and portions of a cluster's pulldowns lose no row; nulls meet nothing."""
+    tiles = [(i, i % 3 if i % 10 else None, i % 7, i % 4) for i in range(60)] + [(5, 2, 5, 1), (None, 0, 1, 1)]
+    seen = [(i, i % 11 if i != 8 else None) for i in range(60)] + [(5, 5), (6, 3)]
+    heat = spark.createDataFrame(tiles, "hit_id bigint, cluster_id bigint, row_index bigint, col_index bigint")
+    hits = spark.createDataFrame(seen, "hit_id bigint, pulldown_id bigint")
+    least = {}
+    for h, p in seen:
+        for i, c, _, _ in tiles:
+            if i == h and c is not None:
+                least[p] = min(least.get(p, c), c)
+    want = sorted(((p, c, *t) for p, c in least.items() for t in ((i, r, k) for i, d, r, k in tiles if d == c)), key=str)
+    for portion in (4096, 1):
+        monkeypatch.setattr(E, "PORTION", portion)
+        got = E.pulldown_cluster_tiles(heat, hits).select("pulldown_id", "cluster_id", "hit_id", "row_index", "col_index")
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        close = F.count_if(F.col("row_index") == F.col("pulldown_id")).alias("close")  # of a pulldown and a tile together
+        per = E.pulldown_cluster_tiles(heat, hits, [F.count("*").alias("n"), close]).collect()
+        assert {r["pulldown_id"]: (r["cluster_id"], r["n"], r["close"]) for r in per} == {
+            p: (c, sum(x[0] == p for x in want), sum(x[0] == p == x[3] for x in want)) for p, c in least.items()}
+
+
 def plain_cosine(x, y):
     if x is None or y is None or len(x) != len(y) or None in x or None in y:
         return None
