@@ -26,6 +26,14 @@ def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(a, b, *other).unionByName(flip)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The ``n`` rows by their keys, about TASK_ROWS to a task where there are many: they are narrow, and adaptive execution deals by
+    size.  A group of few rows more or less does not matter, so ``n`` may be a bound."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-n // TASK_ROWS)
+    return rows.repartition(max(parts, least), *keys) if 4 * parts > least else rows
+
+
 def intersect_lists(pairs: DataFrame, left: DataFrame, l: str, right: DataFrame, r: str, x: str, task_rows: int | None = None) -> DataFrame:
     """For every (l, r) of ``pairs`` the x that left lists for l and right lists for r.
 
@@ -48,13 +56,13 @@ def intersect_lists(pairs: DataFrame, left: DataFrame, l: str, right: DataFrame,
     return by_left.unionByName(by_right)
 
 
-def unique_interactions(edges: DataFrame, keep_self: bool = False, weight: str | None = None) -> DataFrame:
-    """Undirected pairs (prot_1, prot_2), optionally with the largest weight of both directions."""
+def unique_interactions(edges: DataFrame, keep_self: bool = False, weight: str | None = None, n: int = 0) -> DataFrame:
+    """Undirected pairs (prot_1, prot_2), optionally with the largest weight of both directions; ``n`` edges, if known, are ``dealt``."""
     e = edges if keep_self else edges.filter("target <> prey")
     keys = [F.least("target", "prey").alias("prot_1"), F.greatest("target", "prey").alias("prot_2")]
     if weight is None:
         return e.select(*keys).distinct()
-    return e.groupBy(*keys).agg(F.max(weight).alias(weight))
+    return dealt(e.select(*keys, weight), n, "prot_1", "prot_2").groupBy("prot_1", "prot_2").agg(F.max(weight).alias(weight))
 
 
 def null_network(edges: DataFrame) -> DataFrame:
@@ -305,23 +313,35 @@ def coverage_marginals(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.select("target").distinct().join(c, "target", "left").na.fill(0, ["covered"])
 
 
-def expanded_coverage(edges: DataFrame, pairs: DataFrame, level: str | None = None) -> DataFrame:
+def expanded_coverage(edges: DataFrame, pairs: DataFrame, level: str | None = None, n: int = 0) -> DataFrame:
     """(pair, a, b, possible, covered) per oriented reference pair whose a is a target.
 
     A pair is covered by an edge a-b, or by a covered prey of a that is itself a target and has b as
     prey.  With ``level`` (a score column) the two results are the largest thresholds below which the
-    pair is possible and covered; without it they are 1 or NULL.
+    pair is possible and covered; without it they are 1 or NULL.  ``n`` edges, if known, are ``dealt``.
     """
-    e = edges.select("target", "prey", (F.col(level) if level else F.lit(1.0)).alias("lv")).groupBy("target", "prey").agg(F.max("lv").alias("lv"))
+    e = edges.select("target", "prey", (F.col(level) if level else F.lit(1.0)).alias("lv"))
     tgt = e.groupBy(F.col("target").alias("a")).agg(F.max("lv").alias("possible"))
-    ref = _oriented(pairs).join(tgt, "a")
-    direct = ref.join(e.select(F.col("target").alias("a"), F.col("prey").alias("b"), F.col("lv").alias("direct")), ["a", "b"])
-    left = direct.groupBy("a", F.col("b").alias("c")).agg(F.max("direct").alias("l1"))
+    e = dealt(e, n, "target", "prey").groupBy("target", "prey").agg(F.max("lv").alias("lv"))
+    p = pairs.select("prot_1", "prot_2").distinct()
+    o = p.select(F.col("prot_1").alias("a"), F.col("prot_2").alias("b"), F.lit(False).alias("flip"))
+    o = o.unionByName(p.select(F.col("prot_2").alias("a"), F.col("prot_1").alias("b"), F.lit(True).alias("flip")))
+    ref = o.join(tgt, "a").join(e.select(F.col("target").alias("a"), F.col("prey").alias("b"), F.col("lv").alias("direct")), ["a", "b"], "left")
+    ref = cut_lineage(ref)  # read by the lists, the pairs and the result
+    # only a prey that is a target itself leads on, and only to more than the pair's own edge gives
+    left = ref.filter("direct is not null").groupBy("a", F.col("b").alias("c")).agg(F.max("direct").alias("l1"))
+    left = left.join(tgt.select(F.col("a").alias("c")), "c", "left_semi")
     right = e.select(F.col("prey").alias("b"), F.col("target").alias("c"), F.col("lv").alias("l2"))
-    hop = intersect_lists(ref.select("a", "b").distinct(), left, "a", right, "b", "c").groupBy("a", "b").agg(F.max(F.least("l1", "l2")).alias("hop"))
-    d = direct.select("pair", "a", "b", "direct")
-    return (ref.join(d, ["pair", "a", "b"], "left").join(hop, ["a", "b"], "left")
-            .select("pair", "a", "b", "possible", F.greatest("direct", "hop").alias("covered")))
+    short = ref.filter("direct is null or direct < possible").select("a", "b", "flip", "direct")
+    hop = intersect_lists(short, left, "a", right, "b", "c").filter("direct is null or l1 > direct").filter("direct is null or l2 > direct")
+    rows = ref.select("a", "b", "flip", "possible", F.col("direct").alias("covered"))
+    rows = rows.unionByName(hop.select("a", "b", "flip", F.least("l1", "l2").alias("covered")), allowMissingColumns=True)
+    one, two = F.when(F.col("flip"), F.col("b")).otherwise(F.col("a")), F.when(F.col("flip"), F.col("a")).otherwise(F.col("b"))
+    rows = rows.select(one.alias("prot_1"), two.alias("prot_2"), "flip", "possible", "covered")
+    rows = dealt(rows.repartition("prot_1", "prot_2"), ref.count() if n else 0, "prot_1", "prot_2")
+    rows = rows.groupBy("prot_1", "prot_2", "flip").agg(F.max("possible").alias("possible"), F.max("covered").alias("covered"))
+    one, two = (F.when(F.col("flip"), F.col(x)).otherwise(F.col(y)) for x, y in (("prot_2", "prot_1"), ("prot_1", "prot_2")))
+    return rows.select(F.struct("prot_1", "prot_2").alias("pair"), one.alias("a"), two.alias("b"), "possible", "covered")
 
 
 def coverage_expanded(edges: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -367,11 +387,12 @@ def cluster_coverage(edges: DataFrame, membership: DataFrame) -> DataFrame:
 
 def colocalization(edges: DataFrame, localization: DataFrame, extra: list[str] = ()) -> DataFrame:
     """Edges with both ends localised, flagged when labels overlap or either end is everywhere ('B')."""
-    loc = localization.select("gene", F.split("label", "/").alias("labels"))
+    loc = localization.select("gene", "label")
     j = (edges.filter("target <> prey").select("target", "prey", *extra)
-         .join(loc.withColumnsRenamed({"gene": "target", "labels": "_t"}), "target")
-         .join(loc.withColumnsRenamed({"gene": "prey", "labels": "_p"}), "prey"))
-    same = F.arrays_overlap("_t", "_p") | F.array_contains("_t", "B") | F.array_contains("_p", "B")
+         .join(loc.withColumnsRenamed({"gene": "target", "label": "_t"}), "target")
+         .join(loc.withColumnsRenamed({"gene": "prey", "label": "_p"}), "prey"))
+    t, p = F.split("_t", "/"), F.split("_p", "/")  # cut after the joins, which carry the plain labels
+    same = F.arrays_overlap(t, p) | F.array_contains(t, "B") | F.array_contains(p, "B")
     return j.select("target", "prey", *extra, same.alias("colocalized"))
 
 
@@ -399,19 +420,23 @@ def at_thresholds(levels: DataFrame, level: str, thresholds: list[float], counts
 
 def precision_recall(scores: DataFrame, level: Column, pairs: DataFrame, localization: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, num_interactions, recall, precision): hits are the rows whose level exceeds the threshold."""
-    s = scores.select("target", "prey", level.alias("lv")).filter("lv is not null")
-    n = at_thresholds(s, "lv", thresholds, {"num_interactions": F.count("*")})
-    x = expanded_coverage(s, pairs, "lv").groupBy("pair").agg(F.max("possible").alias("possible"), F.max("covered").alias("covered"))
-    x = cut_lineage(x.select("possible", "covered"))  # two numbers per reference pair, counted twice below
-    possible = at_thresholds(x, "possible", thresholds, {"possible": F.count("*")})
-    covered = at_thresholds(x.filter("covered is not null"), "covered", thresholds, {"covered": F.count("*")})
-    u = unique_interactions(s, weight="lv").withColumnsRenamed({"prot_1": "target", "prot_2": "prey"})
-    loc = at_thresholds(colocalization(u, localization, ["lv"]), "lv", thresholds, {"known": F.count("*"), "same": F.count_if("colocalized")})
-    grid = scores.sparkSession.createDataFrame([(float(x),) for x in thresholds], "threshold double")
-    j = grid
+    cuts = sorted(float(x) for x in thresholds)
+    # a level counts by the number of thresholds it passes; rows that pass none are in no result
+    passed = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col("lv"))).alias("lv")
+    s = scores.select("target", "prey", level.alias("lv")).filter("lv is not null").select("target", "prey", passed).filter("lv > 0")
+    at = list(range(len(cuts)))
+    n = at_thresholds(s, "lv", at, {"num_interactions": F.count("*")})
+    rows = s.count()
+    x = expanded_coverage(s, pairs, "lv", rows).groupBy("pair.prot_1", "pair.prot_2").agg(F.max("possible").alias("possible"), F.max("covered").alias("covered"))
+    x = cut_lineage(x.groupBy("possible", "covered").agg(F.count("*").alias("n")))  # counted twice below
+    possible = at_thresholds(x, "possible", at, {"possible": F.sum("n")})
+    covered = at_thresholds(x.filter("covered is not null"), "covered", at, {"covered": F.sum("n")})
+    u = unique_interactions(s, weight="lv", n=rows).withColumnsRenamed({"prot_1": "target", "prot_2": "prey"})
+    loc = at_thresholds(colocalization(u, localization, ["lv"]), "lv", at, {"known": F.count("*"), "same": F.count_if("colocalized")})
+    j = scores.sparkSession.createDataFrame([(float(i), x) for i, x in enumerate(cuts)], "threshold double, _x double")
     for part in (n, possible, covered, loc):
         j = j.join(part, "threshold", "left")
-    return j.select("threshold", F.coalesce("num_interactions", F.lit(0)).alias("num_interactions"),
+    return j.select(F.col("_x").alias("threshold"), F.coalesce("num_interactions", F.lit(0)).alias("num_interactions"),
                     F.try_divide(F.coalesce("covered", F.lit(0)), "possible").alias("recall"), F.try_divide("same", "known").alias("precision"))
 
 

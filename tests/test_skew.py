@@ -451,6 +451,48 @@ def test_reference_pairs_are_covered_once(spark):
     assert {r["threshold"]: (r["num_interactions"], round(r["recall"], 6)) for r in pr.collect()} == {0.0: (4, round(1 / 3, 6)), 1.0: (3, round(1 / 3, 6)), 2.0: (1, 0.0)}
 
 
+def plain_recall(scores, pairs, at):
+    """(hits, recall) by the rule itself: pairs that a target touches, and of them those covered by an edge or by way of a covered target."""
+    hits = {(t, p) for t, p, v in scores if v is not None and v > at}
+    targets = {t for t, _ in hits if t is not None}
+    covered = lambda a, b: a is not None and b is not None and (a, b) in hits
+    possible = {p for p in pairs if targets & set(p)}
+    listed = {x for p in pairs for x in (p, p[::-1])}
+    by_way = lambda a, b: any(c in targets and (a, c) in listed and covered(a, c) and covered(c, b) for c in targets)
+    got = {p for p in possible if any(covered(*x) or None not in x and by_way(*x) for x in (p, p[::-1]))}
+    return sum(v is not None and v > at for _, _, v in scores), len(got) / len(possible) if possible else None
+
+
+def test_recall_of_odd_rows(spark, monkeypatch):
+    """Nulls, self pairs, pairs listed both ways and repeated rows, against the rule itself; also with rows dealt by their number."""
+    rng = np.random.default_rng(21)
+    name = lambda i: f"G{i}" if i else None
+    scores = [(name(a), name(b), float(v)) for a, b, v in zip(rng.integers(0, 9, 90), rng.integers(0, 16, 90), rng.integers(0, 5, 90))] + [("G1", "G2", None)]
+    pairs = list({(name(a), name(b)) for a, b in rng.integers(0, 16, (70, 2))} | {("G1", "G2"), ("G2", "G1"), ("G3", "G3"), ("G1", "G3")})
+    loc = spark.createDataFrame([(f"G{i}", "N/C" if i % 2 else "O") for i in range(1, 16)], "gene string, label string")
+    for rows in (200_000, 1):
+        monkeypatch.setattr(N, "TASK_ROWS", rows)
+        pr = N.precision_recall(spark.createDataFrame(scores, "target string, prey string, lv double"), F.col("lv"), spark.createDataFrame(pairs, "prot_1 string, prot_2 string"), loc, [3, 0, 1.5, 2])
+        for r in pr.collect():
+            n, recall = plain_recall(scores, pairs, r["threshold"])
+            assert r["num_interactions"] == n and r["recall"] == pytest.approx(recall)
+
+
+def test_only_preys_that_are_targets_lead_on(spark, monkeypatch):
+    """A target with 50 covered preys, of which one is a target; pairs that no way can raise are not asked for."""
+    asked = {}
+
+    def seen(pairs, left, l, right, r, x, task_rows=None, real=N.intersect_lists):
+        asked.update(pairs=pairs.count(), left=left.count())
+        return real(pairs, left, l, right, r, x, task_rows)
+    monkeypatch.setattr(N, "intersect_lists", seen)
+    edges = spark.createDataFrame([("a", f"p{i}", 2.0) for i in range(50)] + [("p7", "z", 1.0)], "target string, prey string, lv double")
+    pairs = spark.createDataFrame([("a", f"p{i}") for i in range(50)] + [("a", "z")], "prot_1 string, prot_2 string")
+    got = {(r["a"], r["b"]): (r["possible"], r["covered"]) for r in N.expanded_coverage(edges, pairs, "lv").collect()}
+    assert asked == {"pairs": 2, "left": 1}  # a-z and p7-a
+    assert got == {**{("a", f"p{i}"): (2.0, 2.0) for i in range(50)}, ("a", "z"): (2.0, 1.0), ("p7", "a"): (1.0, None)}
+
+
 def test_bait_match_adds_up_chosen_preys_only(spark, monkeypatch):
     """The rows of the chosen preys are taken below the total they come from; more keys than are broadcast are hashed, with the same result."""
     from atlas_spark.operators import quant, relational
