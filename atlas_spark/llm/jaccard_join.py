@@ -6,7 +6,7 @@ shingles of both, for every l; a document chooses its own l by the estimated cos
 documents made of frequent shingles read a longer prefix and ask for more shared shingles, so fewer
 candidates reach the exact check.  A pair uses the smaller l of the two, which stays exact.
 
-Equal sets are one node.  Nodes that share enough with the first node of a list form families, whose members are compared in
+Equal sets are one node.  Nodes that are alike enough to the first node of a list form families, whose members are compared in
 block cells once and not in every list; pairs across families are counted list by list.  Parities of the sets (one bit
 per shingle) rule out most candidates exactly, so whole sets are shipped only for what is left.
 """
@@ -32,6 +32,9 @@ CHANCE = 0.2
 LONG_LIST = 512
 #: as many (doc_id, id) rows are broadcast to the scan that cuts their sets again; more of them are joined by a shuffle
 BROADCAST_ROWS = 200_000
+#: percentage from which the members of a family look alike: copies of one text may be less alike than linked ones, unrelated texts
+#: turn more parities than this allows
+ALIKE = 70
 
 
 def _texts(docs: DataFrame, *keep: str) -> DataFrame:
@@ -157,15 +160,19 @@ def _prefix(i, k, sets, percent, cache):
     return cache[i, k]
 
 
-def families(members: DataFrame) -> DataFrame:
-    """(id, fam) of the ids that share lists with the same least id, two of them or as many as asked for, chained.
+def families(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(id, fam) of the ids that share lists with the same least id, two of them or as many as asked for, and look alike by their sizes and
+    parities (``marks``, as for ``narrow_cells``); chained.
 
-    Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by
+    Shared shingles alone would chain texts by chance, the more of them the larger the table, and one family would hold most texts in
+    the end.  Only a way to meet most candidates once instead of in every list that they share; pairs across families are found by
     ``across``, so no link depends on it.
     """
     star = members.filter("id <> least").groupBy("id", "least").agg(F.count("*").alias("n"), F.min("asked").alias("asked"))
     near = star.filter(F.col("n") >= F.least("asked", F.lit(2)))
-    fam = components(cut_lineage(near.select(F.col("id").alias("a"), F.col("least").alias("b"))))
+    near = C.narrow_cells(C.pair_cells(near.select(F.col("id").alias("a"), F.col("least").alias("b"))), marks, min(percent, ALIKE))
+    edges = near.groupBy("cell").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    fam = components(cut_lineage(edges.select("a", "b")))
     return cut_lineage(fam.select(F.col("node").alias("id"), F.col("label").alias("fam")))
 
 
@@ -198,12 +205,13 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     sig = cut_lineage(signatures(docs, levels, words, percent))
     reps = cut_lineage(sig.filter("sig is not null and doc_id is not null").groupBy(F.col("sig").alias("id")).agg(*[F.min(c).alias(c) for c in ("doc_id", "n_shingles", "asked", "prefix", "bits")]))
     members = C.shared(reps.select(F.explode("prefix").alias("g"), "id", "asked"), "asked", least=True)
-    fam = families(members)
+    marks = reps.select("id", F.col("bits").alias("bin"), F.col("n_shingles").alias("aux"))
+    fam = families(members, marks, percent)
     size = fam.groupBy("fam").agg(F.count("*").alias("size")).filter("size > 1")
     alike = fam.join(size, "fam").select(F.col("fam").alias("g"), "id", "size")
     facts = reps.select("id", "n_shingles").join(fam, "id", "left").withColumn("fam", F.coalesce("fam", "id"))
     cells = C.into_cells(alike).unionByName(across(members, facts, percent))
-    cells = cut_lineage(C.narrow_cells(cells, reps.select("id", F.col("bits").alias("bin"), F.col("n_shingles").alias("aux")), percent))
+    cells = cut_lineage(C.narrow_cells(cells, marks, percent))
     wanted = cut_lineage(cells.select("id").distinct().join(reps.select("id", "doc_id"), "id").select("doc_id", "id"))
     edges = C.link_cells(cells, _sets(docs, wanted, levels, words, percent), _linked(percent))
     comp = components(cut_lineage(edges))

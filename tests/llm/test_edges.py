@@ -375,3 +375,20 @@ def test_components_stop_at_stars_only(spark):
             nodes = {n for n, r in root.items() if r in (ra, rb)} | {a, b}
             root |= {n: min(ra, rb) for n in nodes}
         assert {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == root
+
+
+def test_partial_copies_form_no_family(spark, monkeypatch):
+    """A chain of 30 texts, each half of the next one, links nothing and is not compared as one family; two near copies still are."""
+    rng = np.random.default_rng(5)
+    half = [" ".join(f"w{x}" for x in rng.integers(0, 10 ** 9, 100)) for _ in range(31)]
+    docs = [(i, f"{half[i]} {half[i + 1]}", "s") for i in range(30)] + [(90, f"{half[4]} {half[5]} end", "s")]
+    sizes = []
+
+    def seen(*args, real=jaccard_join.families):
+        fam = real(*args)
+        sizes.extend(r["count"] for r in fam.groupBy("fam").count().collect())
+        return fam
+    monkeypatch.setattr(jaccard_join, "families", seen)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(table(spark, docs).repartition(31), 3, 90).collect()}
+    assert got == {**{i: i for i in range(30)}, 90: 4}
+    assert sizes == [2]
